@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe
+from triweave.llm import bpe, minhash
 from triweave.llm.common import hex_sha, table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), decoded=True)
     return out.select(
@@ -26,5 +30,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_bpe": op2_bpe}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_bpe": op2_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
