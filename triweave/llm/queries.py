@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe, minhash
+from triweave.llm import bpe, chat, minhash
 from triweave.llm.common import hex_sha, table
 
 
@@ -30,8 +30,43 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    back = chat.read_back(chat.format_turns(chat.turns_of_rows(rows.unionByName(own))))
+    turn = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        hex_sha(F.array_join(turn, "")).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        hex_sha("loss_text").alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
+    "op6_chat": op6_chat,
 }
-ORACLE_SQL: dict[str, str] = {}
+def op6_sql() -> str:
+    marks = ["\\"] + [a + b for a in "<[" for b in ("|", "INST]", "/INST]", "s>", "/s>", "<SYS>>", "</SYS>>", "SYS>>", "/SYS>>")]
+    listed = ", ".join(f"'{m}'" for m in marks)
+    size = f"length(x) + list_sum(list_transform([{listed}], lambda m: (length(x) - length(replace(x, m, ''))) // length(m)))"
+    head = len(chat.TURN + chat.TEXT + chat.END)
+    return f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    s AS (SELECT *, (SELECT {size} FROM (SELECT role AS x)) + (SELECT {size} FROM (SELECT text AS x)) + {head} AS n FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+      CAST(sum(n) AS BIGINT) AS formatted_chars
+    FROM s GROUP BY conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_chat": op6_sql()}
