@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe, chat, minhash
-from triweave.llm.common import hex_sha, table
+from triweave.llm import bpe, chat, minhash, token_io
+from triweave.llm.common import hex_sha, shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,10 +48,17 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_io.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_io.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op6_chat": op6_chat,
+    "op7_token_blocks": op7_token_blocks,
 }
 def op6_sql() -> str:
     marks = ["\\"] + [a + b for a in "<[" for b in ("|", "INST]", "/INST]", "s>", "/s>", "<SYS>>", "</SYS>>", "SYS>>", "/SYS>>")]
