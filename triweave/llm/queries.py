@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe, chat, minhash, pii, token_io
+from triweave.llm import bpe, chat, minhash, pii, token_io, toxicity
 from triweave.llm.common import hex_sha, shared_dir, table
 
 
@@ -65,12 +65,24 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def remainder(doc: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; null ids have none."""
+    return F.crc32(doc.cast("string")) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder(F.col("doc"), 5) != 0)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op4_pii": op4_pii,
     "op6_chat": op6_chat,
     "op7_token_blocks": op7_token_blocks,
+    "op9_toxicity": op9_toxicity,
 }
 def op6_sql() -> str:
     marks = ["\\"] + [a + b for a in "<[" for b in ("|", "INST]", "/INST]", "s>", "/s>", "<SYS>>", "</SYS>>", "SYS>>", "/SYS>>")]
