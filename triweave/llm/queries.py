@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe, chat, minhash, pii, token_io, toxicity
+from triweave.llm import bpe, chat, langid, minhash, pii, token_io, toxicity
 from triweave.llm.common import hex_sha, shared_dir, table
 
 
@@ -76,6 +76,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    out = langid.identify(table(spark, sf_dir, "documents"), use=remainder(F.col("doc_id"), 4) != 2)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -83,6 +89,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_token_blocks": op7_token_blocks,
     "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 def op6_sql() -> str:
     marks = ["\\"] + [a + b for a in "<[" for b in ("|", "INST]", "/INST]", "s>", "/s>", "<SYS>>", "</SYS>>", "SYS>>", "/SYS>>")]
