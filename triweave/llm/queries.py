@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe, chat, langid, minhash, pii, token_io, toxicity
+from triweave.llm import bpe, chat, decontam, langid, minhash, pii, token_io, toxicity
 from triweave.llm.common import hex_sha, shared_dir, table
 
 
@@ -67,6 +67,10 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def remainder(doc: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids have none."""
     return F.crc32(doc.cast("string")) % n
@@ -90,6 +94,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_chat": op6_chat,
     "op7_token_blocks": op7_token_blocks,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
