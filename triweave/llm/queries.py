@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import bpe, chat, decontam, langid, minhash, pii, token_io, toxicity
+from triweave.llm import ann, bpe, chat, decontam, html, langid, minhash, pii, token_io, toxicity
 from triweave.llm.common import hex_sha, shared_dir, table
 
 
@@ -32,6 +32,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -45,6 +49,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -91,7 +99,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
+    "op3_html": op3_html,
     "op4_pii": op4_pii,
+    "op5_embeddings": op5_embeddings,
     "op6_chat": op6_chat,
     "op7_token_blocks": op7_token_blocks,
     "op8_decontamination": op8_decontamination,
