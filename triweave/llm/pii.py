@@ -325,7 +325,8 @@ def masked(text: str, base: list, more: list) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns, with personal data in ``text`` replaced by its kind; a null text stays null."""
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
     field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +336,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 texts = part.column(at).to_pylist()
                 found = find_all([t or "" for t in texts], field)
                 new = pa.array([t if t is None else masked(t, b, m) for t, (b, m) in zip(texts, found, strict=True)], type=pa.string())
-                yield pa.RecordBatch.from_arrays([new if k == at else part.column(k) for k in range(part.num_columns)], names=docs.columns)
+                yield pa.RecordBatch.from_arrays([new if k == at else part.column(k) for k in range(part.num_columns)], names=names)
 
     return docs.mapInArrow(run, docs.schema)
