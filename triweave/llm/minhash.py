@@ -5,12 +5,13 @@ key is a pair (left sub-key, right sub-key): ``m * m`` tables from ``2 * m * ROW
 root of what as many separate bands would compute. ``m`` follows from the threshold so that a pair just at it is
 missed with a chance of at most ``2 * MISS``.
 
-1. One pass over the texts: size of the shingle set, a 128-bit fingerprint of it, sub-keys.
+1. One pass over the texts: size of the shingle set, a 128-bit fingerprint of it, sub-keys, and a bitmap of the
+   classes that its shingles fall in.
 2. Equal sets become one node, however many copies there are.
 3. Every sub-key that several nodes hold links each of them to its smallest node, if confirmed: linear in the rows.
-4. Nodes of one table (both sub-keys equal) that are in different components after that are paired and confirmed,
-   except where sizes, or the distances to the table's smallest node, rule a link out: Jaccard distance is a metric,
-   so both tests are exact.
+4. Nodes of one table (both sub-keys equal) that are in different components after that are paired, unless their
+   bitmaps prove that too few shingles can be shared; the others are confirmed. Tables are not written out: nodes
+   meet on the left sub-key and must have a right one in common.
 5. Components of all confirmed links.
 
 Defined results: null and empty texts and texts of white space have no shingles, are linked with nothing and form
@@ -35,6 +36,7 @@ from triweave.llm.graph import components
 ROWS = 4
 MISS = 1e-5
 CHUNK_BYTES = 1_000_000
+WORDS = 16  # of 64 classes each in a bitmap
 SEED = 0x7E57
 
 
@@ -105,6 +107,19 @@ def sub_keys(values: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def bitmaps(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """WORDS words a set: a bit for each class that has a shingle of it."""
+    bits = np.zeros((len(count), WORDS * 64), dtype=bool)
+    bits[np.repeat(np.arange(len(count)), count), (values % np.uint64(WORDS * 64)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_shared(x: str, y: str) -> F.Column:
+    """Upper bound of the shingles that two sets share: each class of one that the other lacks costs one at least."""
+    lacks = lambda a, b: "+".join(f"bit_count({a}_bits[{k}] & ~{b}_bits[{k}])" for k in range(WORDS))
+    return F.expr(f"least({x}_n - ({lacks(x, y)}), {y}_n - ({lacks(y, x)}))")
+
+
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Row offset and UTF-8 bytes of runs of texts with about CHUNK_BYTES in all."""
     start, held, size = 0, [], 0
@@ -119,7 +134,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def signatures(docs: DataFrame, doc: str, text: str, words: int, m: int) -> DataFrame:
-    """``doc, th (hash of the text), n_shingles, fp, keys`` of every row; no fp and keys where there is no shingle."""
+    """``doc, th (hash of the text), n_shingles, fp, keys, bits`` of every row; no fp where there is no shingle."""
     source = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("_text"))
     kind = source.schema["doc"].dataType.simpleString()
 
@@ -129,22 +144,21 @@ def signatures(docs: DataFrame, doc: str, text: str, words: int, m: int) -> Data
                 values, count = shingle_sets(texts, words)
                 full = count > 0
                 first = (np.cumsum(count) - count)[full]
-                fp, keys = np.empty((len(first), 2), np.uint64), np.empty((0, 2 * m), np.uint64)
+                fp, keys, bits = np.empty((len(first), 2), np.uint64), np.empty((0, 2 * m), np.uint64), np.empty((0, WORDS), np.int64)
                 if len(first):
                     fp[:, 0] = np.add.reduceat(mix(values ^ stream(1, 6)), first)
                     fp[:, 1] = np.add.reduceat(mix(values ^ stream(1, 7)), first) ^ count[full].astype(np.uint64)
-                    keys = sub_keys(values, first, m)
+                    keys, bits = sub_keys(values, first, m), bitmaps(values, count[full])
                 raw = fp.tobytes()
                 spot = np.cumsum(full) - 1
                 fps = [raw[16 * s : 16 * s + 16] if f else None for s, f in zip(spot.tolist(), full.tolist(), strict=True)]
-                offsets = np.r_[0, np.cumsum(np.where(full, 2 * m, 0))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full * w)].astype(np.int32)), pa.array(x.ravel().view(np.int64))) for w, x in ((2 * m, keys), (WORDS, bits))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(count), pa.array(fps, type=pa.binary()), lists],
-                    names=["doc", "th", "n_shingles", "fp", "keys"],
+                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(count), pa.array(fps, type=pa.binary()), *lists],
+                    names=["doc", "th", "n_shingles", "fp", "keys", "bits"],
                 )
 
-    return source.mapInArrow(run, f"doc {kind}, th long, n_shingles long, fp binary, keys array<long>")
+    return source.mapInArrow(run, f"doc {kind}, th long, n_shingles long, fp binary, keys array<long>, bits array<long>")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int) -> DataFrame:
@@ -176,38 +190,32 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     """
     m = tables_for(percent)
     linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    may_link = 100 * most_shared("x", "y") >= percent * (F.col("x_n") + F.col("y_n") - most_shared("x", "y"))
     rows = cut(signatures(docs, doc, text, words, m))
     # equal sets: one node each, with one text to read the set from
-    nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("low"), F.min(F.struct("doc", "th")).alias("d"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    nodes = cut(nodes.select("fp", "low", "d.doc", "d.th", "keys", "n", F.monotonically_increasing_id().alias("node")))
+    nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("low"), F.min(F.struct("doc", "th")).alias("d"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
+    nodes = cut(nodes.select("fp", "low", "d.doc", "d.th", "keys", "bits", "n", F.monotonically_increasing_id().alias("node")))
+    sketch = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in "xy"}
     held = nodes.select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
-    shared = cut(held.join(shared.select("key", "a"), "key").select("key", "a", "node"))
-    star = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    shared = held.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low")).where("c > 1")
+    shared = cut(held.join(shared.select("key", "low"), "key").select("key", "low", "node"))
+    star = shared.where("low <> node").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()
+    star = cut(star.join(sketch["x"], "x").join(sketch["y"], "y").where(may_link).select(F.col("x").alias("a"), F.col("y").alias("b")))
     alive = shared.select("node").distinct()
     sets = cut(set_table(docs, nodes.join(alive, "node").select("node", "doc", "th"), doc, text, words).dropDuplicates(["node"]))
-    star = cut(confirm(star, sets))
-    links = star.where(linked)
+    links = cut(confirm(star, sets).where(linked).select("a", "b"))
     roots = cut(components(links, "a", "b"))
-    # pairs of one table in different components: both sub-keys are shared by such nodes
-    label = shared.join(roots, "node", "left").select("key", "a", "node", F.coalesce("root", "node").alias("root"))
+    # nodes of one table in different components
+    label = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    side = F.expr(f"array_position(keys, key) <= {m}")
-    label = label.join(mixed, "key").join(nodes.select("node", "keys", "n"), "node").select("key", "a", "node", "root", "n", side.alias("left"))
-    known = star.select(F.col("a"), F.col("b").alias("node"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    label = cut(label.join(known, ["a", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))))
-    lefts = label.where("left").select("node", "root", "n", F.col("a").alias("la"), F.col("d").alias("ld"), F.col("key").alias("lk"))
-    tensor = lefts.join(label.where("not left").select("node", F.col("key").alias("rk")), "node").withColumn("tk", F.xxhash64("lk", "rk"))
-    x, y = (tensor.select("tk", "lk", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "ld")]) for s in "xy")
-    apart = 1 - percent / 100 + 1e-9
-    pairs = x.join(y, ["tk", "lk"]).where(
-        (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.abs(F.col("ld_x") - F.col("ld_y")) <= apart)
-    )
-    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    label = label.join(mixed, "key").join(nodes.select("node", "keys", "bits", "n"), "node")
+    label = cut(label.where(F.expr(f"array_position(keys, key) <= {m}")).select("key", "node", "root", "n", "bits", F.slice("keys", m + 1, m).alias("right")))
+    x, y = (label.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "bits", "right")]) for s in "xy")
+    pairs = x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & may_link & F.arrays_overlap("x_right", "y_right"))
+    pairs = pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = cut(confirm(pairs, sets).where(linked).select("a", "b"))
     if not more.isEmpty():
-        roots = cut(components(links.select("a", "b").union(more), "a", "b"))
+        roots = cut(components(links.union(more), "a", "b"))
     classes = nodes.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = classes.join(lows, "root").select(F.col("fp").alias("of"), "component_id")
