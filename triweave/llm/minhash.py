@@ -8,7 +8,8 @@ missed with a chance of at most ``2 * MISS``.
 1. One pass over the texts: size of the shingle set, a 128-bit fingerprint of it, sub-keys, and a bitmap of the
    classes that its shingles fall in.
 2. Equal sets become one node, however many copies there are.
-3. Every sub-key that several nodes hold links each of them to its smallest node, if confirmed: linear in the rows.
+3. Every sub-key that several nodes hold links each of them to its pivot, if confirmed: linear in the rows. The pivot
+   is the node that meets most others, so that near copies mostly join through their original.
 4. Nodes of one table (both sub-keys equal) that are in different components after that are paired, unless their
    bitmaps prove that too few shingles can be shared; the others are confirmed. Tables are not written out: nodes
    meet on the left sub-key and must have a right one in common.
@@ -197,9 +198,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     nodes = cut(nodes.select("fp", "low", "d.doc", "d.th", "keys", "bits", "n", F.monotonically_increasing_id().alias("node")))
     sketch = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in "xy"}
     held = nodes.select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low")).where("c > 1")
-    shared = cut(held.join(shared.select("key", "low"), "key").select("key", "low", "node"))
-    star = shared.where("low <> node").select(F.col("low").alias("x"), F.col("node").alias("y")).distinct()
+    shared = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(held.join(shared, "key").select("key", "node", "c"))
+    # the pivot of a sub-key is its node that meets most others: near copies meet their original most
+    degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
+    pivot = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    star = shared.join(pivot, "key").where("pivot <> node").select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).distinct()
     star = cut(star.join(sketch["x"], "x").join(sketch["y"], "y").where(may_link).select(F.col("x").alias("a"), F.col("y").alias("b")))
     alive = shared.select("node").distinct()
     sets = cut(set_table(docs, nodes.join(alive, "node").select("node", "doc", "th"), doc, text, words).dropDuplicates(["node"]))
