@@ -32,22 +32,17 @@ STEP = 512
 RUNS = re.compile(r"[^\W\d_]+")
 
 
-def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of each bracketed word, end to end, and how many each word has."""
-    out, count = [], []
-    for w in words:
-        data = np.frombuffer(f"^{w}$".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        at = len(out)
-        for n in ORDERS:
-            if len(data) >= n:
-                h = np.full(len(data) - n + 1, n, dtype=np.uint64)
-                for k in range(n):
-                    h = (h ^ data[k : len(data) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                out.append(h)
-        count.append(sum(len(x) for x in out[at:]))
-    flat = np.concatenate([*out, np.zeros(0, np.uint64)])
-    return (flat % np.uint64(BUCKETS)).astype(np.int64), np.array(count, dtype=np.int64)
+def word_buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: buckets of the n-grams of all bracketed words, end to end, and how many each word has."""
+    data = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # characters of the word from here on
+    for n in ORDERS:
+        h = np.full(max(len(data) - n + 1, 0), n, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ data[k : len(data) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        yield (h[left[: len(h)] >= n] % np.uint64(BUCKETS)).astype(np.int64), np.maximum(size - n + 1, 0)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,8 +63,9 @@ def learn(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
             listed = list(words)
             for a in range(0, len(listed), 20_000):
                 part = listed[a : a + 20_000]
-                buckets, count = word_buckets(part)
-                table += np.bincount(buckets, weights=np.repeat([words[w] for w in part], count), minlength=BUCKETS)
+                often = np.array([words[w] for w in part], dtype=float)
+                for buckets, count in word_buckets(part):
+                    table += np.bincount(buckets, weights=np.repeat(often, count), minlength=BUCKETS)
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -109,28 +105,29 @@ class Scorer:
         at = np.array([known.setdefault(w, len(known)) for d in docs for w in d], dtype=np.int64)
         new = [w for w, i in known.items() if i >= len(self.rows)] if len(known) > len(self.rows) else []
         for a in range(0, len(new), 20_000):
-            buckets, count = word_buckets(new[a : a + 20_000])
-            first = np.cumsum(count) - count
-            score = np.add.reduceat(self.table[buckets], first) / len(ORDERS)  # each order tells the word once
+            score = np.zeros((len(new[a : a + 20_000]), self.table.shape[1]))
+            for buckets, count in word_buckets(new[a : a + 20_000]):
+                sums = np.concatenate([np.zeros((1, self.table.shape[1])), np.cumsum(self.table[buckets], axis=0, dtype=np.float64)])
+                end = np.cumsum(count)
+                score += (sums[end] - sums[end - count]) / len(ORDERS)  # each order tells the word once
             score -= score.max(axis=1, keepdims=True)
-            self.rows = np.concatenate([self.rows, np.exp(np.maximum(score, -12))])
+            self.rows = np.concatenate([self.rows, np.exp(np.maximum(score, -12)).astype(np.float32)])
         return self.rows[at]
 
 
 def proportions(p: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares (documents x languages) within the allowed languages, and log likelihoods."""
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    owner = np.repeat(np.arange(len(size)), size)
+    share = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
     for _ in range(ROUNDS):
-        r = p * share[owner]
-        total = r.sum(axis=1, keepdims=True)
-        r /= total
+        r = np.repeat(share, size, axis=0)
+        r *= p
+        r /= np.einsum("ij->i", r)[:, None]
         new = np.add.reduceat(r, first) / size[:, None]
         moved = np.abs(new - share).max()
         share = new.astype(np.float32)
         if moved < 1e-3:
             break
-    return share, np.add.reduceat(np.log((p * share[owner]).sum(axis=1) + 1e-30), first)
+    return share, np.add.reduceat(np.log(np.einsum("ij,ij->i", p, np.repeat(share, size, axis=0)) + 1e-30), first)
 
 
 def infer(p: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
