@@ -111,7 +111,7 @@ ORACLE = {
     "upload_plan": f"""WITH {ROWS}, i AS (SELECT m.*, r.status AS row_status, r.ksef FROM rows r JOIN ready m ON m.content_hash = r.mail WHERE r.saldeo IS NULL)
       SELECT CASE WHEN truth_key % 13 = 0 THEN 'missing_local_file' WHEN truth_key % 17 = 0 THEN 'unconfirmed' WHEN truth_key % 5 = 4 THEN 'already_uploaded' WHEN year(issue_date) = 1996 THEN 'planned' ELSE 'other_year' END AS upload_status, row_status AS status, content_hash, CASE WHEN ksef IS NULL THEN 'mail' ELSE 'mail+ksef' END AS related,
        CASE WHEN truth_key % 13 = 0 THEN NULL WHEN truth_key % 17 = 0 OR truth_key % 5 = 4 THEN 1995 WHEN year(issue_date) = 1996 THEN 1996 END AS period_year FROM i""",
-    "upload_summary": f"""WITH {ROWS}, i AS (SELECT CASE WHEN truth_key % 13 = 0 THEN 'missing' WHEN truth_key % 17 = 0 THEN 'unconfirmed' WHEN truth_key % 5 = 4 THEN 'already' WHEN year(issue_date) = 1996 THEN 'planned' ELSE 'other' END AS u FROM rows r JOIN (SELECT * EXCLUDE (source) FROM ready) m ON m.content_hash = r.mail WHERE r.saldeo IS NULL)
+    "upload_summary": f"""WITH {ROWS}, i AS (SELECT CASE WHEN m.truth_key % 13 = 0 THEN 'missing' WHEN m.truth_key % 17 = 0 THEN 'unconfirmed' WHEN m.truth_key % 5 = 4 THEN 'already' WHEN year(issue_date) = 1996 THEN 'planned' ELSE 'other' END AS u FROM rows r JOIN (SELECT * EXCLUDE (source) FROM ready) m ON m.content_hash = r.mail WHERE r.saldeo IS NULL)
       SELECT count(*) AS total_missing_ledger, count(*) FILTER (u = 'planned') AS uploadable_count, count(*) FILTER (u = 'missing') AS missing_file_count, count(*) FILTER (u = 'already') AS already_uploaded_count, count(*) FILTER (u = 'unconfirmed') AS unconfirmed_count, count(*) FILTER (u = 'other') AS other_year_count, 0 AS uploaded_count, 0 AS failed_count FROM i""",
     "approve_plan": f"""WITH {ROWS}, d AS (SELECT r.truth_key AS document_id, bool_or(r.mail IS NOT NULL) AS has_mail FROM rows r WHERE r.saldeo IS NOT NULL AND r.ksef IS NOT NULL AND r.truth_key % 2 = 0 GROUP BY 1)
       SELECT document_id, has_mail, CASE WHEN NOT has_mail THEN 'skipped' WHEN (SELECT count(*) FROM d WHERE has_mail) > 1000000 THEN 'blocked' ELSE 'pending' END AS decision FROM d""",
