@@ -21,4 +21,4 @@ def rate_audit(events: DataFrame, group: str, ts: str, limits: tuple[tuple[int,
         e = e.withColumn(f"used_{ms}", F.count("*").over(w.rangeBetween(-(ms - 1), 0)))
         e = e.withColumn(f"_at_{ms}", F.lag("ts_ms", limit - 1).over(w))
         waits.append(F.when(F.col(f"used_{ms}") >= limit, F.greatest(F.lit(0), F.col(f"_at_{ms}") + ms - F.col("ts_ms"))))
-    return e.select("group", "ts_ms", *[f"used_{ms}" for ms, _ in limits], F.coalesce(F.greatest(*waits), F.lit(0)).alias("wait_ms"))
+    return e.select("group", "ts_ms", *[f"used_{ms}" for ms, _ in limits], F.coalesce(F.array_max(F.array(*waits)), F.lit(0)).alias("wait_ms"))
