@@ -29,7 +29,7 @@ def sync_documents(spark: SparkSession, documents: str, store: str, checkpoint:
 
     Exactly once: a batch writes its own folder, and a batch run again overwrites it.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,json,txt,eml}").load(documents)
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,json,txt,eml}").load(documents)
     docs = files.select(F.sha2("content", 256).alias("content_hash"), F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("text"))
 
     def merge(batch: DataFrame, number: int) -> None:
