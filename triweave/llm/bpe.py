@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 8_000_000
-MAX_WORDS = 250_000
+CHUNK_CHARS = 6_000_000
+MAX_WORDS = 120_000
 
 # Unicode White_Space, as the vocabulary files' patterns mean by \s.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
