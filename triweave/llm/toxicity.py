@@ -3,15 +3,16 @@
 1. Cues, words and word beginnings that go with the label, are mined from a sample of at most ``FIT_ROWS`` labelled
    rows, twice: on each half of it. A fixed list of English insults is added.
 2. One pass over all texts notes each document's cues and its shouting.
-3. Voters: the fixed list, mined words and mined beginnings of either half, shouting, and the annotators' labels of
-   rows to learn from. The label model is a mixture of a clean and a toxic class with a shared covariance of the
-   votes, so that voters which err together count once; expectation-maximisation runs over the counts of all
-   documents' vote patterns.
-4. A logistic regression over cues is trained on the posteriors of the sample's rows, and on rows with one sure
-   cue alone; all rows are scored with it.
-
-Defined results: null and empty texts have no cue and get the score of such a text. Without any label or cue the
-fixed list alone decides. Rows with a null id are scored, and never learned from. Several labels of one id count
+3. Voters: the fixed list, words, beginnings and sure cues mined from either half, shouting, and the annotators' labels of
+   rows to learn from, who may err like the others. The label model is a mixture of a clean and a toxic class; each
+   voter has an error rate in either, and counts the less the more its errors go with other voters', so that voters
+   which err together count once. Expectation-maximisation runs over the counts of all documents' vote patterns.
+4. A logistic regression over cues is trained on the posteriors of all documents, labelled or not, summed over those
+   with the same cues, and on rows with one sure cue alone; all rows are scored with it. The driver holds a row for
+   each distinct set of cues.
+
+Defined results: null and empty texts have no cue and get the score of such a text. Without any label the voters are
+the fixed list and shouting. Rows with a null id are scored, and never learned from. Several labels of one id count
 as toxic if one is. Repeated rows are scored each. Only the named columns are read.
 """
 
@@ -36,7 +37,7 @@ BEGINNINGS = range(3, 9)
 KNOWN_CLEAN = 400_000
 # English insults.
 INSULTS = ("bastard", "bitch", "clown", "creep", "crap", "cretin", "disgusting", "dumb", "dumbass", "fool", "freak", "garbage", "idiot", "idiotic", "imbecile", "jerk", "liar", "loser", "lunatic", "moron", "moronic", "pathetic", "pig", "retard", "scum", "scumbag", "stupid", "trash", "ugly", "vermin", "worthless")
-VOTERS = ("insults", "words_a", "words_b", "starts_a", "starts_b", "shouting", "annotator")
+VOTERS = ("insults", "words_a", "words_b", "starts_a", "starts_b", "sure_a", "sure_b", "shouting", "annotator")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,7 +47,7 @@ def cues_of(word: str) -> list[str]:
 
 
 def shouts(text: str, words: int) -> bool:
-    return words >= 4 and (sum(map(str.isupper, text[:4000])) > 0.6 * sum(map(str.isalpha, text[:4000])) or text.count("!") > 0.5 * words)
+    return words >= 4 and (sum(map(str.isupper, text)) > 0.6 * sum(map(str.isalpha, text)) or text.count("!") > 0.5 * words)
 
 
 def cue_counts(sample: DataFrame) -> DataFrame:
@@ -83,48 +84,63 @@ class Model:
     accuracy: dict[str, float]  # of each voter, as the label model estimates it
 
 
-def label_posteriors(patterns: np.ndarray, count: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict[str, float]]:
-    """Probability of the toxic class for each vote pattern (1, -1, 0: abstains), and the voters' accuracies."""
-    x = patterns.astype(float)
-    p = np.clip(0.5 + 0.45 * np.where(x[:, -1] != 0, x[:, -1], np.sign(x[:, :-2].sum(axis=1) + 4.5)), 0.05, 0.95)  # one cue of five is a start
-    clamp = x[:, -1] != 0
+def label_posteriors(patterns: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, dict[str, float]]:
+    """Probability of the toxic class for each vote pattern (1, -1, 0: abstains), and the voters' accuracies.
+
+    The last voter, the annotator, says nothing where it abstains; of the others only firing or not is known.
+    """
+    fires, said = (patterns[:, :-1] > 0).astype(float), patterns[:, -1]
+    p = np.where(fires.any(axis=1), 0.95, 0.05)  # a start: one cue is enough, or what annotators mostly say of such votes
+    if said.any():
+        _, same = np.unique(patterns[:, :-1], axis=0, return_inverse=True)
+        toxic, told = (np.bincount(same.ravel(), weights=count * w)[same.ravel()] for w in (said > 0, said != 0))
+        p = np.clip((toxic + 0.5 * p) / (told + 0.5), 0.02, 0.98)
+    first = None
     for _ in range(rounds):
-        w1, w0 = count * p, count * (1 - p)
-        m1, m0 = (w1 @ x) / max(w1.sum(), 1e-9), (w0 @ x) / max(w0.sum(), 1e-9)
-        d1, d0 = x - m1, x - m0
-        cov = ((d1 * w1[:, None]).T @ d1 + (d0 * w0[:, None]).T @ d0) / count.sum() + 0.02 * np.eye(x.shape[1])
-        inv = np.linalg.inv(cov)
-        prior = np.clip(w1.sum() / count.sum(), 1e-4, 0.9)
-        z = x @ inv @ (m1 - m0) - 0.5 * (m1 @ inv @ m1 - m0 @ inv @ m0) + np.log(prior / (1 - prior))
-        new = np.where(clamp, 0.5 + 0.49 * x[:, -1], 1 / (1 + np.exp(-np.clip(z, -30, 30))))  # annotators err rarely
-        if np.abs(new - p).max() < 1e-4:
+        w = np.stack([count * (1 - p), count * p])
+        mass = w.sum(axis=1)[:, None]
+        rate = (w @ fires) / np.maximum(mass, 1e-9)
+        first = rate if first is None else first
+        rate = np.clip((w @ fires + 5 * first) / (mass + 5), 1e-4, 1 - 1e-4)  # as of five more votes like those at the start
+        off = [fires - rate[k] for k in (0, 1)]
+        cov = sum((d * w[k][:, None]).T @ d for k, d in enumerate(off)) / count.sum()
+        scale = np.sqrt(np.diag(cov)) + 1e-6
+        once = 1 / np.maximum(np.abs(cov / np.outer(scale, scale)).sum(axis=1), 1)  # a voter's share of those that err with it
+        prior = np.clip(mass[1, 0] / count.sum(), 1e-4, 0.9)
+        z = np.log(prior / (1 - prior)) + (fires * np.log(rate[1] / rate[0]) + (1 - fires) * np.log((1 - rate[1]) / (1 - rate[0]))) @ once
+        wrong, hit = (w @ (said > 0) + np.array([1, 9])) / (w @ (said != 0) + 10)  # as of ten more labels with one error
+        z += np.where(said > 0, np.log(hit / wrong), np.where(said < 0, np.log((1 - hit) / (1 - wrong)), 0.0))
+        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        done, p = np.abs(new - p).max() < 1e-4, new
+        if done:
             break
-        p = new
+    x = patterns.astype(float)
     voted = np.abs(x) > 0
     right = np.where(x > 0, p[:, None], 1 - p[:, None])
     return p, {v: float((count[:, None] * voted * right)[:, k].sum() / max((count[:, None] * voted)[:, k].sum(), 1e-9)) for k, v in enumerate(VOTERS)}
 
 
-def logistic(rows: list[list[int]], target: np.ndarray, mass: np.ndarray, n: int, rounds: int = 3000, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression over cue sets, by accelerated gradient over distinct sets."""
-    distinct: dict[tuple, list[float]] = {}
-    for r, t, m in zip(rows, target.tolist(), mass.tolist(), strict=True):
-        entry = distinct.setdefault(tuple(r), [0.0, 0.0])
-        entry[0] += m
-        entry[1] += m * t
-    share, goal = np.array(list(distinct.values())).T / mass.sum()
-    size = np.array([len(r) for r in distinct], dtype=np.int64)
-    flat = np.array([c for r in distinct for c in r], dtype=np.int64)
-    owner = np.repeat(np.arange(len(distinct)), size)
+def logistic(size: np.ndarray, flat: np.ndarray, target: np.ndarray, mass: np.ndarray, start: np.ndarray, rounds: int = 3000, prior: float = 0.25) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression over cue sets, by accelerated gradient.
+
+    ``size`` and ``flat``: the sets one after the other; ``mass`` documents have each. ``start`` is what a weight is
+    drawn to, with the force of ``prior`` documents.
+    """
+    share = mass / mass.sum()
+    goal, ridge, n = share * target, prior / mass.sum(), len(start)
+    owner = np.repeat(np.arange(len(size)), size)
     curve = np.bincount(flat, weights=(share * np.maximum(size, 1))[owner], minlength=n) / 4 + ridge  # bound of the second derivative
-    w, b, vw, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
+    w, b, vw, vb = start.copy(), -2.0, np.zeros(n), 0.0
     for k in range(rounds):
-        z = b + vb + np.bincount(owner, weights=(w + vw)[flat], minlength=len(distinct))
+        z = b + vb + np.bincount(owner, weights=(w + vw)[flat], minlength=len(size))
         err = share / (1 + np.exp(-np.clip(z, -30, 30))) - goal
         keep = min(0.99, (k + 1) / (k + 4))
-        stepped, moved = w + vw - (np.bincount(flat, weights=err[owner], minlength=n) + ridge * (w + vw)) / (curve * 2), b + vb - err.sum() * 2
+        stepped, moved = w + vw - (np.bincount(flat, weights=err[owner], minlength=n) + ridge * (w + vw - start)) / (curve * 2), b + vb - err.sum() * 2
         vw, vb = keep * (stepped - w), keep * (moved - b)
+        done = max(np.abs(stepped - w).max(initial=0.0), abs(moved - b)) < 1e-5
         w, b = stepped, moved
+        if done:
+            break
     return w, b
 
 
@@ -173,20 +189,20 @@ def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     sample = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(F.broadcast(ids), "doc").withColumn("half", F.pmod("h", F.lit(2)).cast("int"))
     sample = cut(sample.select("doc", "text", "half", "toxic"))
     size = {(r.half, r.toxic): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
-    mined: dict[str, set[str]] = {"words_a": set(), "words_b": set(), "starts_a": set(), "starts_b": set()}
+    mined: dict[str, set[str]] = {"words_a": set(), "words_b": set(), "starts_a": set(), "starts_b": set(), "sure_a": set(), "sure_b": set()}
     kept: list[str] = []
-    seen: dict[str, tuple[int, int]] = {}
     if any(t for _, t in size):
         n = [[size.get((h, t), 0) for t in (1, 0)] for h in (0, 1)]
         counts = cue_counts(sample)
-        fit = counts.select("cue", (F.col("pos0") + F.col("pos1")).alias("pos"), (F.col("neg0") + F.col("neg1")).alias("neg"), *[x.alias(a) for h in (0, 1) for a, x in zip((f"g{h}", f"o{h}"), g2(F.col(f"pos{h}"), F.col(f"neg{h}"), *n[h]), strict=True)], *[x.alias(a) for a, x in zip(("g", "o"), g2(F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1"), n[0][0] + n[1][0], n[0][1] + n[1][1]), strict=True)])
+        fit = counts.select("cue", (F.col("pos0") + F.col("pos1")).alias("pos"), (F.col("neg0") + F.col("neg1")).alias("neg"), "pos0", "neg0", "pos1", "neg1", *[x.alias(a) for h in (0, 1) for a, x in zip((f"g{h}", f"o{h}"), g2(F.col(f"pos{h}"), F.col(f"neg{h}"), *n[h]), strict=True)], *[x.alias(a) for a, x in zip(("g", "o"), g2(F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1"), n[0][0] + n[1][0], n[0][1] + n[1][1]), strict=True)])
         listed = fit.where((F.col("g") >= MIN_G2) & (F.col("o") >= MIN_ODDS)).orderBy(F.desc("g"), "cue").limit(MAX_CUES).collect()
-        seen = {r.cue: (r.pos, r.neg) for r in listed}
         for r in listed:
             kept.append(r.cue)
             for h, half in enumerate("ab"):
                 if r[f"o{h}"] >= MIN_ODDS and r[f"g{h}"] >= MIN_G2 / 2:
                     mined[("starts_" if r.cue[-1] == "*" else "words_") + half].add(r.cue)
+                    if r[f"pos{h}"] >= SURE * (r[f"pos{h}"] + r[f"neg{h}"] + 1):
+                        mined["sure_" + half].add(r.cue)
     cues = {c: k for k, c in enumerate(dict.fromkeys([*kept, *INSULTS]))}
     found = cut(find_cues(docs, cues, doc, text))
 
@@ -194,29 +210,31 @@ def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
         listed = [cues[c] for c in names if c in cues]
         return F.when(F.arrays_overlap("cues", F.array(*[F.lit(c) for c in listed]).cast("array<int>")), 1).otherwise(-1) if listed else F.lit(0)
 
-    votes = found.join(marked.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").select(
-        "doc", "cues", vote(INSULTS).alias("insults"), *[vote(mined[v]).alias(v) for v in VOTERS[1:5]],
+    votes = found.where("doc is not null").join(marked.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").select(
+        "doc", "cues", vote(INSULTS).alias("insults"), *[vote(mined[v]).alias(v) for v in VOTERS[1:7]],
         F.when(F.col("shouting"), 1).otherwise(0).alias("shouting"), F.coalesce(2 * F.col("toxic") - 1, F.lit(0)).alias("annotator"),
     )
-    groups = votes.groupBy(*VOTERS).count().collect()  # at most 3 ** 7 patterns
+    groups = cut(votes.groupBy("cues", *VOTERS).count())
+    patterns = groups.groupBy(*VOTERS).agg(F.sum("count").alias("n")).orderBy(*VOTERS).collect()  # at most 3 ** 9
     weight, bias, accuracy = np.zeros(len(cues)), -2.0, {}
     for c in INSULTS:
         weight[cues[c]] = 4.0
-    if groups:
-        patterns = np.array([[r[v] for v in VOTERS] for r in groups])
-        post, accuracy = label_posteriors(patterns, np.array([r["count"] for r in groups], dtype=float))
-        belief = {tuple(p): q for p, q in zip(patterns.tolist(), post.tolist(), strict=True)}
-        rows = votes.join(F.broadcast(ids.select(F.col("doc").alias("_i"))), F.col("doc") == F.col("_i"), "left_semi").orderBy("doc", "cues").collect()
-        if rows and mined and kept:
-            sets, target, mass = [r.cues for r in rows], [belief[tuple(r[v] for v in VOTERS)] for r in rows], [1.0] * len(rows)
-            for c, (pos, neg) in seen.items():
-                if pos < SURE * (pos + neg + 1):
-                    continue  # what else such texts have decides
-                # a row with this cue alone, as the sample's toxic texts mostly have several
-                sets.append(sorted({cues[x] for x in cues_of(c.rstrip("*")) + [c] if x in cues}))
-                target.append((pos + 0.1) / (pos + neg + 1))
-                mass.append((pos + neg) / 4)
-            weight, bias = logistic(sets, np.array(target), np.array(mass), len(cues))
+    if patterns:
+        post, accuracy = label_posteriors(np.array([[r[v] for v in VOTERS] for r in patterns]), np.array([r.n for r in patterns], dtype=float))
+        belief = docs.sparkSession.createDataFrame([(*(r[v] for v in VOTERS), q) for r, q in zip(patterns, post.tolist(), strict=True)], ", ".join(f"{v} int" for v in VOTERS) + ", q double")
+        sets = groups.join(F.broadcast(belief), list(VOTERS)).groupBy("cues").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("q")).alias("toxic")).orderBy("cues").toArrow().combine_chunks()
+        listed, n, toxic = sets["cues"].combine_chunks(), sets["n"].to_numpy().astype(float), sets["toxic"].to_numpy()
+        size, flat = np.diff(listed.offsets.to_numpy()).astype(np.int64), listed.flatten().to_numpy().astype(np.int64)
+        target = toxic / n
+        # a row with each sure cue alone, as toxic texts mostly have several; of other cues what else such texts have decides
+        owner = np.repeat(np.arange(len(size)), size)
+        held, bad = (np.bincount(flat, weights=m[owner], minlength=len(cues)) for m in (n, toxic))
+        for c, k in cues.items():
+            if held[k] and bad[k] >= SURE * (held[k] + 1):
+                alone = sorted({cues[x] for x in cues_of(c.rstrip("*")) + [c] if x in cues})
+                size, flat = np.append(size, len(alone)), np.append(flat, alone)
+                target, n = np.append(target, (bad[k] + 0.1) / (held[k] + 1)), np.append(n, held[k] / 4)
+        weight, bias = logistic(size, flat, target, n, weight)
     model = Model(cues, weight, float(bias), accuracy)
     return scored(found, model).withColumnRenamed("doc", doc), model
 
