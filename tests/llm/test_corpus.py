@@ -103,6 +103,16 @@ def test_html_structure_and_differencing(spark):
     assert got == {1: "T & x\none two three\nfour\nfive", 2: "", 3: "red", 4: "blue", 5: ""}
 
 
+def test_html_difference_decides_beside_articles_and_past_copies(spark):
+    beside = "<body><p>Site name<h1>{0} headline</h1><article>{0} teaser</article><p>Contact us"
+    plain = "<body><p>Site name<p>{}<p>Contact us"
+    made = [("a", beside, "red"), ("a", beside, "blue"), ("b", plain, "red"), ("b", plain, "red"), ("b", plain, "blue"), ("b", plain, "blue"), ("c", plain, "red"), ("c", plain, "red")]
+    rows = [(k, f"http://{host}.example/{k}", page.format(word)) for k, (host, page, word) in enumerate(made)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    alone = "Site name\nred\nContact us"
+    assert got == {0: "red headline\nred teaser", 1: "blue headline\nblue teaser", 2: "red", 3: "red", 4: "blue", 5: "blue", 6: alone, 7: alone}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(500):

@@ -6,12 +6,13 @@ longest common subsequence of its lines and its neighbour's are lines the site r
 
 * inside scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts or comments: never kept;
 * inside an article or main element: kept. Differencing alone would delete a sentence that two articles share;
-* elsewhere: kept unless the neighbour has them too, and only on pages that have no article at all.
+* elsewhere: kept unless the neighbour has them too, with or without an article on the page.
 
 Defined results: null and empty pages give the empty text. Pages without a host form one host of their own; a page
-alone in its host is compared with nothing. Repeated rows with one URL and id: a neighbour with the very same lines
-is no evidence and deletes nothing. Unclosed elements end with their parent. No row is dropped and no text is
-capped; a task holds two pages.
+alone in its host is compared with nothing. A neighbour with the very same lines is a copy and no evidence: the nearest
+page whose lines differ is compared instead, the one before in this order, or at the start of a host the one after.
+Unclosed elements end with their parent. No row is dropped and no text is capped; a task holds three pages, and the
+ids and URLs of the copies that begin a host.
 """
 
 from __future__ import annotations
@@ -117,12 +118,10 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(own: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> str:
     """The kept lines of a page, one a line; ``other``: the neighbour's lines."""
-    if any(z == "main" for z, _ in own):
-        return "\n".join(t for z, t in own if z == "main")
-    mine = [t for z, t in own if z == "open"]
+    mine = [k for k, (z, _) in enumerate(own) if z == "open"]
     theirs = [t for z, t in other or [] if z == "open"]
-    gone = shared_lines(mine, theirs) if mine != theirs else set()
-    return "\n".join(t for k, t in enumerate(mine) if k not in gone)
+    gone = {mine[k] for k in shared_lines([own[k][1] for k in mine], theirs)}
+    return "\n".join(t for k, (z, t) in enumerate(own) if z != "outside" and k not in gone)
 
 
 def host_of(url: Column) -> Column:
@@ -139,31 +138,36 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     kind = source.schema["page"].dataType.simpleString()
     source = source.repartitionByRange("host", "path", "page").sortWithinPartitions("host", "path", "page").select("page", "url", "html", "host")
 
+    def made(ids: list, urls: list, texts: list, id_type: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], dtype=np.int64))], names=["page", "url", "text", "n_chars"])
+
+    def copies(waiting: list[tuple], own: list, other: list | None, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        text = main_text(own, other) if waiting else ""
+        for k in range(0, len(waiting), 500):
+            part = waiting[k : k + 500]
+            yield made([i for i, _ in part], [u for _, u in part], [text] * len(part), id_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_host, last, waiting = None, None, None  # waiting: the first page of a host, until its next one is known
+        last_host, last, unlike, waiting = None, None, None, []  # unlike: the latest lines that differ from last; waiting: the first page of a host and its copies, until other lines are known
         for batch in batches:
             ids, urls, texts = [], [], []
-
-            def put(row: tuple, other: list | None) -> None:
-                ids.append(row[0]), urls.append(row[1]), texts.append(main_text(row[2], other))  # noqa: B023
-
             for i, u, h, host in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 row = (i.as_py(), u.as_py(), lines_of(h.as_py()))
-                if host == last_host:
-                    if waiting:
-                        put(waiting, row[2])
-                        waiting = None
-                    put(row, last)
-                else:
-                    if waiting:
-                        put(waiting, None)
-                    waiting, last_host = row, host
+                if host != last_host:
+                    yield from copies(waiting, last, None, batch.column(0).type)
+                    waiting, last_host, unlike = [], host, None
+                elif row[2] != last:
+                    yield from copies(waiting, last, row[2], batch.column(0).type)
+                    waiting, unlike = [], last
                 last = row[2]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], dtype=np.int64))], names=["page", "url", "text", "n_chars"])
+                if unlike is None:
+                    waiting.append(row[:2])
+                else:
+                    ids.append(row[0]), urls.append(row[1]), texts.append(main_text(row[2], unlike))
+            yield made(ids, urls, texts, batch.column(0).type)
             kind_of = batch.column(0).type
         if waiting:
-            t = main_text(waiting[2], None)
-            yield pa.RecordBatch.from_arrays([pa.array([waiting[0]], kind_of), pa.array([waiting[1]], pa.string()), pa.array([t], pa.string()), pa.array([len(t)], pa.int64())], names=["page", "url", "text", "n_chars"])
+            yield from copies(waiting, last, None, kind_of)
 
     out = source.mapInArrow(run, f"page {kind}, url string, text string, n_chars long")
     return out.select(F.col("page").alias(page), F.col("url").alias(url), "text", "n_chars")
