@@ -113,6 +113,15 @@ def test_html_difference_decides_beside_articles_and_past_copies(spark):
     assert got == {0: "red headline\nred teaser", 1: "blue headline\nblue teaser", 2: "red", 3: "red", 4: "blue", 5: "blue", 6: alone, 7: alone}
 
 
+def test_html_names_do_not_drop_main_text():
+    for element, name in (("main", "content with-sidebar"), ("article", "post has-comments"), ("article", "category-search"), ("article", "search"), ("main", "widget")):
+        assert html.lines_of(f"<body><{element} class='{name}'><p>text</{element}>") == [("main", "text")]
+    assert html.lines_of("<body><div class='no-sidebar'><p>text</div>") == [("open", "text")]
+    assert html.lines_of("<div class='widget'><p>a</p><main><p>b</main>") == [("outside", "a"), ("main", "b")]
+    page = "<article><div class='post-header'><h1>head</h1></div><div class='post-share'>x</div><div class='ad-banner'>y</div><div id=comments>z</div></article>"
+    assert html.lines_of(page) == [("main", "head"), ("open", "x"), ("outside", "y"), ("outside", "z")]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(500):

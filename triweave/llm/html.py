@@ -5,8 +5,8 @@ neighbour, also for a host that holds a third of all pages. A page is read into
 longest common subsequence of its lines and its neighbour's are lines the site repeats. Lines are judged so:
 
 * inside scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts or comments: never kept;
-* inside an article or main element: kept. Differencing alone would delete a sentence that two articles share;
-* elsewhere: kept unless the neighbour has them too, with or without an article on the page.
+* inside an article or main element: kept, whatever that element is named. Differencing alone would delete a sentence that two articles share;
+* elsewhere, also in blocks with a name that only partly says so (``post-share``): kept unless the neighbour has them too, with or without an article on the page.
 
 Defined results: null and empty pages give the empty text. Pages without a host form one host of their own; a page
 alone in its host is compared with nothing. A neighbour with the very same lines is a copy and no evidence: the nearest
@@ -33,12 +33,32 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 OUTSIDE = frozenset("nav header footer aside form button select option head menu dialog noscript object embed".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-# Words in class, id and role names that mark what is not main text.
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget|masthead|pagination|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+# Words in class, id and role names that mark what is not main text, and beginnings of names that only say what a block has.
+BAD_NAME = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget|masthead|pagination|complementary|contentinfo|search)", re.I)
+HEADS = frozenset(("header", "masthead"))
+FRAME = frozenset("site main page top bottom left right primary secondary global list box block container wrap wrapper area section inner links buttons item".split())
+MODIFIERS = frozenset(("with", "has", "have", "no", "not", "without", "is"))
 SPACE = re.compile(r"\s+")
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 
+def named_zone(attributes: str, zone: str) -> str:
+    """Zone of an element by its class, id and role: outside if all words of a name are bad, open if only some are."""
+    new = zone
+    for found in NAMED.findall(attributes):
+        for name in next((x for x in found if x), "").lower().split():
+            words = [w for w in re.split("[_-]+", name) if w]
+            if not words or words[0] in MODIFIERS:
+                continue
+            words = [w for w in words if w not in FRAME] or words
+            bad = [BAD_NAME.fullmatch(w) is not None and not (zone == "main" and w in HEADS) for w in words]
+            if all(bad):
+                return "outside"
+            if any(bad):
+                new = "open"
+    return new
+
+
 def lines_of(page: str) -> list[tuple[str, str]]:
     """(zone, text) of each block in page order; zone: main, outside or open."""
     out: list[tuple[str, str]] = []
@@ -75,13 +95,15 @@ def lines_of(page: str) -> list[tuple[str, str]]:
             stack.pop()
             zone = stack[-1][1] if stack else "open"
         new = zone
-        if zone != "outside":
+        if name == "main":
+            new = "main"
+        elif zone != "outside":
             if name in OUTSIDE and not (name == "header" and zone == "main"):
                 new = "outside"
-            elif m[4] and any(BAD_NAMES.search(next(x for x in n if x)) for n in NAMED.findall(m[4]) if any(n)) and name not in ("html", "body"):
-                new = "outside"
             elif name in MAIN:
                 new = "main"
+            elif m[4] and name not in ("html", "body"):
+                new = named_zone(m[4], zone)
         if name not in VOID and not m[4].rstrip().endswith("/"):
             if name not in BLOCK and new != zone:
                 flush()
