@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -132,6 +133,15 @@ def test_snapshot_store_and_diff(spark, tmp_path):
     assert snapshots.read_run(spark, f"file://{tmp_path}", 2026, 1).count() == 2
 
 
+def test_report_hash_sees_every_change_and_no_order(spark):
+    base = [(f"k{k}", hashlib.sha256(str(k).encode()).hexdigest()) for k in range(4000)]
+    changed = [*base[:-1], ("k3999", base[-1][1][:2] + "0" * 62)]
+    swapped = [(base[1][0], base[0][1]), (base[0][0], base[1][1]), *base[2:]]
+    runs = (base, base[::-1], changed, swapped, base + base[:1], base[:-1], [])
+    got = [spark.createDataFrame(r, "row_key string, row_hash string").agg(snapshots.report_hash(F.col("row_key"), F.col("row_hash")).alias("h")).first().h for r in runs]
+    assert got[0] == got[1] and len(set(got)) == 6
+
+
 def test_rate_audit_waits(spark):
     e = spark.createDataFrame([(1, dt.datetime(2026, 1, 1, 0, 0, 0, k * 1000)) for k in range(9)], "u int, ts timestamp")
     got = [r.wait_ms for r in windows.rate_audit(e, "u", "ts", ((1000, 8),)).orderBy("ts_ms").collect()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,10 +18,17 @@ def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("removed"), F.count_if(F.col("old") != F.col("new")).alias("changed"))
 
 
+def report_hash(key: Column, row_hash: Column) -> Column:
+    """Aggregate: hash of all rows' keys and hashes, whatever their order; sums of two 64-bit hashes a row, and the count."""
+    pair = F.sha2(F.to_json(F.struct(key.alias("k"), row_hash.alias("h")), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(pair, at, 16), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), part(1), part(17)), 256)
+
+
 def store_run(rows: DataFrame, store: str, year: int, run_id: int) -> None:
     """Rows first, header last: a run counts once its header is there, so a failed run leaves nothing behind."""
     rows.write.mode("overwrite").parquet(f"{store}/rows/year={year}/run_id={run_id}")
-    head = rows.sparkSession.read.parquet(f"{store}/rows/year={year}/run_id={run_id}").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.substring("row_hash", 1, 2))), ""), 256).alias("report_hash"))
+    head = rows.sparkSession.read.parquet(f"{store}/rows/year={year}/run_id={run_id}").agg(F.count("*").alias("n_rows"), report_hash(F.col("row_key"), F.col("row_hash")).alias("report_hash"))
     head.write.mode("overwrite").parquet(f"{store}/headers/year={year}/run_id={run_id}")
 
 
