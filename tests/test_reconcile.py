@@ -155,6 +155,17 @@ def test_attachments_children_first(spark):
     assert got == [(0, "m1_body_0.txt"), (2, "top.pdf")]
 
 
+def test_cached_record_must_agree_in_every_field(spark):
+    full = inv("FV/1", due_date=dt.date(2026, 1, 9), net_amount_minor=8000, seller_name="Abc Ltd")
+    others = ({"seller_tax_id": "2222222222"}, {"due_date": dt.date(2026, 1, 8)}, {"net_amount_minor": 7000}, {"seller_name": "Xyz Ltd"}, {"seller_name": None}, {})
+    fresh = feed(spark, "mail", *[full for _ in others]).select(*COLUMNS)
+    keyed = lambda rows: spark.createDataFrame([{**r.asDict(), "content_hash": str(k)} for k, r in enumerate(rows)], fresh.schema)
+    first = fresh.limit(1).collect()[0].asDict()
+    cached = spark.createDataFrame([{**first, **o, "content_hash": str(k)} for k, o in enumerate(others)], fresh.schema)
+    got = mailbox.reuse_cached(keyed(fresh.collect()), cached).collect()
+    assert [r.content_hash for r in got] == ["5"]
+
+
 def test_unknown_source_is_an_error(spark):
     import pytest
 

@@ -10,6 +10,7 @@ from triweave.functions.numbers import canonical_number
 from triweave.functions.records import is_placeholder
 
 DEPTH = 5  # levels of a message tree that are read
+CACHED_FIELDS = ("invoice_number", "seller_tax_id", "buyer_tax_id", "issue_date", "sale_date", "due_date", "gross_amount_minor", "net_amount_minor", "vat_amount_minor", "currency", "ksef_reference")
 ALLOWED = ("xml", "json", "txt", "eml", "pdf")
 
 
@@ -65,10 +66,11 @@ def complete_messages(plan: DataFrame, present: DataFrame) -> DataFrame:
     return plan.join(p, ["message_id", "filename"], "left").groupBy("message_id").agg(F.bool_and(F.coalesce("_here", F.lit(False))).alias("complete"))
 
 
-def reuse_cached(fresh: DataFrame, cached: DataFrame, fields: tuple[str, ...] = ("invoice_number", "issue_date", "gross_amount_minor", "currency")) -> DataFrame:
-    """Hashes whose cached record agrees with every field that the fresh one has."""
-    c = cached.select("content_hash", *[F.col(f).alias(f"_{f}") for f in fields])
-    same = F.forall(F.array(*[F.col(f).isNull() | F.coalesce(F.col(f) == F.col(f"_{f}"), F.lit(False)) for f in fields]), lambda x: x)
+def reuse_cached(fresh: DataFrame, cached: DataFrame, fields: tuple[str, ...] = CACHED_FIELDS, names: tuple[str, ...] = ("seller_name", "buyer_name")) -> DataFrame:
+    """Hashes whose cached record agrees with every field that the fresh one has, and with every name that is no placeholder."""
+    c = cached.select("content_hash", *[F.col(f).alias(f"_{f}") for f in (*fields, *names)])
+    agree = lambda f: F.col(f).isNull() | F.coalesce(F.col(f) == F.col(f"_{f}"), F.lit(False))
+    same = F.forall(F.array(*[agree(f) for f in fields], *[agree(f) | F.coalesce(is_placeholder(F.col(f)), F.lit(False)) for f in names]), lambda x: x)
     return fresh.join(c, "content_hash").where(same).select("content_hash")
 
 
