@@ -14,6 +14,7 @@ plus ``MAX_WORDS`` distinct words, and by the longest single text.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re as std_re
 import unicodedata
@@ -93,23 +94,24 @@ class Vocabulary:
 class Codec:
     """Encodes and decodes texts with a vocabulary; one per task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         self.v = Vocabulary(path)
         self.words_of = regex.compile(self.v.pattern).findall
         letters = self.v.ascii_pattern
         if self.v.keeps_all:
             letters = letters.replace(f"[^{WHITE}[A-Za-z][0-9]]", f"[^{WHITE}A-Za-z0-9]")
         self.ascii_words_of = std_re.compile(letters, std_re.ASCII).findall
+        self.max_words = max_words
         self.forget()
 
     def forget(self) -> None:
         self.ids: dict[str, int] = {}
-        self.of_word: list[np.ndarray] = []
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def split(self, text: str) -> list[str]:
         """Words of a text in order; an added token is a word of its own, told by a leading NUL."""
         v, out = self.v, []
-        parts = v.added_pattern.split(text) if v.added_pattern and "<|" in text else [text]
+        parts = v.added_pattern.split(text) if any(t in text for t in v.added) else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 out.append("\0" + part)
@@ -120,18 +122,19 @@ class Codec:
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text; the new words of all of them are merged together."""
-        if len(self.ids) > MAX_WORDS:
+        if len(self.ids) > self.max_words:
             self.forget()
-        known, docs = self.ids, []
-        for text in texts:
-            docs.append(np.array([known.setdefault(w, len(known)) for w in self.split(text)], dtype=np.int32))
-        new = [w for w, i in known.items() if i >= len(self.of_word)] if len(known) > len(self.of_word) else []
-        if new:
-            self.of_word += self.merged(new)
-            self.flat = np.concatenate([*self.of_word, np.zeros(0, np.int32)])
-            self.size = np.array([len(x) for x in self.of_word], dtype=np.int64)
+        listed = [self.split(text) for text in texts]
+        coded = pa.array([w for words in listed for w in words], pa.string()).dictionary_encode()
+        known, before = self.ids, len(self.ids)
+        here = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        if len(known) > before:
+            flat, size = self.merged(list(itertools.islice(known, before, None)))
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
             self.start = np.cumsum(self.size) - self.size
-        return [self.joined(d) for d in docs]
+        every = here[coded.indices.to_numpy()] if len(here) else here
+        ends = np.cumsum([len(words) for words in listed], dtype=np.int64)
+        return [self.joined(every[end - len(words) : end]) for end, words in zip(ends.tolist(), listed, strict=True)]
 
     def joined(self, words: np.ndarray) -> np.ndarray:
         if not len(words):
@@ -140,8 +143,8 @@ class Codec:
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[words] - (ends - size), size) + np.arange(ends[-1])]
 
-    def merged(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of distinct words: one symbol array for all, merged rank by rank through the index."""
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has: one symbol array for all, merged rank by rank through the index."""
         v = self.v
         raw = [b"" if w[0] == "\0" and w[1:] in v.added else w.encode("utf-8", "surrogatepass") for w in words]
         size = np.array([len(b) for b in raw], dtype=np.int64)
@@ -197,8 +200,12 @@ class Codec:
             add(np.unique(np.concatenate([left[left >= 0], at[has]])))
         alive = sym >= 0
         kept = np.r_[0, np.cumsum(alive)]
-        out = np.split(sym[alive], kept[ends[:-1]]) if len(ends) > 1 else [sym[alive]]
-        return [np.array([v.added[w[1:]]], np.int32) if w[0] == "\0" and w[1:] in v.added else ids for w, ids in zip(words, out, strict=True)]
+        flat, size = sym[alive], kept[ends] - kept[ends - size]
+        special = [k for k, w in enumerate(words) if w[0] == "\0" and w[1:] in v.added]
+        if special:
+            flat = np.insert(flat, (np.cumsum(size) - size)[special], [v.added[words[k][1:]] for k in special])
+            size[special] = 1
+        return flat, size
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes put together for byte-level decoders, else the tokens with one space between."""

@@ -14,12 +14,14 @@ exceptions, so one block can be read without its neighbours.
 
 Defined results: a null text counts as empty and gives the end id alone; null document ids come first; repeated ids
 are ordered by their texts' hash, and all are kept. An empty table gives an empty data set. Only the id and text
-columns are read. A segment holds at least one whole document, so memory is bounded by the longest single text.
+columns are read. A segment holds at least one whole document, so memory is bounded by the longest single text. Long
+runs of blanks or line feeds are one word of their length.
 """
 
 from __future__ import annotations
 
-import json
+import functools
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from triweave.llm.bpe import BYTE_LEVEL, byte_alphabet
+from triweave.llm import bpe
 
 SEGMENT = 262_144
 BLOCK = 128
 PERCENTILE = 0.9
+MAX_WORDS = 400_000  # distinct words that a worker remembers
 MAGIC = b"PFR1"
 
 
@@ -115,19 +118,27 @@ def read_segment(payload: bytes) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(sizes)[:-1]) if n_docs else []
 
 
-def byte_level_encoder(path: str):
-    """Encoding function of a byte-level BPE file of the ``tokenizers`` library, where ids follow the merge order."""
-    import tiktoken
+class LibraryCodec(bpe.Codec):
+    """Ids as the ``tokenizers`` library gives them; it is asked once for each distinct word of a task."""
 
-    spec = json.loads(open(path, encoding="utf-8").read())
-    back = {c: b for b, c in enumerate(byte_alphabet())}
-    vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
-    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
-    if merged != sorted(merged):
-        raise ValueError("ids do not follow the merge order")
-    ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
-    coder = tiktoken.Encoding("tokens", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path, MAX_WORDS)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w[1:] if w[0] == "\0" and w[1:] in self.v.added else w for w in words]
+        ids = [e.ids for e in self.library.encode_batch_fast(plain, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64)
+
+
+@functools.lru_cache(1)
+def library_codec(path: str) -> LibraryCodec:
+    """One for a Python worker, as reading a vocabulary takes a while."""
+    return LibraryCodec(path)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc: str = "doc_id", text: str = "text") -> None:
@@ -137,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc:
     source = source.repartitionByRange("doc", "th").sortWithinPartitions("doc", "th").select("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = byte_level_encoder(vocabulary), TaskContext.get().partitionId()
+        codec, part = library_codec(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.uint32)
         before = held = 0
         names: list[pa.Array] = []
@@ -150,8 +161,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc:
 
         for batch in batches:
             first = 0
-            for k, t in enumerate(batch.column(1)):
-                x = np.concatenate([encode(t.as_py()).astype(np.uint32), end])
+            texts = batch.column(1).to_pylist()
+            found = (x for a, b in bpe.chunks(texts) for x in codec.encode(texts[a:b]))
+            for k, of in enumerate(found):
+                x = np.concatenate([of.astype(np.uint32), end])
                 ids.append(x)
                 held += len(x)
                 if held >= SEGMENT:
