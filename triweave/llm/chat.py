@@ -1,23 +1,29 @@
-"""Chat formatting: a hash of a record's nested field paths selects a declarative mapping to canonical turns.
+"""Chat formatting: a hash of nested field paths selects a declarative mapping to canonical turns.
 
-``turns_of_records`` reads JSON records of mixed layouts, ``turns_of_rows`` a table with a row for each turn;
-``format_turns`` writes them with one template and marks the loss spans; ``parse`` reads the output back.
+One table of mappings serves JSON records of mixed layouts (``turns_of_records``) and tables with a row for each
+turn (``turns_of_rows``): the paths that some mapping names are hashed, others are passengers, and the fingerprint
+is looked up. ``format_turns`` writes the turns with one template and marks the loss spans; ``parse`` reads the
+output back.
 
 Defined results: a record that is null, no JSON, or of an unknown layout keeps its row, with null turns and, if it
-parses, its fingerprint. Null texts and roles count as empty. Rows of one conversation are ordered by turn, role
-and text (nulls first), so ties and repeated rows give one result; all are kept. Rows without a conversation id
-form one conversation with a null id. Empty tables give empty results. Further columns are not read. A
-conversation is formatted as one value, so memory is bounded by the longest single conversation.
+parses, its fingerprint. Optional fields may be absent, and an empty array of messages gives no turns. Null texts and
+roles count as empty. Rows of one conversation are ordered by their order column, role and text (nulls first), so
+ties and repeated rows give one result; all are kept. Rows without a conversation id form one conversation with a
+null id. Empty tables give empty results. Further columns are not read. A conversation is formatted as one value, so
+memory is bounded by the longest single conversation.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,109 +33,145 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """Layout of a record: its field paths, and where its turns are.
+    """Layout of a record or table: the field paths that tell it, and where its turns are.
 
-    ``each`` names an array of messages with (role, text) fields; ``parts`` are (role, field paths) of single turns,
-    whose non-empty fields are joined by an empty line. ``roles`` renames roles.
+    A layout holds all ``required`` paths and any of the ``optional`` ones. ``each`` names an array of messages with
+    (role, text) fields; ``parts`` are (role, field paths) of single turns, whose non-empty fields are joined by an
+    empty line; ``rows`` are the columns (conversation, order, role, text) of a table with a row for each turn.
+    ``roles`` renames roles.
     """
 
     name: str
-    paths: tuple[str, ...]
+    required: tuple[str, ...]
+    optional: tuple[str, ...] = ()
     each: tuple[str, str, str] | None = None
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    rows: tuple[str, str, str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict, hash=False)
 
+    def layouts(self) -> Iterator[tuple[str, ...]]:
+        """The sets of paths that records of this layout have; an array without messages shows as its bare path."""
+        required = [self.required]
+        if self.each:
+            inside = f"{self.each[0]}[]."
+            required.append(tuple(p for p in self.required if not p.startswith(inside)) + (f"{self.each[0]}[]",))
+        for base in required:
+            for n in range(len(self.optional) + 1):
+                for more in itertools.combinations(self.optional, n):
+                    yield base + more
 
+
+NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 MAPPINGS = (
-    Mapping("messages", ("messages[].content", "messages[].role"), each=("messages", "role", "content")),
-    Mapping("system_messages", ("messages[].content", "messages[].role", "system"), each=("messages", "role", "content"), parts=(("system", ("system",)),)),
-    Mapping("from_value", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value"), roles={"human": "user", "gpt": "assistant", "bot": "assistant"}),
-    Mapping("prompt_response", ("prompt", "response"), parts=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("prompt_completion", ("completion", "prompt"), parts=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping("question_answer", ("answer", "question"), parts=(("user", ("question",)), ("assistant", ("answer",)))),
-    Mapping("instruction_output", ("instruction", "output"), parts=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping("instruction_input_output", ("input", "instruction", "output"), parts=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping("system_prompt_response", ("prompt", "response", "system"), parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("turn_rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Mapping("speaker_rows", ("dialog_id", "position", "speaker", "utterance"), rows=("dialog_id", "position", "speaker", "utterance"), roles=NAMES),
+    Mapping("messages", ("messages[].role",), ("messages[].content", "system"), each=("messages", "role", "content"), parts=(("system", ("system",)),)),
+    Mapping("from_value", ("conversations[].from",), ("conversations[].value", "system"), each=("conversations", "from", "value"), parts=(("system", ("system",)),), roles=NAMES),
+    Mapping("prompt_response", ("prompt", "response"), ("system",), parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("prompt_completion", ("prompt", "completion"), ("system",), parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Mapping("question_answer", ("question", "answer"), ("context",), parts=(("user", ("context", "question")), ("assistant", ("answer",)))),
+    Mapping("instruction_output", ("instruction", "output"), ("input", "system"), parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
 )
-TURN_ROWS = ("conv_id", "role", "text", "turn")
 
 
-def paths_of(schema: T.DataType, at: str = "") -> list[str]:
-    """Sorted nested field paths of a schema; array elements are written ``[]``."""
-    if isinstance(schema, T.StructType):
-        return sorted(p for f in schema for p in paths_of(f.dataType, f"{at}.{f.name}" if at else f.name))
-    if isinstance(schema, T.ArrayType):
-        return paths_of(schema.elementType, at + "[]")
-    return [at]
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "replace")).hexdigest()
+
+
+class Selection:
+    """Fingerprints of all layouts of a mapping table. Paths that no mapping names are passengers and not hashed."""
 
+    def __init__(self, mappings: tuple[Mapping, ...]):
+        self.known = {p for m in mappings for paths in m.layouts() for p in paths}
+        self.of: dict[str, Mapping] = {}
+        for m in mappings:
+            for paths in m.layouts():
+                self.of.setdefault(fingerprint(paths), m)
 
-def layout_text(paths: tuple[str, ...]) -> str:
-    """The nested form of sorted paths that ``schema_of_variant`` shows, without its leaf types."""
-    tree: dict = {}
-    for p in paths:
-        node = tree
-        for part in p.replace("[]", ".[]").split("."):
-            node = node.setdefault(part, {})
+    def choose(self, paths: Iterable[str]) -> tuple[str, Mapping | None]:
+        found = fingerprint(p for p in paths if p in self.known)
+        return found, self.of.get(found)
 
-    def show(node: dict) -> str:
-        if not node:
-            return "_"
-        if list(node) == ["[]"]:
-            return f"ARRAY<{show(node['[]'])}>"
-        return "OBJECT<" + ", ".join(f"{k}: {show(v)}" for k, v in sorted(node.items())) + ">"
 
-    return show(tree)
+def paths_of_schema(schema: T.DataType, at: str = "") -> set[str]:
+    """Nested field paths of a table; array elements are written ``[]``."""
+    if isinstance(schema, T.StructType):
+        return {p for f in schema for p in paths_of_schema(f.dataType, f"{at}.{f.name}" if at else f.name)}
+    return paths_of_schema(schema.elementType, at + "[]") if isinstance(schema, T.ArrayType) else {at}
 
 
-def fingerprint(layout: Column) -> Column:
-    return F.sha2(layout, 256)
+def paths_of_value(value: object, at: str = "") -> set[str]:
+    """Nested field paths of a parsed record; an empty array ends in ``[]``, one of plain values in ``[].``."""
+    if isinstance(value, dict):
+        return {p for k, v in value.items() for p in paths_of_value(v, f"{at}.{k}" if at else k)}
+    if isinstance(value, list):
+        return {p for v in value for p in (paths_of_value(v, at + "[]") if isinstance(v, dict | list) else {at + "[]."})} or {at + "[]"}
+    return {at}
 
 
-def record_layout(record: Column) -> Column:
-    """Nested field paths of one JSON record, leaf types left out (a null leaf is still a field)."""
-    shown = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(shown, r"\b(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|FLOAT|DECIMAL\(\d+,\s*\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY)(?=[,>]|$)", "_")
+def written(value: object) -> str:
+    """A leaf as text: null is empty, numbers and nested values are JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
-def mapped(m: Mapping, v: Column) -> Column:
-    """Canonical turns of a parsed record by one mapping."""
-    get = lambda path: F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
-    turns = []
+def mapped(m: Mapping, record: dict) -> list[dict]:
+    """Canonical turns of a record by its mapping; a part whose fields are all absent is no turn."""
+    out = []
     for role, paths in m.parts:
-        text = F.array_join(F.filter(F.array(*[get(p) for p in paths]), lambda x: x != ""), "\n\n")
-        turns.append(F.struct(F.lit(role).alias("role"), text.alias("text")))
-    single = F.array(*turns).cast(TURNS) if turns else F.array().cast(TURNS)
-    if not m.each:
-        return single
-    path, role, text = m.each
-    names = F.create_map(*[F.lit(x) for kv in m.roles.items() for x in kv]) if m.roles else None
-    rows = F.coalesce(F.try_variant_get(v, f"$.{path}", f"array<struct<`{role}`: string, `{text}`: string>>"), F.array().cast(f"array<struct<`{role}`: string, `{text}`: string>>"))
+        if any(p in record for p in paths):
+            out.append({"role": role, "text": "\n\n".join(t for t in (written(record.get(p)) for p in paths) if t)})
+    if m.each:
+        path, role, text = m.each
+        for x in record.get(path) or []:
+            name = written(x.get(role))
+            out.append({"role": m.roles.get(name, name), "text": written(x.get(text))})
+    return out
+
 
-    def turn(x: Column) -> Column:
-        r = F.coalesce(x[role], F.lit(""))
-        return F.struct((F.coalesce(names[r], r) if names is not None else r).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+def record_turns(record: str | None, selection: Selection) -> tuple[str | None, str | None, list[dict] | None]:
+    """Fingerprint, mapping name and turns of one JSON record."""
+    try:
+        value = json.loads(record or "")
+        found, m = selection.choose(paths_of_value(value))
+    except (ValueError, RecursionError):
+        return None, None, None
+    if m is None or m.rows or not isinstance(value, dict) or (m.each and not isinstance(value.get(m.each[0]), list)):
+        return found, None, None
+    return found, m.name, mapped(m, value)
 
-    return F.concat(single, F.transform(rows, turn).cast(TURNS))
+
+TURN_TYPE = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
 
 def turns_of_records(df: DataFrame, record: str = "record", keep: tuple[str, ...] = (), mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``keep`` columns, ``fingerprint``, ``layout`` (mapping name) and ``turns`` of each JSON record."""
-    out = df.select(*keep, F.try_parse_json(record).alias("_v"), fingerprint(record_layout(F.col(record))).alias("fingerprint"))
-    layout = turns = F.lit(None)
-    for m in mappings:
-        hit = F.col("fingerprint") == fingerprint(F.lit(layout_text(m.paths)))
-        layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, mapped(m, F.col("_v"))).otherwise(turns)
-    return out.select(*keep, "fingerprint", layout.cast("string").alias("layout"), turns.cast(TURNS).alias("turns"))
-
-
-def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """``conv_id, turns`` of a table with a row for each turn, chosen by the fingerprint of its columns."""
-    have = tuple(p for p in paths_of(rows.schema) if p in TURN_ROWS)
-    if have != TURN_ROWS:
-        raise ValueError(f"unknown layout: {paths_of(rows.schema)}")
-    entry = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    source = df.select(*keep, F.col(record).alias("_record"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]) + ", " * bool(keep) + f"fingerprint string, layout string, turns {TURNS}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        selection = Selection(mappings)
+        for b in batches:
+            got = [record_turns(r, selection) for r in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], TURN_TYPE)], names=[*keep, "fingerprint", "layout", "turns"])
+
+    return source.mapInArrow(run, schema)
+
+
+def turns_of_rows(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Conversation id and ``turns`` of a table with a row for each turn; the fingerprint of its columns selects the mapping.
+
+    A table of no known layout is an error, as it has no rows to keep apart.
+    """
+    found, m = Selection(mappings).choose(paths_of_schema(rows.schema))
+    if m is None or not m.rows:
+        raise ValueError(f"unknown layout {found}: {sorted(paths_of_schema(rows.schema))}")
+    conversation, order, role, text = m.rows
+    name = F.coalesce(F.col(role), F.lit(""))
+    if m.roles:
+        name = F.coalesce(F.create_map(*[F.lit(x) for kv in m.roles.items() for x in kv])[name], name)
+    entry = F.struct(F.col(order).alias("at"), name.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(turns.alias("turns"))
+    return rows.groupBy(conversation).agg(turns.alias("turns"))
 
 
 # Control strings of this template and of other common ones start like this; a backslash goes after their first character.
@@ -182,13 +224,12 @@ def read_back(formatted: DataFrame, keep: tuple[str, ...] = ("conv_id",)) -> Dat
     """``keep`` columns, ``turns`` and ``loss_text`` (unescaped) read from formatted conversations alone."""
     source = formatted.select(*keep, "formatted", "loss_spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-2]) + f", turns {TURNS}, loss_text string, formatted_chars long"
-    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, spans = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
             turns = [[{"role": r, "text": t} for r, t in parse(f)] for f in texts]
             loss = ["".join(unescape(f[s["start"] : s["end"]]) for s in x) for f, x in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(turns, type=kind), pa.array(loss, type=pa.string()), pa.array([len(f) for f in texts], type=pa.int64())], names=[*keep, "turns", "loss_text", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(turns, type=TURN_TYPE), pa.array(loss, type=pa.string()), pa.array([len(f) for f in texts], type=pa.int64())], names=[*keep, "turns", "loss_text", "formatted_chars"])
 
     return source.mapInArrow(run, schema)

@@ -54,10 +54,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations")
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    back = chat.read_back(chat.format_turns(chat.turns_of_rows(rows.unionByName(own))))
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_turns(chat.turns_of_rows(rows.unionByName(own, allowMissingColumns=True))))
     turn = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
         "conv_id",
