@@ -2,12 +2,13 @@
 
 The field labels tokens around digits and address signs. Its features are word shapes; it is trained here by
 gradient ascent on a small labelled table, and decoded by Viterbi over a batch's runs at once in numpy. Tokens
-further away are fixed to "outside", so a text falls into independent runs and whole texts are covered. A span of
-the field is added only if it overlaps no base span and holds the right number of digits (a card also passes Luhn).
+further away are fixed to "outside", so a text falls into independent runs and whole texts are covered. Besides the
+four base kinds the field finds secrets: tokens, keys and passwords. A span of the field is added only if it overlaps
+no base span and its kind's test holds (number of digits; a card also passes Luhn; a secret has letters and digits).
 
 Defined results: null and empty texts have no spans. Per kind, base matches are leftmost and do not overlap; a
 match that fails its test is dropped without another try. Repeated rows are each answered; no row is dropped.
-Columns of any name are carried or not read. Memory is bounded by an Arrow batch and the longest single text.
+Columns of any name are carried or not read. Memory is bounded by an Arrow batch, ``STEP_CHARS`` and the longest single text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from triweave.llm.pii_labels import EXAMPLES
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+ADDED = (*KINDS, "secret")  # kinds of the field: it also finds tokens, keys and passwords
+LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
 N_LABELS = len(LABELS)
 N_FEATURES = 1 << 12
 EPOCHS, RATE, DECAY = 60, 0.2, 1e-4
@@ -86,16 +88,22 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1", out)
 
 
+def short(word: str) -> tuple[str, int]:
+    """What features read of a token: its beginning, its last character and its length; caches keep no long tokens."""
+    return (word if len(word) <= 64 else word[:63] + word[-1], min(len(word), 99))
+
+
 @functools.lru_cache(1 << 16)
-def word_features(word: str) -> tuple[str, ...]:
-    n = len(only_digits(word[:64]))
+def word_features(word: str, length: int) -> tuple[str, ...]:
+    n = len(only_digits(word))
     plain = not n and "@" not in word
-    out = [f"s={'x' if plain else shape(word)}", f"n={min(n, 17)}", f"l={min(len(word), 24) // 4}"]
+    out = [f"s={'x' if plain else shape(word)}", f"n={min(n, 17)}", f"l={min(length, 48) // 4}"]
     if not plain:
-        groups = re.findall(r"[0-9]+", word[:64])
+        groups = re.findall(r"[0-9]+", word)
         out += [f"g={'-'.join(str(min(len(g), 9)) for g in groups[:5])}", f"a={word[0] if not word[0].isalnum() else '_'}", f"z={word[-1] if not word[-1].isalnum() else '_'}"]
-        out += [f"c={c}" for c in set(word[:64]) if not c.isalnum()]
-        out += ["hex"] * bool(re.search(r"[0-9][a-zA-Z]|[a-zA-Z][0-9]", word[:64]))
+        out += [f"c={c}" for c in set(word) if not c.isalnum()]
+        turns = len(re.findall(r"[0-9][a-zA-Z]|[a-zA-Z][0-9]", word))
+        out += [f"t={min(turns, 6)}", "hex" if turns and re.fullmatch(r"\W*[0-9a-f]+\W*", word) else "mix"] if turns else []
     return tuple(out)
 
 
@@ -107,25 +115,26 @@ def bucket(name: str) -> int:
 
 
 @functools.lru_cache(1 << 16)
-def feature_ids(word: str, at: str) -> tuple[int, ...]:
-    return tuple(bucket(at + f) for f in word_features(word))
+def feature_ids(word: str, length: int, at: str) -> tuple[int, ...]:
+    return tuple(bucket(at + f) for f in word_features(word, length))
 
 
 @functools.lru_cache(1 << 14)
-def hint_id(word: str) -> int:
-    return bucket("w=" + re.sub(r"\W+", "", word.lower())[:16])
+def hint_id(word: str, at: str) -> int:
+    return bucket(at + re.sub(r"[\W\d]+", "", word.lower())[:16])
 
 
 def token_features(words: list[str], k: int) -> list[int]:
     before, after = words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""
-    out = [*feature_ids(words[k], "")]
-    out += [*feature_ids(before, "<"), hint_id(before)] if before else [bucket("first")]
-    out += [*feature_ids(after, ">")] if after else [bucket("last")]
+    out = [*feature_ids(*short(words[k]), ""), hint_id(short(words[k])[0], "v=")]
+    out += [*feature_ids(*short(before), "<"), hint_id(short(before)[0], "w=")] if before else [bucket("first")]
+    out += [hint_id(short(words[k - 2])[0], "u=")] if k > 1 else []
+    out += [*feature_ids(*short(after), ">")] if after else [bucket("last")]
     return out
 
 
 def tokens_near(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens with a digit or an address sign and the token on either side; (start, end) of each."""
+    """Runs of tokens with a digit or an address sign, the two tokens before and the one after; (start, end) of each."""
     hits = [m.start() for m in HOT.finditer(text)]
     if not hits:
         return []
@@ -135,7 +144,7 @@ def tokens_near(text: str) -> list[list[tuple[int, int]]]:
     wanted = sorted({bisect_right(starts, h) - 1 for h in hits})
     runs: list[list[int]] = []
     for w in wanted:
-        lo = max(w - 1, 0)
+        lo = max(w - 2, 0)
         if runs and lo <= runs[-1][1] + 1:
             runs[-1][1] = w + 1
         else:
@@ -181,7 +190,7 @@ class Field:
 def labelled(line: str) -> tuple[str, list[tuple[int, int, str]]]:
     """Text and spans of a marked line."""
     text, spans, at = "", [], 0
-    for m in re.finditer(r"\[(email|ip|card|phone):([^\]]*)\]", line):
+    for m in re.finditer(r"\[(email|ip|card|phone|secret):([^\]]*)\]", line):
         text += line[at : m.start()]
         spans.append((len(text), len(text) + len(m[2]), m[1]))
         text, at = text + m[2], m.end()
@@ -264,7 +273,7 @@ def added_spans(text: str, runs: list[list[tuple[int, int]]], labels: list[np.nd
                 b -= 1
             s = text[a:b]
             n = only_digits(s)
-            right = {"email": "@" in s[1:-1] and not SPACES.search(s), "ip": len(s.split(".")) == 4 and len(n) < 13 and not re.search(r"[^0-9.]", s) and fits("ip", s), "card": 12 <= len(n) <= 19 and luhn(n), "phone": 7 <= len(n) <= 15 and not re.search(r"[^\x20().0-9/+-]", s)}[kind]
+            right = {"email": "@" in s[1:-1] and not SPACES.search(s), "ip": len(s.split(".")) == 4 and len(n) < 13 and not re.search(r"[^0-9.]", s) and fits("ip", s), "card": 12 <= len(n) <= 19 and luhn(n), "phone": 7 <= len(n) <= 15 and not re.search(r"[^\x20().0-9/+-]", s), "secret": len(s) >= 12 and n and re.search(r"[A-Za-z]", s) and not SPACES.search(s)}[kind]
             if right and not any(x < b and y > a for x, y, _ in base):
                 out.append((a, b, kind))
     return out
@@ -289,11 +298,23 @@ def find_all(texts: list[str], field: Field) -> list[tuple[list, list]]:
 
 SPANS = "array<struct<kind string, start int, end int, base boolean>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-STEP = 512
+STEP_CHARS = 2_000_000  # of text decoded at once, one text at least
+
+
+def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about STEP_CHARS in all."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= STEP_CHARS:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _ordered(base: list, more: list) -> list[dict]:
-    spans = [(a, KINDS.index(k), b, k, True) for a, b, k in base] + [(a, KINDS.index(k), b, k, False) for a, b, k in more]
+    spans = [(a, ADDED.index(k), b, k, True) for a, b, k in base] + [(a, ADDED.index(k), b, k, False) for a, b, k in more]
     return [{"kind": k, "start": a, "end": b, "base": own} for a, _, b, k, own in sorted(spans)]
 
 
@@ -305,9 +326,10 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, STEP):
-                part = batch.slice(a, STEP)
-                found = find_all(part.column(len(keep)).to_pylist(), field)
+            texts = batch.column(len(keep)).to_pylist()
+            for a, b in steps(texts):
+                part = batch.slice(a, b - a)
+                found = find_all(texts[a:b], field)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array([_ordered(b, m) for b, m in found], type=SPAN_TYPE)], names=[*keep, "spans"])
 
     return source.mapInArrow(run, schema)
@@ -331,11 +353,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, STEP):
-                part = batch.slice(a, STEP)
-                texts = part.column(at).to_pylist()
+            every = batch.column(at).to_pylist()
+            for a, b in steps(every):
+                part, texts = batch.slice(a, b - a), every[a:b]
                 found = find_all([t or "" for t in texts], field)
-                new = pa.array([t if t is None else masked(t, b, m) for t, (b, m) in zip(texts, found, strict=True)], type=pa.string())
+                new = pa.array([t if t is None else masked(t, own, more) for t, (own, more) in zip(texts, found, strict=True)], type=pa.string())
                 yield pa.RecordBatch.from_arrays([new if k == at else part.column(k) for k in range(part.num_columns)], names=names)
 
     return docs.mapInArrow(run, docs.schema)
