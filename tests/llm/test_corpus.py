@@ -224,8 +224,8 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_toxicity_learns_from_unlabelled_documents_and_doubts_annotators(spark):
     assert toxicity.shouts("a " * 2500 + "LOUD " * 5000, 7500) and not toxicity.shouts("LOUD " * 800 + "quiet words " * 2000, 4800)
-    votes = np.array([[-1] * 7 + [0, -1], [1] * 7 + [0, 1], [1] * 7 + [0, -1], [1] * 7 + [0, 0]])
-    post, accuracy = toxicity.label_posteriors(votes, np.array([900.0, 80, 1, 100]))
+    votes = np.array([[0] * 8 + [-1], [1] * 7 + [0, 1], [1] * 7 + [0, -1], [1] * 7 + [0, 0]])
+    post, accuracy = toxicity.label_posteriors(votes, np.array([900.0, 80, 1, 100]), voters=(*"abcdefgh", "annotator"))
     assert post[2] > 0.5 and post[3] > 0.9 and 0.9 < accuracy["annotator"] < 1  # one annotator against all other voters
     texts = ["zugmob river", "calm river", "quiet lake"] * 60 + ["moron zugmob"] * 80 + ["a moron here", "a quiet here"]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(180)], "doc_id long, toxic int")

@@ -1,19 +1,22 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
 1. Cues, words and word beginnings that go with the label, are mined from a sample of at most ``FIT_ROWS`` labelled
-   rows, twice: on each half of it. A fixed list of English insults is added.
-2. One pass over all texts notes each document's cues and its shouting.
-3. Voters: the fixed list, words, beginnings and sure cues mined from either half, shouting, and the annotators' labels of
-   rows to learn from, who may err like the others. The label model is a mixture of a clean and a toxic class; each
-   voter has an error rate in either, and counts the less the more its errors go with other voters', so that voters
-   which err together count once. Expectation-maximisation runs over the counts of all documents' vote patterns.
-4. A logistic regression over cues is trained on the posteriors of all documents, labelled or not, summed over those
-   with the same cues, and on rows with one sure cue alone; all rows are scored with it. The driver holds a row for
-   each distinct set of cues.
+   rows, twice: on each half of it; at most ``MAX_CUES`` of them, those that tell most, are the classifier's
+   features. The words of fixed lexicons in four languages are added.
+2. One pass over all whole texts notes each document's cues and the patterns that it shows.
+3. Voters: each lexicon and each pattern, none of which has seen a label; words, beginnings and sure cues mined from
+   either half; and the annotators' labels of rows to learn from, who may err like the others. The label model is a
+   mixture of a clean and a toxic class; each voter has an error rate in either, and counts the less the more its
+   errors go with other voters', so that voters which err together count once. Expectation-maximisation runs over the
+   counts of all documents' vote patterns; the driver holds a row for each distinct pattern.
+4. A logistic regression over cues is trained on the posteriors of documents, labelled or not, summed over those with
+   the same cues, of at most ``FIT_SETS`` sets of cues (those with the smallest hashes), and on rows with one sure cue
+   alone; all rows are scored with it.
 
 Defined results: null and empty texts have no cue and get the score of such a text. Without any label the voters are
-the fixed list and shouting. Rows with a null id are scored, and never learned from. Several labels of one id count
-as toxic if one is. Repeated rows are scored each. Only the named columns are read.
+the lexicons and patterns. Rows with a null id are scored, and never learned from. Several labels of one id count as
+toxic if one is, and of several texts of one id the sample takes one. Repeated rows are scored each. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -31,13 +34,37 @@ from pyspark.sql import functions as F
 from triweave.llm.common import cut
 
 FIT_ROWS = 12_000
+FIT_SETS = 200_000
 MAX_CUES = 4_096
 MIN_G2, MIN_ODDS, SURE = 30.0, 2.0, 0.9
 BEGINNINGS = range(3, 9)
 KNOWN_CLEAN = 400_000
-# English insults.
-INSULTS = ("bastard", "bitch", "clown", "creep", "crap", "cretin", "disgusting", "dumb", "dumbass", "fool", "freak", "garbage", "idiot", "idiotic", "imbecile", "jerk", "liar", "loser", "lunatic", "moron", "moronic", "pathetic", "pig", "retard", "scum", "scumbag", "stupid", "trash", "ugly", "vermin", "worthless")
-VOTERS = ("insults", "words_a", "words_b", "starts_a", "starts_b", "sure_a", "sure_b", "shouting", "annotator")
+DENSE = 0.02  # share of listed words from which a text is dense in them
+# Abusive words by language and kind.
+LEXICONS = {
+    "en_insults": "airhead blockhead cretin dimwit dumb dumbass dunce fool halfwit idiot idiotic imbecile moron moronic nitwit retard simpleton stupid",
+    "en_contempt": "disgusting garbage loathsome loser pathetic repulsive trash ugly useless vile worthless",
+    "en_dehumanising": "cockroach degenerate filth maggot parasite pig scum scumbag subhuman vermin",
+    "en_mockery": "clown coward creep freak jerk liar lunatic weirdo wimp",
+    "en_profanity": "asshole bastard bitch bullshit crap fuck fucker fucking motherfucker prick shit shitty slut whore",
+    "de_insults": "blödmann depp dummkopf idioten schwachkopf trottel vollidiot",
+    "de_contempt": "abschaum ekelhaft erbärmlich missgeburt versager widerlich wertlos",
+    "de_profanity": "arschloch fotze hure hurensohn scheiße scheiss schlampe wichser",
+    "fr_insults": "abruti bouffon crétin débile idiote imbécile stupide",
+    "fr_contempt": "dégoûtant minable ordure pathétique racaille raté",
+    "fr_profanity": "connard connasse enculé merde pute putain salaud salope",
+    "es_insults": "cretino estúpido idiota imbécil tonto",
+    "es_contempt": "asqueroso basura escoria inútil patético repugnante",
+    "es_profanity": "cabrón gilipollas hijoputa joder mierda pendejo puta",
+}
+INSULTS = tuple(dict.fromkeys(w for words in LEXICONS.values() for w in words.split()))
+YOU = frozenset("you your youre u du dein deine ihr sie tu vous ton eres tú usted".split())
+TELLING_OFF = re.compile(r"\b(?:shut up|go to hell|drop dead|get lost|screw you|halt(?:'s| die) (?:maul|klappe)|fahr zur hölle|ta gueule|ferme[- ]la|va te faire|cállate|vete al infierno)\b")
+THREAT = re.compile(r"\b(?:i(?:'ll| will| am going to) (?:kill|hurt|beat|destroy) you|you will (?:die|pay)|ich bring(?:e)? dich um|je vais te (?:tuer|frapper)|te voy a (?:matar|pegar))\b")
+MASKED = re.compile(r"\b[a-z][*#@$]{2,}[a-z]*\b|\b(?:f[*#@]ck|sh[*#@!]t|b[*#@!]tch|a[*#@$]{2}hole)\b")
+PATTERNS = ("shouting", "exclaims", "addressed", "two_kinds", "repeated", "dense", "in_capitals", "masked", "telling_off", "threat")
+MINED = ("words_a", "words_b", "starts_a", "starts_b", "sure_a", "sure_b")
+VOTERS = (*LEXICONS, *PATTERNS, *MINED, "annotator")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -50,6 +77,24 @@ def shouts(text: str, words: int) -> bool:
     return words >= 4 and (sum(map(str.isupper, text)) > 0.6 * sum(map(str.isalpha, text)) or text.count("!") > 0.5 * words)
 
 
+def patterns_of(text: str, low: str, words: list[str], listed: set[str]) -> int:
+    """A bit for each of PATTERNS that a text shows; ``listed``: its words that a lexicon holds."""
+    at = [k for k, w in enumerate(words) if w in listed] if listed else []
+    found = (
+        shouts(text, len(words)),
+        bool(at) and "!!" in text,
+        any(not YOU.isdisjoint(words[max(0, k - 3) : k]) for k in at),
+        len(listed) > 1,
+        len(at) > len(listed),
+        len(at) > DENSE * len(words),
+        any(w.upper() in text for w in listed if len(w) > 3),
+        ("*" in low or "#" in low or "@" in low) and MASKED.search(low) is not None,
+        TELLING_OFF.search(low) is not None if any(x in low for x in (" up", "hell", "dead", "lost", "screw", "maul", "klapp", "höll", "gueul", "ferme", "faire", "cállate")) else False,
+        THREAT.search(low) is not None if any(x in low for x in ("kill", "hurt", "beat you", "destroy", "you will", "dich um", "tuer", "frapper", "matar", "pegar")) else False,
+    )
+    return sum(1 << k for k, hit in enumerate(found) if hit)
+
+
 def cue_counts(sample: DataFrame) -> DataFrame:
     """``cue, half, pos, neg``: documents of each half of the sample with a cue, by label."""
 
@@ -84,10 +129,10 @@ class Model:
     accuracy: dict[str, float]  # of each voter, as the label model estimates it
 
 
-def label_posteriors(patterns: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, dict[str, float]]:
-    """Probability of the toxic class for each vote pattern (1, -1, 0: abstains), and the voters' accuracies.
+def label_posteriors(patterns: np.ndarray, count: np.ndarray, rounds: int = 100, voters: tuple[str, ...] = VOTERS) -> tuple[np.ndarray, dict[str, float]]:
+    """Probability of the toxic class for each vote pattern, and the voters' accuracies where they vote.
 
-    The last voter, the annotator, says nothing where it abstains; of the others only firing or not is known.
+    The last voter, the annotator, says 1, -1 or nothing (0); the others fire (1) or not.
     """
     fires, said = (patterns[:, :-1] > 0).astype(float), patterns[:, -1]
     p = np.where(fires.any(axis=1), 0.95, 0.05)  # a start: one cue is enough, or what annotators mostly say of such votes
@@ -117,7 +162,7 @@ def label_posteriors(patterns: np.ndarray, count: np.ndarray, rounds: int = 100)
     x = patterns.astype(float)
     voted = np.abs(x) > 0
     right = np.where(x > 0, p[:, None], 1 - p[:, None])
-    return p, {v: float((count[:, None] * voted * right)[:, k].sum() / max((count[:, None] * voted)[:, k].sum(), 1e-9)) for k, v in enumerate(VOTERS)}
+    return p, {v: float((count[:, None] * voted * right)[:, k].sum() / max((count[:, None] * voted)[:, k].sum(), 1e-9)) for k, v in enumerate(voters)}
 
 
 def logistic(size: np.ndarray, flat: np.ndarray, target: np.ndarray, mass: np.ndarray, start: np.ndarray, rounds: int = 3000, prior: float = 0.25) -> tuple[np.ndarray, float]:
@@ -145,26 +190,28 @@ def logistic(size: np.ndarray, flat: np.ndarray, target: np.ndarray, mass: np.nd
 
 
 def find_cues(docs: DataFrame, cues: dict[str, int], doc: str, text: str) -> DataFrame:
-    """``doc, cues array<int>, shouting`` of every row, from its whole text."""
+    """``doc, cues array<int>, patterns int`` of every row, from its whole text."""
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
-    longest = max(BEGINNINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: set[str] = set()
         hits: dict[str, list[int]] = {}
         starts = {c[:3] for c in cues}  # no cue begins otherwise
+        lexicon = frozenset(INSULTS)
         for batch in batches:
-            found, loud = [], []
+            found, shown = [], []
             for value in batch.column(1):
                 t = value.as_py() or ""
-                listed = WORDS.findall(t.lower())
-                loud.append(shouts(t, len(listed)))
+                low = t.lower()
+                words = WORDS.findall(low)
+                distinct = set(words)
+                shown.append(patterns_of(t, low, words, lexicon & distinct))
                 here: set[int] = set()
-                for w in set(listed) - clean:
+                for w in distinct - clean:
                     got = hits.get(w)
                     if got is None:
-                        got = [cues[c] for c in cues_of(w[:longest] if len(w) > 64 else w) if c in cues] if w[:3] in starts else []
+                        got = [cues[c] for c in cues_of(w) if c in cues] if w[:3] in starts else []
                         if got:
                             hits[w] = got
                         else:
@@ -173,9 +220,9 @@ def find_cues(docs: DataFrame, cues: dict[str, int], doc: str, text: str) -> Dat
                 found.append(sorted(here))
                 if len(clean) + len(hits) > KNOWN_CLEAN:
                     clean, hits = set(), {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(loud, pa.bool_())], names=["doc", "cues", "shouting"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(shown, pa.int32())], names=["doc", "cues", "patterns"])
 
-    return source.mapInArrow(run, f"doc {kind}, cues array<int>, shouting boolean")
+    return source.mapInArrow(run, f"doc {kind}, cues array<int>, patterns int")
 
 
 def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None) -> tuple[DataFrame, Model]:
@@ -187,9 +234,9 @@ def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     # the sample: at most FIT_ROWS ids with the smallest hashes
     ids = cut(marked.join(present, "doc", "left_semi").withColumn("h", F.xxhash64("doc")).orderBy("h", "doc").limit(FIT_ROWS))
     sample = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(F.broadcast(ids), "doc").withColumn("half", F.pmod("h", F.lit(2)).cast("int"))
-    sample = cut(sample.select("doc", "text", "half", "toxic"))
+    sample = cut(sample.groupBy("doc", "half", "toxic").agg(F.max("text").alias("text")))
     size = {(r.half, r.toxic): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
-    mined: dict[str, set[str]] = {"words_a": set(), "words_b": set(), "starts_a": set(), "starts_b": set(), "sure_a": set(), "sure_b": set()}
+    mined: dict[str, set[str]] = {v: set() for v in MINED}
     kept: list[str] = []
     if any(t for _, t in size):
         n = [[size.get((h, t), 0) for t in (1, 0)] for h in (0, 1)]
@@ -206,23 +253,25 @@ def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     cues = {c: k for k, c in enumerate(dict.fromkeys([*kept, *INSULTS]))}
     found = cut(find_cues(docs, cues, doc, text))
 
-    def vote(names) -> Column:
+    def fires(names) -> Column:
         listed = [cues[c] for c in names if c in cues]
-        return F.when(F.arrays_overlap("cues", F.array(*[F.lit(c) for c in listed]).cast("array<int>")), 1).otherwise(-1) if listed else F.lit(0)
-
-    votes = found.where("doc is not null").join(marked.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").select(
-        "doc", "cues", vote(INSULTS).alias("insults"), *[vote(mined[v]).alias(v) for v in VOTERS[1:7]],
-        F.when(F.col("shouting"), 1).otherwise(0).alias("shouting"), F.coalesce(2 * F.col("toxic") - 1, F.lit(0)).alias("annotator"),
-    )
-    groups = cut(votes.groupBy("cues", *VOTERS).count())
-    patterns = groups.groupBy(*VOTERS).agg(F.sum("count").alias("n")).orderBy(*VOTERS).collect()  # at most 3 ** 9
+        return F.arrays_overlap("cues", F.array(*[F.lit(c) for c in listed]).cast("array<int>")) if listed else F.lit(False)
+
+    bits = [fires(words.split()) for words in LEXICONS.values()] + [F.col("patterns").bitwiseAND(1 << k) > 0 for k in range(len(PATTERNS))] + [fires(mined[v]) for v in MINED]
+    told = found.where("doc is not null").join(marked.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left")
+    groups = told.groupBy("cues", "patterns", "toxic").count()
+    said = F.when(F.col("toxic") == 1, "+").when(F.col("toxic") == 0, "-").otherwise("0")
+    groups = cut(groups.select("cues", "count", F.concat(*[F.when(b, "1").otherwise("0") for b in bits], said).alias("votes")))
+    patterns = groups.groupBy("votes").agg(F.sum("count").alias("n")).orderBy("votes").collect()
     weight, bias, accuracy = np.zeros(len(cues)), -2.0, {}
     for c in INSULTS:
         weight[cues[c]] = 4.0
     if patterns:
-        post, accuracy = label_posteriors(np.array([[r[v] for v in VOTERS] for r in patterns]), np.array([r.n for r in patterns], dtype=float))
-        belief = docs.sparkSession.createDataFrame([(*(r[v] for v in VOTERS), q) for r, q in zip(patterns, post.tolist(), strict=True)], ", ".join(f"{v} int" for v in VOTERS) + ", q double")
-        sets = groups.join(F.broadcast(belief), list(VOTERS)).groupBy("cues").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("q")).alias("toxic")).orderBy("cues").toArrow().combine_chunks()
+        code = {"1": 1, "0": 0, "+": 1, "-": -1}
+        post, accuracy = label_posteriors(np.array([[code[x] for x in r.votes] for r in patterns]), np.array([r.n for r in patterns], dtype=float))
+        belief = docs.sparkSession.createDataFrame([(r.votes, q) for r, q in zip(patterns, post.tolist(), strict=True)], "votes string, q double")
+        sets = groups.join(belief, "votes").groupBy("cues").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("q")).alias("toxic"))
+        sets = sets.orderBy(F.xxhash64("cues"), "cues").limit(FIT_SETS).toArrow().combine_chunks()
         listed, n, toxic = sets["cues"].combine_chunks(), sets["n"].to_numpy().astype(float), sets["toxic"].to_numpy()
         size, flat = np.diff(listed.offsets.to_numpy()).astype(np.int64), listed.flatten().to_numpy().astype(np.int64)
         target = toxic / n
