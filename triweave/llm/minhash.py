@@ -8,11 +8,12 @@ missed with a chance of at most ``2 * MISS``.
 1. One pass over the texts: size of the shingle set, a 128-bit fingerprint of it, sub-keys, and a bitmap of the
    classes that its shingles fall in.
 2. Equal sets become one node, however many copies there are.
-3. Every sub-key that several nodes hold links each of them to its pivot, if confirmed: linear in the rows. The pivot
-   is the node that meets most others, so that near copies mostly join through their original.
-4. Nodes of one table (both sub-keys equal) that are in different components after that are paired, unless their
-   bitmaps prove that too few shingles can be shared; the others are confirmed. Tables are not written out: nodes
-   meet on the left sub-key and must have a right one in common.
+3. Table rows: every pair of a left and a right sub-key of a node that other nodes hold too, hashed to one table key; a
+   pair that two nodes share is made of sub-keys that they share, so no meeting is lost. Each table entry of several
+   nodes links each of them to its pivot, if confirmed: linear in the rows. The pivot is the node that meets most
+   others, so that near copies mostly join through their original.
+4. Nodes of one table entry that are in different components after that are paired, unless their bitmaps prove that
+   too few shingles can be shared; the others are confirmed.
 5. Components of all confirmed links.
 
 Defined results: null and empty texts and texts of white space have no shingles, are linked with nothing and form
@@ -184,6 +185,17 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
 
 
+def table_rows(nodes: DataFrame, m: int) -> DataFrame:
+    """``key, node, c``: table keys, each a pair of a left and a right sub-key, that ``c`` > 1 nodes hold."""
+    held = nodes.select("node", F.posexplode("keys").alias("at", "sub"))
+    often = held.groupBy("sub").agg(F.count("*").alias("c")).where("c > 1").select("sub")
+    side = F.collect_list(F.when(F.col("at") < m, F.col("sub"))), F.collect_list(F.when(F.col("at") >= m, F.col("sub")))  # at most m each
+    sides = held.join(often, "sub").groupBy("node").agg(side[0].alias("left"), side[1].alias("right"))
+    rows = sides.select("node", "right", F.explode("left").alias("x")).select("node", "x", F.explode("right").alias("y")).select(F.xxhash64("x", "y").alias("key"), "node")
+    rows = cut(rows)
+    return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"))
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``doc, n_shingles, component_id, kept`` of every row, linking sets with Jaccard similarity of at least ``percent``/100.
 
@@ -197,10 +209,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("low"), F.min(F.struct("doc", "th")).alias("d"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
     nodes = cut(nodes.select("fp", "low", "d.doc", "d.th", "keys", "bits", "n", F.monotonically_increasing_id().alias("node")))
     sketch = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in "xy"}
-    held = nodes.select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(held.join(shared, "key").select("key", "node", "c"))
-    # the pivot of a sub-key is its node that meets most others: near copies meet their original most
+    shared = table_rows(nodes, m)
+    # the pivot of a table entry is its node that meets most others: near copies meet their original most
     degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
     pivot = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     star = shared.join(pivot, "key").where("pivot <> node").select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).distinct()
@@ -209,13 +219,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     sets = cut(set_table(docs, nodes.join(alive, "node").select("node", "doc", "th"), doc, text, words).dropDuplicates(["node"]))
     links = cut(confirm(star, sets).where(linked).select("a", "b"))
     roots = cut(components(links, "a", "b"))
-    # nodes of one table in different components
+    # nodes of one table entry in different components
     label = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    label = label.join(mixed, "key").join(nodes.select("node", "keys", "bits", "n"), "node")
-    label = cut(label.where(F.expr(f"array_position(keys, key) <= {m}")).select("key", "node", "root", "n", "bits", F.slice("keys", m + 1, m).alias("right")))
-    x, y = (label.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "bits", "right")]) for s in "xy")
-    pairs = x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & may_link & F.arrays_overlap("x_right", "y_right"))
+    label = cut(label.join(mixed, "key").join(nodes.select("node", "bits", "n"), "node"))
+    x, y = (label.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "bits")]) for s in "xy")
+    pairs = x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & may_link)
     pairs = pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = cut(confirm(pairs, sets).where(linked).select("a", "b"))
     if not more.isEmpty():
