@@ -7,6 +7,8 @@ document, and go together. Empty tables pass through.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from triweave.llm.queries import tokenizer_path
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids of ``gone``."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` less the ids of ``gone``; the name of the joined column is one that no table has."""
+    name = f"_gone_{uuid.uuid4().hex}"
+    ids = gone.where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,10 +12,16 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own; a cluster is an error, as executors would write to
+    folders that no one else sees.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="triweave-")

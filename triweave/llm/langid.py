@@ -8,7 +8,8 @@ pays. The largest share of the chosen set names the document.
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and if nothing was learned. Equal
 shares go to the first language in order. Rows with a null language or null id are never learned from. Repeated
 rows are each answered. Only the named columns are read. The model has ``BUCKETS`` counts for each language,
-whatever the input; a task holds one Arrow batch and at most ``KNOWN_WORDS`` words.
+whatever the input; more than ``MAX_LANGUAGES`` names to learn are an error. A task looks at ``STEP_CHARS`` of text
+together, one text at least, and remembers about ``KNOWN_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ SMOOTH = 0.2
 PENALTY = 6.0
 KNOWN_WORDS = 300_000
 ROUNDS = 12
-STEP = 512
+STEP_CHARS = 1_000_000  # of text looked at together, one text at least
+MAX_LANGUAGES = 500
 RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -78,6 +82,8 @@ def learn(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
+    if docs.where(F.col(lang).isNotNull()).select(lang).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     # a row for each language and bucket at most
     rows = source.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("lang").to_pylist()))
@@ -166,8 +172,9 @@ def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(table)
         for batch in batches:
-            for a in range(0, batch.num_rows, STEP):
-                part = batch.slice(a, STEP)
+            size = np.cumsum(np.array(pc.fill_null(pc.utf8_length(batch.column(1)), 0), dtype=np.int64) + 1)
+            for a, b in pairwise(np.unique(np.r_[0, np.flatnonzero(np.diff(size // STEP_CHARS)) + 1, batch.num_rows]).tolist()):
+                part = batch.slice(a, b - a)
                 listed = [words_of(t.as_py()) for t in part.column(1)]
                 lettered = np.array([bool(names) and any(any(map(str.isalpha, w)) for w in d) for d in listed], dtype=bool)
                 size = np.array([len(d) for d in listed], dtype=np.int64)[lettered]
