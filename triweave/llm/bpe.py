@@ -35,6 +35,15 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def decimal_latin(text: str) -> bool:
+    """Latin-1 text whose numbers are all decimal digits."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in "²³¹¼½¾")
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte value in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -101,12 +110,22 @@ class Codec:
         if self.v.keeps_all:
             letters = letters.replace(f"[^{WHITE}[A-Za-z][0-9]]", f"[^{WHITE}A-Za-z0-9]")
         self.ascii_words_of = std_re.compile(letters, std_re.ASCII).findall
+        # where all numbers are decimal digits, the standard library's classes are the same and faster
+        plain = self.v.pattern.replace(f"[^{WHITE}\\p{{L}}\\p{{N}}]", f"(?:(?![{WHITE}])[\\W_])")
+        for name, same in ((r"[\p{L}]", r"[^\W\d_]"), (r"[\p{N}]", r"\d"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d")):
+            plain = plain.replace(name, same)
+        self.plain_words_of = std_re.compile(plain).findall
         self.max_words = max_words
         self.forget()
 
-    def forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    def forget(self, keep: int = 0) -> None:
+        """Forget all words but those that were met most."""
+        names = list(self.ids) if keep else []
+        best = np.argsort(-self.uses, kind="stable")[:keep] if keep else np.zeros(0, np.int64)
+        self.flat, self.size = (self.joined(best), self.size[best]) if keep else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.uses = self.uses[best] // 2 if keep else np.zeros(0, np.int64)
+        self.ids: dict[str, int] = {names[k]: n for n, k in enumerate(best.tolist())}
+        self.start = np.cumsum(self.size) - self.size
 
     def split(self, text: str) -> list[str]:
         """Words of a text in order; an added token is a word of its own, told by a leading NUL."""
@@ -117,13 +136,13 @@ class Codec:
                 out.append("\0" + part)
             elif part:
                 part = v.normalise(part)
-                out += self.ascii_words_of(part) if part.isascii() else self.words_of(part)
+                out += self.ascii_words_of(part) if part.isascii() else self.plain_words_of(part) if decimal_latin(part) else self.words_of(part)
         return out
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text; the new words of all of them are merged together."""
         if len(self.ids) > self.max_words:
-            self.forget()
+            self.forget(self.max_words // 2)
         listed = [self.split(text) for text in texts]
         coded = pa.array([w for words in listed for w in words], pa.string()).dictionary_encode()
         known, before = self.ids, len(self.ids)
@@ -132,7 +151,10 @@ class Codec:
             flat, size = self.merged(list(itertools.islice(known, before, None)))
             self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
             self.start = np.cumsum(self.size) - self.size
-        every = here[coded.indices.to_numpy()] if len(here) else here
+            self.uses = np.concatenate([self.uses, np.zeros(len(known) - before, np.int64)])
+        at = coded.indices.to_numpy()
+        self.uses[here] += np.bincount(at, minlength=len(here))
+        every = here[at] if len(here) else here
         ends = np.cumsum([len(words) for words in listed], dtype=np.int64)
         return [self.joined(every[end - len(words) : end]) for end, words in zip(ends.tolist(), listed, strict=True)]
 
@@ -219,12 +241,12 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), type=kind))
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about CHUNK_CHARS of text each."""
+def chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about so many characters of text each."""
     start = held = 0
     for k, t in enumerate(texts):
         held += len(t or "")
-        if held >= CHUNK_CHARS:
+        if held >= chars:
             yield start, k + 1
             start, held = k + 1, 0
     if start < len(texts):

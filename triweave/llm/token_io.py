@@ -37,7 +37,9 @@ from triweave.llm import bpe
 SEGMENT = 262_144
 BLOCK = 128
 PERCENTILE = 0.9
-MAX_WORDS = 400_000  # distinct words that a worker remembers
+MAX_WORDS = 200_000  # distinct words that a worker remembers
+STEP = 4_096  # words asked for at once
+CHARS = 1_000_000  # of text encoded at once
 MAGIC = b"PFR1"
 
 
@@ -131,8 +133,24 @@ class LibraryCodec(bpe.Codec):
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [w[1:] if w[0] == "\0" and w[1:] in self.v.added else w for w in words]
-        ids = [e.ids for e in self.library.encode_batch_fast(plain, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64)
+        joins = np.fromiter((w[0] == " " and w[1:].isalpha() for w in plain), bool, len(plain))
+        size, found = np.zeros(len(plain), np.int64), []
+        for a in range(0, len(plain), STEP):  # the library's own results are large
+            at = np.flatnonzero(joins[a : a + STEP]) + a
+            # words of a blank and letters stay words side by side, so one call does for many
+            out = self.library.encode("".join(map(plain.__getitem__, at.tolist())), add_special_tokens=False)
+            size[at] = np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(at))
+            rest = np.flatnonzero(~joins[a : a + STEP]) + a
+            ids = [e.ids for e in self.library.encode_batch_fast([plain[k] for k in rest.tolist()], add_special_tokens=False)]
+            size[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
+            found.append((at, np.array(out.ids, dtype=np.int32)))
+            found.append((rest, np.fromiter(itertools.chain.from_iterable(ids), np.int32)))
+        start = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        for at, ids in found:
+            n = size[at]
+            flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, size
 
 
 @functools.lru_cache(1)
@@ -162,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc:
         for batch in batches:
             first = 0
             texts = batch.column(1).to_pylist()
-            found = (x for a, b in bpe.chunks(texts) for x in codec.encode(texts[a:b]))
+            found = (x for a, b in bpe.chunks(texts, CHARS) for x in codec.encode(texts[a:b]))
             for k, of in enumerate(found):
                 x = np.concatenate([of.astype(np.uint32), end])
                 ids.append(x)
