@@ -144,7 +144,7 @@ class Codec:
         if len(self.ids) > self.max_words:
             self.forget(self.max_words // 2)
         listed = [self.split(text) for text in texts]
-        coded = pa.array([w for words in listed for w in words], pa.string()).dictionary_encode()
+        coded = pa.array(list(itertools.chain.from_iterable(listed)), pa.string()).dictionary_encode()
         known, before = self.ids, len(self.ids)
         here = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
         if len(known) > before:

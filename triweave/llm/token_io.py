@@ -44,19 +44,19 @@ MAGIC = b"PFR1"
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)  # bit length of non-negative integers
+    return np.frexp(x.astype(np.float32 if x.size and x.max() < 1 << 24 else np.float64))[1].astype(np.uint8)  # bit length of non-negative integers
 
 
 def pack(d: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values under 2**width as rows of uint64 words."""
-    out = np.zeros((len(d), (BLOCK * width + 63) // 64), dtype=np.uint64)
-    d = d.astype(np.uint64)
+    out = np.zeros(((BLOCK * width + 63) // 64, len(d)), dtype=np.uint64)
+    columns = np.ascontiguousarray(d.T, dtype=np.uint64)
     for i in range(BLOCK if width else 0):
         word, shift = divmod(i * width, 64)
-        out[:, word] |= d[:, i] << np.uint64(shift)
+        out[word] |= columns[i] << np.uint64(shift)
         if shift + width > 64:
-            out[:, word + 1] |= d[:, i] >> np.uint64(64 - shift)
-    return out
+            out[word + 1] |= columns[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T)
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
@@ -84,17 +84,34 @@ def write_segment(docs: list[np.ndarray]) -> bytes:
     width = np.partition(need, int(np.ceil(PERCENTILE * BLOCK)) - 1, axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1] if n else np.zeros(0, np.uint8)
     odd = need > width[:, None]
     count = odd.sum(axis=1)
-    body: list[bytes] = [b""] * n
+    packed = packed_bytes(width)
+    size = 6 + packed + 5 * count
+    starts = np.cumsum(size) - size
+    area = np.zeros(int(size.sum()), np.uint8)
+    area[starts[:, None] + np.arange(4)] = low.astype("<u4")[:, None].view(np.uint8)
+    area[starts + 4], area[starts + 5] = width, count
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        for k, row in zip(at.tolist(), pack(np.where(odd[at], 0, d[at]), w), strict=True):
-            body[k] = struct.pack("<IBB", low[k], w, count[k]) + row.tobytes()
-    for k in np.flatnonzero(count).tolist():
-        place = np.flatnonzero(odd[k])
-        body[k] += place.astype(np.uint8).tobytes() + d[k, place].astype("<u4").tobytes()
-    starts = np.cumsum([0] + [len(b) for b in body])[:n].astype("<u4")
+        words = pack(np.where(odd[at], 0, d[at]), w).astype("<u8").view(np.uint8)
+        area[(starts[at] + 6)[:, None] + np.arange(words.shape[1])] = words
+    k, place = np.nonzero(odd)
+    to, value_to = exceptions(starts + 6 + packed, count)
+    area[to] = place
+    area[value_to[:, None] + np.arange(4)] = d[k, place].astype("<u4")[:, None].view(np.uint8)
     head = MAGIC + struct.pack("<IIII", len(docs), len(ids), BLOCK, n)
-    return head + np.array([len(x) for x in docs], dtype="<u4").tobytes() + starts.tobytes() + b"".join(body)
+    return head + np.array([len(x) for x in docs], dtype="<u4").tobytes() + starts.astype("<u4").tobytes() + area.tobytes()
+
+
+def packed_bytes(width: np.ndarray) -> np.ndarray:
+    return (BLOCK * width.astype(np.int64) + 63) // 64 * 8
+
+
+def exceptions(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes where the places, and where the values, of all exceptions stand; ``start``: where a block's list does."""
+    count = count.astype(np.int64)
+    before = np.cumsum(count) - count
+    n = np.arange(int(count.sum()))
+    return np.repeat(start - before, count) + n, np.repeat(start + count - 4 * before, count) + 4 * n
 
 
 def read_segment(payload: bytes) -> list[np.ndarray]:
@@ -110,12 +127,12 @@ def read_segment(payload: bytes) -> list[np.ndarray]:
     width, count = (byte(4), byte(5)) if n else (np.zeros(0, np.uint8), np.zeros(0, np.uint8))
     out = np.zeros((n, BLOCK), dtype=np.uint32)
     for w in np.unique(width).tolist():
-        at, size = np.flatnonzero(width == w), (BLOCK * w + 63) // 64 * 8
-        raw = area[(starts[at] + 6)[:, None] + np.arange(size)]
+        at = np.flatnonzero(width == w)
+        raw = area[(starts[at] + 6)[:, None] + np.arange((BLOCK * w + 63) // 64 * 8)]
         out[at] = unpack(np.ascontiguousarray(raw).view("<u8"), w)
-    for k in np.flatnonzero(count).tolist():
-        c, p = int(count[k]), int(starts[k]) + 6 + (BLOCK * int(width[k]) + 63) // 64 * 8
-        out[k, area[p : p + c]] = np.frombuffer(area[p + c : p + 5 * c].tobytes(), "<u4")
+    at, value_at = exceptions(starts + 6 + packed_bytes(width), count)
+    values = np.ascontiguousarray(area[value_at[:, None] + np.arange(4)]).view("<u4")[:, 0] if len(at) else np.zeros(0, np.uint32)
+    out[np.repeat(np.arange(n), count), area[at]] = values
     flat = (out + low[:, None]).ravel()[:n_ids]
     return np.split(flat, np.cumsum(sizes)[:-1]) if n_docs else []
 
