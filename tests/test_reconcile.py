@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from triweave.operators import mailbox, matching, rows, snapshots, survivorship, windows
+from triweave.operators import candidates, mailbox, matching, rows, snapshots, survivorship, windows
 from triweave.operators.assignment import assign
 from triweave.plans import uploads
 from triweave.schema import COLUMNS, INVOICE, conform
@@ -153,17 +153,19 @@ def test_attachments_children_first(spark):
     df = spark.createDataFrame([("m1", tree), ("m2", None)], "id string, payload string")
     got = [(r.ordinal, r.filename) for r in mailbox.explode_attachments(df).orderBy("ordinal").collect()]
     assert got == [(0, "m1_body_0.txt"), (2, "top.pdf")]
+    deep = '{"filename":"leaf.pdf","body":{"attachmentId":"a1"}}'
+    for k in range(9):
+        deep = '{"filename":"n%d.txt","body":{},"parts":[%s]}' % (k, deep)
+    got = mailbox.explode_attachments(spark.createDataFrame([("m", deep)], "id string, payload string")).collect()
+    assert [(r.ordinal, r.filename, r.attachment_id) for r in got] == [(0, "leaf.pdf", "a1")]
 
 
 def test_cached_record_must_agree_in_every_field(spark):
-    full = inv("FV/1", due_date=dt.date(2026, 1, 9), net_amount_minor=8000, seller_name="Abc Ltd")
-    others = ({"seller_tax_id": "2222222222"}, {"due_date": dt.date(2026, 1, 8)}, {"net_amount_minor": 7000}, {"seller_name": "Xyz Ltd"}, {"seller_name": None}, {})
-    fresh = feed(spark, "mail", *[full for _ in others]).select(*COLUMNS)
-    keyed = lambda rows: spark.createDataFrame([{**r.asDict(), "content_hash": str(k)} for k, r in enumerate(rows)], fresh.schema)
-    first = fresh.limit(1).collect()[0].asDict()
-    cached = spark.createDataFrame([{**first, **o, "content_hash": str(k)} for k, o in enumerate(others)], fresh.schema)
-    got = mailbox.reuse_cached(keyed(fresh.collect()), cached).collect()
-    assert [r.content_hash for r in got] == ["5"]
+    full = inv("FV/1", due_date=dt.date(2026, 1, 9), net_amount_minor=8000, seller_name="Abc Ltd", warnings=["parser:v2"])
+    others = ({"seller_tax_id": "2222222222"}, {"due_date": dt.date(2026, 1, 8)}, {"net_amount_minor": 7000}, {"seller_name": "Xyz Ltd"}, {"seller_name": None}, {}, {"warnings": []}, {"warnings": ["parser:v2", "OCR failed"]})
+    fresh, cached = feed(spark, "mail", *[full for _ in others]), feed(spark, "mail", *[full | o for o in others])
+    assert [r.content_hash for r in candidates.reuse_cached(fresh, cached).where("reusable").collect()] == ["mail5"]
+    assert candidates.reuse_cached(fresh, cached.where("false")).where("reusable").count() == 0
 
 
 def test_unknown_source_is_an_error(spark):

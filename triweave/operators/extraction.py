@@ -1,77 +1,311 @@
-"""Invoice fields read from texts, as native columns of one distributed job."""
+"""Invoice fields read from texts, XML and JSON documents, as columns of distributed jobs.
+
+Labels of a field are searched together, in one pass; what was found is ranked by label, then by place. Strings are
+cut out in one projection and parsed in the next, so that no pattern runs twice. Only the layout of parties (which
+side of a page a tax id or name stands on) needs a look at neighbouring lines and goes through Arrow batches.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triweave.functions.dates import parse_date
-from triweave.functions.money import local_money_to_minor, norm_currency
-from triweave.functions.numbers import clean_number, is_valid_number, norm_tax_id, number_from_filename, reference_from_text, tax_id_checksum
-from triweave.functions.records import FILENAME_NUMBER
-from triweave.schema import OWN_TAX_ID, conform
+from triweave.functions.dates import document_date_order, parse_date, parse_text_date
+from triweave.functions.money import CURRENCIES, amounts_inconsistent, decimal_to_minor, local_money_to_minor, norm_currency
+from triweave.functions.numbers import clean_number, is_valid_number, norm_tax_id, number_from_filename, reference_from_text
+from triweave.functions.records import FILENAME_NUMBER, OWN_ID_MARKS, clean_name, missing_core_fields, quality
+from triweave.operators.parties import party_columns
+from triweave.schema import COLUMNS, OWN_TAX_ID, conform
 
-# Labels, in order of trust.
+AMBIGUOUS_DATE = "ambiguous date"
+# Labels of a field, the most trusted first.
+GROSS_LABELS = ("łączna kwota brutto", "laczna kwota brutto", "wartość brutto", "wartosc brutto", "kwota brutto", "razem brutto", "total gross", "total", "brutto", "razem do zapłaty", "do zapłaty", "amount due")
+NET_LABELS = ("total net", "wartość netto", "wartosc netto", "kwota netto", "netto", "net")
+VAT_LABELS = ("total vat", "wartość vat", "wartosc vat", "kwota vat", "podatek vat", "vat amount", "tax amount", "podatek", "vat")
+ISSUE_LABELS = ("data wystawienia", "wystawiono", "issue date", "invoice date")
+SALE_LABELS = ("data sprzedaży", "data sprzedazy", "data wykonania usługi", "data wykonania uslugi", "sale date", "service date")
+DUE_LABELS = ("data płatności", "data platnosci", "termin płatności", "termin platnosci", "due date", "date due", "payment due")
+CURRENCY_LABELS = ("waluta", "currency", "currency code", "kod waluty", "kwota", "razem", "total", "amount", "do zapłaty", "do zaplaty")
+# Where a number stands, in order of trust, and phrases after which it is another document's.
 NUMBER_PATTERNS = (
-    r"(?iU)\bfaktura(?:\s+vat)?\s*(?:nr|numer|no)?[\s.:#]*([A-Z0-9][A-Z0-9/_.\-]*\d[A-Z0-9/_.\-]*)",
-    r"(?iU)\binvoice\s*(?:no|number|nr|#)[\s.:#]*([A-Z0-9][A-Z0-9/_.\-]*)",
-    r"(?iU)\b(?:nr|numer)\s+faktury[\s.:#]*([A-Z0-9][A-Z0-9/_.\-]*)",
+    r"(?is)numer\s+faktury[\s:#\-]*([0-9A-Z][A-Z0-9/_.\-]{2,})",
+    r"(?im)^\s*invoice[ \t]*(?:no\.?|number)[ \t:#\-]*([A-Z0-9][A-Z0-9/_.\-]{2,})\s*$",
+    r"(?i)(?:obraz\s+)?faktur(?:a|y)?\s*(?:vat)?\s*(?:korygując[aey]|korygujac[aey])?\s*(?:nr|numer)?[\s:#\-\n]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
+    r"(?i)(?:nr\s*faktury|invoice\s*(?:no\.?|number)?)[\s:#\-\n]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
+    r"(?i)\b(?:credit\s+note|nota\s+korygując[aey]|nota\s+korygujac[aey]|korekta)[ \t]*(?:no\.?|number|nr|numer)?[\s:#\-]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
+    r"(?i)\bFV[\s:#\-]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
 )
-GROSS_LABELS = ("do zapłaty", "do zaplaty", "razem brutto", "wartość brutto", "kwota brutto", "amount due", "total due", "grand total", "razem", "total")
-NET_LABELS = ("wartość netto", "razem netto", "kwota netto", "subtotal", "net amount")
-VAT_LABELS = ("kwota vat", "podatek vat", "vat amount")
-ISSUE_LABELS = ("data wystawienia", "wystawiono", "date of issue", "issue date", "invoice date")
-SALE_LABELS = ("data sprzedaży", "data sprzedazy", "date of sale", "sale date")
-DUE_LABELS = ("termin płatności", "termin platnosci", "due date", "payment due")
-MONEY = r"(-?\d[\d  .,]{0,20}\d|\d)"
-DATE = r"(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})"
+REFERS = r"(?:\bdo\s+faktury|\bdotyczy(?:\s+faktury)?|\bdot\.\s*faktury|\bkorekta\s+do|\bfaktur[ay]\s+korygowan(?:a|ej)|\bkorygowan(?:a|ej)\s+faktur[ay]|\bfaktur[ay]\s+(?:pierwotn|oryginaln)(?:a|ej)|\b(?:pierwotn|oryginaln)(?:a|ej)\s+faktur[ay]|\bcorrection\s+(?:of|to)\s+invoice|\bcredit\s+note\s+(?:for|to)\s+invoice|\b(?:original|corrected|related)\s+invoice|\b(?:refers|relates)\s+to\s+invoice)"
+BETWEEN = r"(?:[\s:#.\-]+|\b(?:nr|numer|no|number|vat|faktury|faktura|invoice|korygującej|korygujacej)\b)*"
+OTHER_DOCUMENT = ""  # stands before a number that a phrase gives to another document
+
+H = "[\\t   ]*"
+UNIT = f"(?:\\((?:{'|'.join(CURRENCIES)}|zł|€|\\$|£)\\)|(?:{'|'.join(CURRENCIES)}|zł|€|\\$|£))"
+DECIMAL = "-?(?:[0-9]{1,3}(?:[   ][0-9]{3})+[.,][0-9]{2}|[0-9]{1,3}(?:\\.[0-9]{3})+,[0-9]{2}|[0-9]{1,3}(?:,[0-9]{3})+\\.[0-9]{2}|[0-9]+[.,][0-9]{2})"
+END = f"{H}(?=\\r?$|[ \\t]+(?:NET|VAT|TOTAL)\\b)"
+TERMS = r"(?<!(?:\bterms|płatności|platnosci)[ \t]{0,9}[:\-]?[ \t]{0,9})"
+DATE = r"(\d{4}-\d{2}-\d{2}|\d{2}[./-]\d{2}[./-]\d{4}|[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4})"
+
 
+def alternatives(labels: tuple[str, ...]) -> str:
+    """Longer labels first, as a shorter one may begin them."""
+    return "|".join(sorted(labels, key=lambda x: (-len(x), x)))
 
-def _labelled(text: Column, labels: tuple[str, ...], value: str, gap: str) -> Column:
-    """First value after the first label that has one, on its line or the next."""
-    found = [F.nullif(F.regexp_extract(text, rf"(?iU){label}{gap}{value}", 1), F.lit("")) for label in labels]
-    return F.coalesce(*found)
+
+def best_labelled(found: Column, labels: tuple[str, ...], value: Column | None = None) -> Column:
+    """Value of the most trusted label; ``found``: pieces of text that begin with a label, in order of place."""
+    names = F.array(*[F.lit(x) for x in labels])
+    ranked = F.transform(found, lambda m, i: F.struct(F.array_position(names, F.lower(F.regexp_extract(m, f"(?iU)^(?:{alternatives(labels)})", 0))).alias("rank"), i.alias("at"), m.alias("m")))
+    return F.get(F.transform(F.array_sort(F.filter(ranked, lambda x: x["rank"] > 0)), lambda x: x["m"]), 0)
 
 
 def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
-    return local_money_to_minor(_labelled(text, labels, MONEY, r"[^\d\n-]{0,40}\n?[^\d\n-]{0,20}"))
+    """Amount text right behind a label on its line, or alone on the next line; ``Net 30`` is a term of payment.
+
+    A plain number behind a bare ``net`` needs a currency to count.
+    """
+    bare = [x for x in labels if x in ("net", "netto")]
+    usual = alternatives(tuple(x for x in labels if x not in bare))
+    lead = f"{H}(?:{UNIT}{H})?[:=]?{H}"
+    number = f"(?:{UNIT}{H})?(?:{DECIMAL}|-?[0-9]{{1,16}})(?:{H}{UNIT})?"
+    money = f"(?:(?:{UNIT}{H})?{DECIMAL}(?:{H}{UNIT})?|{UNIT}{H}-?[0-9]{{1,16}}|-?[0-9]{{1,16}}{H}{UNIT})"
+    parts = [f"\\b(?:{usual})\\b{lead}{number}{END}", f"^{H}(?:{usual})\\b{lead}\\r?\\n{H}{number}{END}"]
+    if bare:
+        net = "|".join(sorted(bare, key=len, reverse=True))
+        parts += [f"{TERMS}\\b(?:{net})\\b{lead}{money}{END}", f"^{H}(?:{net})\\b{lead}\\r?\\n{H}{money}{END}"]
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?imU)(?:{'|'.join(parts)})"), F.lit(0)), F.ltrim)
+    whole = best_labelled(found, labels)
+    return F.nullif(F.regexp_extract(whole, f"(?sU)({DECIMAL}|-?[0-9]+)[^0-9]*$", 1), F.lit(""))
+
 
+def table_amount(text: Column, column: int) -> Column:
+    """Net (1), VAT (2) or total (3) of a TOTAL row below a NET / VAT / TOTAL heading."""
+    skip = f"{H}(?:{UNIT}{H})?(?:{DECIMAL}{H})?"
+    gap = "[ \\t\\r\\n]+"
+    row = f"^[ \\t]*TOTAL\\b[ \\t]*:?{gap}({DECIMAL}){gap}({DECIMAL}){gap}({DECIMAL})[ \\t]*\\r?$"
+    return F.when(text.rlike("(?i)\\bNET\\b"), F.nullif(F.regexp_extract(text, f"(?im)\\bNET\\b{skip}VAT\\b{skip}TOTAL\\b[\\s\\S]*?{row}", column), F.lit("")))
 
-def labelled_date(text: Column, labels: tuple[str, ...]) -> Column:
-    return parse_date(_labelled(text, labels, DATE, r"[^\d\n]{0,30}\n?[^\d\n]{0,20}"))
+
+def labelled_dates(text: Column, labels: tuple[str, ...]) -> Column:
+    """Date text of the most trusted label."""
+    found = F.regexp_extract_all(text, F.lit(f"(?iU)(?:{alternatives(labels)})[^0-9A-Za-z]{{0,30}}{DATE}"), F.lit(0))
+    return F.nullif(F.regexp_extract(best_labelled(found, labels), f"{DATE}$", 1), F.lit(""))
+
+
+def first_date(text: Column) -> Column:
+    """First date anywhere: ISO dates first, then numeric ones, then those with a month name."""
+    shapes = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}[./-]\d{2}[./-]\d{4}\b", r"\b[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4}\b")
+    return F.coalesce(*[F.get(F.filter(F.regexp_extract_all(text, F.lit(s), F.lit(0)), lambda x: parse_date(x).isNotNull()), 0) for s in shapes])
 
 
 def invoice_number(text: Column) -> Column:
-    found = [clean_number(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p in NUMBER_PATTERNS]
-    return F.coalesce(*[F.when(is_valid_number(x), x) for x in found])
+    """The document's own number; one that a phrase gives to another document only if there is no other."""
+    own = F.regexp_replace(text, f"(?iU)({REFERS}{BETWEEN})(?=[A-Za-z0-9])", f"$1{OTHER_DOCUMENT}")
+
+    def first(of: Column) -> Column:
+        valid = [F.get(F.filter(F.transform(F.regexp_extract_all(of, F.lit(p), F.lit(1)), clean_number), is_valid_number), 0) for p in NUMBER_PATTERNS]
+        return F.coalesce(*valid)
+
+    return F.coalesce(first(own), first(text))
+
+
+def currency_of(text: Column) -> Column:
+    """Currency on the line of a label, else anywhere."""
+    spans = F.regexp_extract_all(text, F.lit(f"(?iU)(?:{alternatives(CURRENCY_LABELS)})[^\\n]{{0,80}}"), F.lit(0))
+    names = F.array(*[F.lit(x) for x in CURRENCY_LABELS])
+    known = F.transform(spans, lambda m, i: F.struct(F.array_position(names, F.lower(F.regexp_extract(m, f"(?iU)^(?:{alternatives(CURRENCY_LABELS)})", 0))).alias("rank"), i.alias("at"), norm_currency(m).alias("c")))
+    return F.coalesce(F.get(F.array_sort(F.filter(known, lambda x: x["c"].isNotNull())), 0)["c"], norm_currency(text))
 
 
-def tax_ids(text: Column) -> Column:
-    """Labelled tax ids in order, those with a right checksum first."""
-    ids = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?iU)\b(?:nip|vat\s*(?:id|no)|tax\s*id)[\s:.#]*(?:PL)?\s*([\d][\d \-]{8,14}\d)"), F.lit(1)), norm_tax_id), lambda x: x.isNotNull())
-    right = F.filter(ids, tax_id_checksum)
-    return F.array_distinct(F.concat(right, ids))
+def header(text: Column, name: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(text, f"(?im)^{name}:\\s*(.+)$", 1)), F.lit(""))
 
 
 def own_id_check(text: Column, own: str = OWN_TAX_ID) -> Column:
-    """found, not_found or unreadable: the own id stands alone in the text, spaces and dashes inside folded."""
-    folded = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "‐‑‒–—    ", "-----    "), r"[0-9]{10}-[0-9]{8}-[A-Z0-9]{10,}-[A-Z0-9]{2}", " ")
-    spaced = "[ -]?".join(own)
-    return F.when(F.trim(folded) == "", "unreadable").when(folded.rlike(rf"(?<![0-9])(?:PL)?{spaced}(?![0-9])"), "found").otherwise("not_found")
+    """found, not_found or unreadable: the own id stands alone in the text, whatever spaces and dashes are inside.
+
+    References begin with an id and are left out; digits joined by dots or dashes are parts of a longer id.
+    """
+    folded = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", " "), "[‐-―−﹣－]", "-")
+    plain = F.regexp_replace(folded, r"(?i)\b[0-9]{10} *- *[0-9]{8} *- *[A-Z0-9]{10,} *- *[A-Z0-9]{2}\b", " ")
+    digits = "[ .-]*".join(own)
+    alone = rf"(?iU)(?<![\p{{L}}\p{{N}}_])(?<![0-9][ .\-]{{0,9}}[.\-][ .\-]{{0,9}})(?:NIP[ :]*(?:PL *)?|PL *)?{digits}(?![\p{{L}}\p{{N}}_])(?![ .\-]*[.\-][ .\-]*[0-9])"
+    return F.when(F.trim(folded) == "", "unreadable").when(plain.rlike(alone), "found").otherwise("not_found")
+
+
+def with_own_check(warnings: Column, check: Column) -> Column:
+    """Warnings with the mark of this check in place of an earlier one."""
+    marks = F.create_map(*[F.lit(x) for kv in OWN_ID_MARKS.items() for x in kv])
+    return F.concat(F.filter(warnings, lambda w: ~w.isin(*OWN_ID_MARKS.values())), F.array(marks[check]))
 
 
 def extract_text(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
     """Invoice records of ``content_hash, source_path, text`` rows; a number from the file name is marked as such."""
     t = F.col("text")
-    d = docs.select("content_hash", "source_path", t.alias("text"), tax_ids(t).alias("_ids"), invoice_number(t).alias("_number"))
-    others = F.filter("_ids", lambda x: x != own)
+    raw = docs.select("content_hash", "source_path", F.coalesce(t, F.lit("")).alias("text"))
+    raw = raw.select("*", *[(labelled_amount(t, labels)).alias(f"_{n}") for n, labels in (("net", NET_LABELS), ("vat", VAT_LABELS), ("gross", GROSS_LABELS))], *[table_amount(t, k).alias(f"_{n}_table") for k, n in ((1, "net"), (2, "vat"), (3, "gross"))],
+        *[labelled_dates(t, labels).alias(f"_{n}") for n, labels in (("issue", ISSUE_LABELS), ("sale", SALE_LABELS), ("due", DUE_LABELS))], document_date_order(t).alias("_order"), invoice_number(t).alias("_number"), own_id_check(t, own).alias("_own"))
+    d = party_columns(raw, "text").withColumn("_issue", F.coalesce(F.when(parse_date(F.col("_issue")).isNotNull(), F.col("_issue")), first_date(t)))
+    days = {n: parse_text_date(F.col(f"_{n}"), F.col("_order")) for n in ("issue", "sale", "due")}
+    from_name = number_from_filename(F.col("source_path"))
+    marks = [F.when(days[n]["alternative"].isNotNull(), F.concat(F.lit(f"{AMBIGUOUS_DATE}: {n} date "), F.col(f"_{n}"), F.lit(" read as "), days[n]["date"].cast("string"), F.lit(" (day first), may be "), days[n]["alternative"].cast("string"))) for n in days]
+    named = F.when(F.col("_number").isNull() & from_name.isNotNull(), F.lit(FILENAME_NUMBER))
+    return conform(
+        d.select(
+            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce("_number", from_name).alias("invoice_number"), "seller_tax_id", "buyer_tax_id", "seller_name", "buyer_name",
+            *[days[n]["date"].alias(f"{n}_date") for n in days], *[local_money_to_minor(F.coalesce(f"_{n}_table", f"_{n}")).alias(f"{n}_amount_minor") for n in ("gross", "net", "vat")],
+            currency_of(t).alias("currency"), reference_from_text(t).alias("ksef_reference"), header(t, "Message-ID").alias("email_message_id"), header(t, "Subject").alias("email_subject"), header(t, "From").alias("email_from"),
+            with_own_check(F.array_compact(F.array(*marks, named)), F.col("_own")).alias("warnings"),
+        )
+    )
+
+
+def xml_text(text: Column, *tags: str) -> Column:
+    """Text of the first element of the first tag that occurs; namespaces, inner tags and CDATA marks left out."""
+    inner = lambda tag: F.regexp_extract(text, f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{tag}(?:\\s[^>]*)?>(.*?)</(?:[A-Za-z0-9_\\-]+:)?{tag}>", 1)
+    has = lambda tag: text.rlike(f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{tag}(?:\\s[^>]*)?>.*?</(?:[A-Za-z0-9_\\-]+:)?{tag}>")
+    out = F.lit(None).cast("string")
+    for tag in reversed(tags):
+        out = F.when(has(tag), inner(tag)).otherwise(out)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"<!\[CDATA\[|\]\]>", ""), "(?s)<[^>]+>", ""))
+
+
+def xml_block(text: Column, *tags: str) -> Column:
+    out = F.lit(None).cast("string")
+    for tag in reversed(tags):
+        block = F.regexp_extract(text, f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{tag}(?:\\s[^>]*)?>(.*?)</(?:[A-Za-z0-9_\\-]+:)?{tag}>", 1)
+        out = F.when(block != "", block).otherwise(out)
+    return out
+
+
+def machine_money(x: Column) -> Column:
+    return F.coalesce(decimal_to_minor(x), local_money_to_minor(x))
+
+
+def xml_rate_sum(text: Column, prefix: str) -> Column:
+    """Sum over the rate fields ``prefix_1, prefix_2, prefix_6_1 ...``, each name once; ``W`` variants are the same tax in another currency."""
+    pairs = F.regexp_extract_all(text, F.lit(f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{prefix}_[0-9]+(?:_[0-9]+)*(?:\\s[^>]*)?>[^<]*<"), F.lit(0))
+    named = F.transform(pairs, lambda x: F.struct(F.upper(F.regexp_extract(x, f"(?i)({prefix}_[0-9_]+)", 1)).alias("n"), machine_money(F.regexp_extract(x, ">([^<]*)<", 1)).alias("v")))
+    first = F.filter(named, lambda x, i: ~F.exists(F.slice(named, 1, i), lambda y: y["n"] == x["n"]) & x["v"].isNotNull())
+    return F.when(F.size(first) > 0, F.aggregate(first, F.lit(0).cast("bigint"), lambda s, x: F.try_add(s, x["v"])))
+
+
+def extract_xml(docs: DataFrame, source: str = "ksef", own: str = OWN_TAX_ID) -> DataFrame:
+    """Invoice records of ``content_hash, source_path, text`` rows with XML documents; tag names are fixed values."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select("content_hash", "source_path", t.alias("text"), xml_block(t, "Podmiot1", "Seller", "Sprzedawca").alias("_seller"), xml_block(t, "Podmiot2", "Buyer", "Nabywca").alias("_buyer"), own_id_check(t, own).alias("_own"))
+    d = party_columns(d, "text", ids="_ids", roles=False)
+    t = F.col("text")
+    tax = lambda b: norm_tax_id(xml_text(F.col(b), "NIP", "TaxId", "VATID", "VatId"))
+    name = lambda b: clean_name(xml_text(F.col(b), "Nazwa", "Name", "FullName"))
+    number = clean_number(xml_text(t, "P_2", "NumerFaktury", "InvoiceNumber", "NrFaktury", "number"))
     from_name = number_from_filename(F.col("source_path"))
-    marks = F.when(F.col("_number").isNull() & from_name.isNotNull(), F.array(F.lit(FILENAME_NUMBER))).otherwise(F.array().cast("array<string>"))
     return conform(
         d.select(
-            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce("_number", from_name).alias("invoice_number"), F.get(others, 0).alias("seller_tax_id"), F.when(F.array_contains("_ids", own), F.lit(own)).otherwise(F.get(others, 1)).alias("buyer_tax_id"),
-            labelled_date(F.col("text"), ISSUE_LABELS).alias("issue_date"), labelled_date(F.col("text"), SALE_LABELS).alias("sale_date"), labelled_date(F.col("text"), DUE_LABELS).alias("due_date"),
-            labelled_amount(F.col("text"), GROSS_LABELS).alias("gross_amount_minor"), labelled_amount(F.col("text"), NET_LABELS).alias("net_amount_minor"), labelled_amount(F.col("text"), VAT_LABELS).alias("vat_amount_minor"),
-            norm_currency(F.col("text")).alias("currency"), reference_from_text(F.col("text")).alias("ksef_reference"), marks.alias("warnings"),
+            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce(number, from_name).alias("invoice_number"),
+            F.coalesce(tax("_seller"), F.get("_ids", 0)).alias("seller_tax_id"), F.coalesce(tax("_buyer"), F.get("_ids", 1)).alias("buyer_tax_id"), name("_seller").alias("seller_name"), name("_buyer").alias("buyer_name"),
+            parse_date(xml_text(t, "P_1", "DataWystawienia", "IssueDate")).alias("issue_date"), parse_date(xml_text(t, "P_6", "DataSprzedazy", "SaleDate")).alias("sale_date"), parse_date(xml_text(t, "TerminPlatnosci", "DueDate", "PaymentDueDate")).alias("due_date"),
+            machine_money(xml_text(t, "P_15", "KwotaNaleznosciOgolna", "GrossAmount", "totalGross")).alias("gross_amount_minor"),
+            F.coalesce(xml_rate_sum(t, "P_13"), machine_money(xml_text(t, "NetAmount", "totalNet"))).alias("net_amount_minor"), F.coalesce(xml_rate_sum(t, "P_14"), machine_money(xml_text(t, "VatAmount", "totalVat"))).alias("vat_amount_minor"),
+            norm_currency(xml_text(t, "KodWaluty", "Currency")).alias("currency"), F.trim(xml_text(t, "NrKSeF", "KsefNumber", "ReferenceNumber")).alias("ksef_reference"),
+            with_own_check(F.array_compact(F.array(F.when(number.isNull() & from_name.isNotNull(), F.lit(FILENAME_NUMBER)))), F.col("_own")).alias("warnings"),
         )
     )
+
+
+# Keys of a JSON invoice, spelt as lower-case letters and digits of their whole path.
+JSON_KEYS = {
+    "invoice_number": ("invoicenumber", "number", "numerfaktury", "p2"), "issue_date": ("issuedate", "datawystawienia", "p1"), "sale_date": ("saledate", "datasprzedazy", "p6"), "due_date": ("duedate", "paymentduedate", "terminplatnosci"),
+    "seller_tax_id": ("sellertaxid", "sellernip", "podmiot1nip", "sprzedawcanip"), "buyer_tax_id": ("buyertaxid", "buyernip", "podmiot2nip", "nabywcanip"), "seller_name": ("sellername", "podmiot1nazwa", "sprzedawcanazwa"), "buyer_name": ("buyername", "podmiot2nazwa", "nabywcanazwa"),
+    "gross": ("grossamount", "totalgross", "kwotabrutto", "p15"), "net": ("netamount", "totalnet"), "vat": ("vatamount", "totalvat"), "currency": ("currency", "kodwaluty"), "ksef_reference": ("ksefreference", "nrksef", "ksefnumber", "referencenumber"),
+    "email_message_id": ("emailmessageid", "messageid", "id"), "email_subject": ("emailsubject", "subject"), "email_from": ("emailfrom", "from"),
+}
+
+
+class _Number(str):
+    """A JSON number as written."""
+
+
+def _leaves(value: object, path: str = "", name: str = "") -> Iterator[tuple[str, str, str, bool]]:
+    if isinstance(value, dict | list):
+        for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+            yield from _leaves(v, f"{path}.{k}" if path else str(k), str(k))
+    elif value is not None:
+        yield path, name, value if isinstance(value, str) else str(value).lower(), not isinstance(value, str) or isinstance(value, _Number)
+
+
+def json_leaves(docs: DataFrame, key: str = "content_hash", text: str = "text") -> DataFrame:
+    """``key, path, name, value, number`` of every leaf of JSON documents, however deep; ``number``: it is no text."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple] = []
+            at: list[int] = []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                try:
+                    new = list(_leaves(json.loads(t or "null", parse_float=_Number, parse_int=_Number)))
+                except (ValueError, RecursionError):
+                    continue
+                found += new
+                at += [k] * len(new)
+            columns = [pa.array([f[n] for f in found], pa.bool_() if n == 3 else pa.string()) for n in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "path", "name", "value", "number"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, path string, name string, value string, number boolean")
+
+
+def extract_json(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
+    """Invoice records of ``content_hash, source_path, text`` rows with JSON documents; what is no JSON is read as text.
+
+    Keys are found at any depth by their path; numbers have a decimal point, texts may be in the local form. Rate
+    fields are summed, each name once.
+    """
+    plain = docs.where(F.try_parse_json("text").isNotNull())
+    leaf = json_leaves(plain).withColumn("flat", F.lower(F.regexp_replace("path", "[^A-Za-z0-9]", "")))
+    leaf = leaf.withColumn("minor", F.when(F.col("number"), decimal_to_minor(F.col("value"))).otherwise(local_money_to_minor(F.col("value"))))
+    fields = []
+    for field, names in JSON_KEYS.items():
+        keys = F.array(*[F.lit(n) for n in names])
+        rank = F.array_position(keys, F.col("flat"))
+        usable = rank > 0 if field in ("gross", "net", "vat") else (rank > 0) & (F.trim("value") != "")
+        fields.append(F.min_by(F.col("minor") if field in ("gross", "net", "vat") else F.col("value"), F.when(usable, F.struct(rank, "path"))).alias(f"_{field}"))
+    found = leaf.groupBy("content_hash").agg(*fields)
+    rates = leaf.where(F.upper("name").rlike("^P_1[34]_[0-9]+(_[0-9]+)*$")).groupBy("content_hash", F.upper("name").alias("n")).agg(F.min_by("minor", "path").alias("minor"))
+    sums = rates.groupBy("content_hash").agg(*[F.sum(F.when(F.col("n").startswith(p), F.col("minor"))).alias(c) for p, c in (("P_13", "_net_rates"), ("P_14", "_vat_rates"))])
+    d = party_columns(plain.select("content_hash", "source_path", "text", own_id_check(F.col("text"), own).alias("_own")), "text", ids="_ids", roles=False)
+    d = d.join(found, "content_hash", "left").join(sums, "content_hash", "left")
+    number, from_name = clean_number(F.col("_invoice_number")), number_from_filename(F.col("source_path"))
+    out = conform(
+        d.select(
+            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce(number, from_name).alias("invoice_number"), F.coalesce(norm_tax_id(F.col("_seller_tax_id")), F.get("_ids", 0)).alias("seller_tax_id"), F.coalesce(norm_tax_id(F.col("_buyer_tax_id")), F.get("_ids", 1)).alias("buyer_tax_id"),
+            clean_name(F.col("_seller_name")).alias("seller_name"), clean_name(F.col("_buyer_name")).alias("buyer_name"), *[parse_date(F.col(f"_{n}_date")).alias(f"{n}_date") for n in ("issue", "sale", "due")],
+            F.col("_gross").alias("gross_amount_minor"), F.coalesce("_net", "_net_rates").alias("net_amount_minor"), F.coalesce("_vat", "_vat_rates").alias("vat_amount_minor"), norm_currency(F.col("_currency")).alias("currency"),
+            F.col("_ksef_reference").alias("ksef_reference"), *[F.col(f"_{n}").alias(n) for n in ("email_message_id", "email_subject", "email_from")],
+            with_own_check(F.array_compact(F.array(F.when(number.isNull() & from_name.isNotNull(), F.lit(FILENAME_NUMBER)))), F.col("_own")).alias("warnings"),
+        )
+    )
+    other = extract_text(docs.where(F.try_parse_json("text").isNull()), source, own)
+    return out.unionByName(other.withColumn("warnings", F.concat("warnings", F.array(F.lit("JSON read as text")))))
+
+
+def extract_documents(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
+    """Records of a mixed corpus, each document read by its extension."""
+    kind = F.lower(F.regexp_extract(F.coalesce("source_path", F.lit("")), "[.]([^./]*)$", 1))
+    return extract_xml(docs.where(kind == "xml"), source, own).unionByName(extract_json(docs.where(kind == "json"), source, own)).unionByName(extract_text(docs.where(~kind.isin("xml", "json")), source, own))
+
+
+def better_reading(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Of two readings of a document (records by ``content_hash``) the second, unless it is worse or the first has all core fields.
+
+    Consistent amounts come before the number of known fields.
+    """
+    a = first.select("content_hash", F.struct(*COLUMNS).alias("a"), missing_core_fields().alias("poor"), amounts_inconsistent(F.col("net_amount_minor"), F.col("vat_amount_minor"), F.col("gross_amount_minor")).alias("bad_a"), quality().alias("qa"))
+    b = second.select("content_hash", F.struct(*COLUMNS).alias("b"), amounts_inconsistent(F.col("net_amount_minor"), F.col("vat_amount_minor"), F.col("gross_amount_minor")).alias("bad_b"), quality().alias("qb"))
+    worse = (F.col("bad_b") & ~F.col("bad_a")) | ((F.col("bad_a") == F.col("bad_b")) & (F.col("qb") < F.col("qa")))
+    pick = F.when(F.col("a").isNull() | (F.col("b").isNotNull() & F.col("poor") & ~worse), F.col("b")).otherwise(F.col("a"))
+    return a.join(b, "content_hash", "full_outer").select(pick.alias("r")).select("r.*")

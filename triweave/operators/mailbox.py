@@ -1,17 +1,18 @@
-"""Mail feed jobs: attachments of message trees, header joins, new-file tests, candidate clustering."""
+"""Mail feed jobs: attachments of message trees, header joins, new-file tests, enrichment queues and their ledger."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from triweave.functions.numbers import canonical_number
-from triweave.functions.records import is_placeholder
+from triweave.functions.records import has_invoice_signal, missing_core_fields, needs_paid_enrichment, number_guessed, password_protected, unreadable
+from triweave.schema import OWN_TAX_ID
 
-DEPTH = 5  # levels of a message tree that are read
-CACHED_FIELDS = ("invoice_number", "seller_tax_id", "buyer_tax_id", "issue_date", "sale_date", "due_date", "gross_amount_minor", "net_amount_minor", "vat_amount_minor", "currency", "ksef_reference")
 ALLOWED = ("xml", "json", "txt", "eml", "pdf")
+# File names that are no invoices.
+NO_INVOICE = ("receipt", "statement", "regulamin", "warunki", "informacje", "upowa", "oferta", "umowa", "order", "label", "bilet", "dr_skan", "wypowiedzenie", "grafklient", "cennik", "polityka", "pasek", "wishlist", "terms", "portfolio", "kosztorys", "formularz", "prawo_jazdy", "zalacznik")
+ATTEMPT = "content_hash string, model string, version string, outcome string, attempted_at timestamp, detail string"
 
 
 def headers_map(headers) -> F.Column:
@@ -23,35 +24,38 @@ def headers_map(headers) -> F.Column:
 
 
 def explode_attachments(messages: DataFrame, message_id: str = "id", payload: str = "payload") -> DataFrame:
-    """``message_id, ordinal, filename, data`` of the allowed parts of message trees (JSON text), children first.
+    """``message_id, ordinal, filename, data, attachment_id`` of the allowed parts of message trees (JSON text), children first.
 
-    Unnamed plain-text parts get a name; numbering counts every allowed part, and parts without data go after it.
+    Trees are read to any depth, one level a step. Unnamed plain-text parts get a name; numbering counts every allowed
+    part, and parts with neither data nor an attachment id go after it.
     """
     level = messages.select(F.col(message_id).alias("message_id"), F.array().cast("array<int>").alias("path"), F.try_parse_json(payload).alias("v"))
-    parts = None
     get = lambda p: F.try_variant_get("v", p, "string")
-    for _ in range(DEPTH):
-        here = level.select("message_id", F.concat("path", F.array(F.lit(2**30))).alias("key"), get("$.filename").alias("filename"), get("$.mimeType").alias("mime"), get("$.body.data").alias("data"))
+    parts = None
+    while parts is None or not level.isEmpty():
+        here = level.select("message_id", F.concat("path", F.array(F.lit(2**30))).alias("key"), F.nullif(F.trim(get("$.filename")), F.lit("")).alias("named"), get("$.mimeType").alias("mime"), get("$.body.data").alias("data"), get("$.body.attachmentId").alias("attachment_id"))
         parts = here if parts is None else parts.unionByName(here)
         children = F.try_variant_get("v", "$.parts", "array<variant>")
         level = level.select("message_id", "path", F.posexplode(children).alias("i", "v")).select("message_id", F.concat("path", F.array("i")).alias("path"), "v")
-    named = F.coalesce(F.nullif(F.trim("filename"), F.lit("")), F.when(F.col("mime") == "text/plain", F.lit(None).cast("string")))
-    body = (named.isNull()) & (F.col("mime") == "text/plain")
-    ext = F.lower(F.regexp_extract(named, "[.]([^.]+)$", 1))
-    kept = parts.withColumn("named", named).where(body | ext.isin(*ALLOWED))
-    order = Window.partitionBy("message_id").orderBy("key")
-    kept = kept.withColumn("ordinal", F.row_number().over(order) - 1)
+    body = F.col("named").isNull() & (F.col("mime") == "text/plain")
+    kept = parts.where(body | F.lower(F.regexp_extract("named", "[.]([^.]+)$", 1)).isin(*ALLOWED))
+    kept = kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("message_id").orderBy("key")) - 1)
     name = F.coalesce("named", F.concat("message_id", F.lit("_body_"), F.col("ordinal").cast("string"), F.lit(".txt")))
-    return kept.where(F.col("data").isNotNull()).select("message_id", "ordinal", name.alias("filename"), "data")
+    return kept.where(F.col("data").isNotNull() | F.col("attachment_id").isNotNull()).select("message_id", "ordinal", name.alias("filename"), "data", "attachment_id")
 
 
 def join_headers(records: DataFrame, headers: DataFrame) -> DataFrame:
-    """Fills blank message fields of records from ``message_id, subject, sender`` by the id in the attachment's path."""
-    key = F.nullif(F.regexp_extract("source_path", "([0-9A-Fa-f]{12,})_[0-9]+_[^/]*$", 1), F.lit(""))
-    h = headers.select(F.col("message_id").alias("_m"), "subject", "sender").dropDuplicates(["_m"])
+    """Fills blank message fields of records by the message id in the attachment's file name, ``<id>_<n>_<name>``.
+
+    ``headers``: ``message_id, subject, sender`` and, if there is one, ``header_id``, the id that the message itself
+    states. Of several headers of a message the first by content counts.
+    """
+    key = F.nullif(F.regexp_extract("source_path", "(?:^|/)([^/_]+)_[0-9]+_[^/]+$", 1), F.lit(""))
+    own = F.nullif(F.trim("header_id"), F.lit("")) if "header_id" in headers.columns else F.lit(None).cast("string")
+    h = headers.groupBy(F.col("message_id").alias("_m")).agg(F.min(F.struct(own.alias("id"), "subject", "sender")).alias("_h"))
     out = records.withColumn("_k", key).join(h, F.col("_k") == F.col("_m"), "left")
-    blank = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(other)).alias(c)
-    cols = {"email_message_id": blank("email_message_id", "_m"), "email_subject": blank("email_subject", "subject"), "email_from": blank("email_from", "sender")}
+    blank = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.nullif(F.trim(other), F.lit(""))).alias(c)
+    cols = {"email_message_id": blank("email_message_id", F.coalesce("_h.id", "_m")), "email_subject": blank("email_subject", F.col("_h.subject")), "email_from": blank("email_from", F.col("_h.sender"))}
     return out.select(*[cols.get(c, F.col(c)) for c in records.columns])
 
 
@@ -60,36 +64,65 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("source_path"), "source_path", "left_anti").join(known.select("content_hash"), "content_hash", "left_anti").select(*found.columns)
 
 
+def all_paths(saved: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """Distinct ``source_path`` of files that a fetch saved and files found on disk."""
+    return saved.select("source_path").union(on_disk.select("source_path")).distinct()
+
+
 def complete_messages(plan: DataFrame, present: DataFrame) -> DataFrame:
     """``message_id, complete``: every planned attachment (``message_id, filename``) is present."""
     p = present.select("message_id", "filename").distinct().withColumn("_here", F.lit(True))
     return plan.join(p, ["message_id", "filename"], "left").groupBy("message_id").agg(F.bool_and(F.coalesce("_here", F.lit(False))).alias("complete"))
 
 
-def reuse_cached(fresh: DataFrame, cached: DataFrame, fields: tuple[str, ...] = CACHED_FIELDS, names: tuple[str, ...] = ("seller_name", "buyer_name")) -> DataFrame:
-    """Hashes whose cached record agrees with every field that the fresh one has, and with every name that is no placeholder."""
-    c = cached.select("content_hash", *[F.col(f).alias(f"_{f}") for f in (*fields, *names)])
-    agree = lambda f: F.col(f).isNull() | F.coalesce(F.col(f) == F.col(f"_{f}"), F.lit(False))
-    same = F.forall(F.array(*[agree(f) for f in fields], *[agree(f) | F.coalesce(is_placeholder(F.col(f)), F.lit(False)) for f in names]), lambda x: x)
-    return fresh.join(c, "content_hash").where(same).select("content_hash")
+def candidate_year(records: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
+    """Records issued in the year or undated, and ``dropped``, how many others there are; the sale date does not count."""
+    keep = F.coalesce(F.year("issue_date") == year, F.lit(True))
+    return records.where(keep), records.agg(F.count_if(~keep).alias("dropped"))
 
 
-def skip_attempted(queue: DataFrame, attempts: DataFrame, model: str, version: int) -> DataFrame:
-    """Queue without documents that this model and version already answered for good; the last attempt counts."""
-    last = Window.partitionBy("content_hash").orderBy(F.desc("attempted_at"))
-    done = attempts.where((F.col("model") == model) & (F.col("version") == version)).withColumn("_n", F.row_number().over(last)).where("_n = 1 and outcome <> 'transient'")
-    return queue.join(done, "content_hash", "left_anti")
+def company_candidates(records: DataFrame, own_name: str, own: str = OWN_TAX_ID, keep_unread: bool = False, bad_words: tuple[str, ...] = NO_INVOICE) -> DataFrame:
+    """Invoices of the own company, by id or name, without passwords or telling file names.
 
+    With ``keep_unread`` also documents whose text could not be read, if anything about them says invoice.
+    """
+    name = F.lower(F.regexp_extract(F.coalesce("source_path", F.lit("")), "([^/]*)$", 1))
+    names = F.lower(F.concat_ws(" ", "seller_name", "buyer_name"))
+    related = F.coalesce(F.col("seller_tax_id") == own, F.lit(False)) | F.coalesce(F.col("buyer_tax_id") == own, F.lit(False)) | names.contains(own_name.lower())
+    waiting = F.lit(keep_unread) & unreadable() & has_invoice_signal()
+    bad = name.rlike("|".join(bad_words)) if bad_words else F.lit(False)
+    return records.where(~password_protected() & (related | waiting) & ~bad)
 
-def unnumbered_distinct(records: DataFrame) -> DataFrame:
-    """Unnumbered candidates distinct on what else they say; numbered ones pass."""
-    none = F.coalesce(canonical_number(F.col("invoice_number")), F.lit("")) == ""
-    fields = ["seller_tax_id", "buyer_tax_id", "seller_name", "buyer_name", "issue_date", "gross_amount_minor", "currency"]
-    return records.where(~none).unionByName(records.where(none).dropDuplicates(fields))
 
+def read_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """Ledger of model attempts: broken lines are dropped, of each (hash, model, version) the last entry counts."""
+    rows = spark.read.schema(ATTEMPT).option("mode", "DROPMALFORMED").json(path)
+    key = ("content_hash", "model", "version")
+    last = Window.partitionBy(*key).orderBy(F.desc("attempted_at"), F.desc("outcome"), F.desc("detail"))
+    return rows.where("content_hash is not null and outcome is not null").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+
+
+def enrichment_queue(records: DataFrame, skip: DataFrame, paid: bool, forced: bool = False) -> DataFrame:
+    """PDF records that a model should read: not in ``skip`` (``content_hash``), without a password.
+
+    A paid model gets those that look like invoices and lack hard fields; a forced request, or a free one, all that lack
+    core fields or have a guessed number.
+    """
+    pdf = F.lower(F.coalesce("source_path", F.lit(""))).endswith(".pdf")
+    need = needs_paid_enrichment() if paid and not forced else missing_core_fields() | number_guessed()
+    return records.join(skip.select("content_hash"), "content_hash", "left_anti").where(pdf & ~password_protected() & need).select(*records.columns)
+
+
+def skip_attempted(queue: DataFrame, attempts: DataFrame, model: str, version: str, request: str = "automatic") -> DataFrame:
+    """Queue without documents that this model and version already answered for good; the last attempt counts.
+
+    Explicit and forced requests ask again.
+    """
+    if request not in ("automatic", "explicit", "forced"):
+        raise ValueError(request)
+    if request != "automatic":
+        return queue
+    last = Window.partitionBy("content_hash").orderBy(F.desc("attempted_at"), F.desc("outcome"))
+    done = attempts.where((F.col("model") == model) & (F.col("version") == version)).withColumn("_n", F.row_number().over(last)).where("_n = 1 and outcome <> 'transient'")
+    return queue.join(done, "content_hash", "left_anti")
 
-def company_candidates(records: DataFrame, bad_words: tuple[str, ...]) -> DataFrame:
-    """Candidates whose file name holds none of the words and whose party is not a mere heading."""
-    name = F.lower(F.regexp_extract(F.coalesce("source_path", F.lit("")), "([^/]*)$", 1))
-    keep = ~name.rlike("|".join(bad_words)) if bad_words else F.lit(True)
-    return records.where(keep & ~F.coalesce(is_placeholder(F.col("seller_name")) & is_placeholder(F.col("buyer_name")), F.lit(False)))

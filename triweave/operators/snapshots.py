@@ -40,22 +40,60 @@ def read_run(spark: SparkSession, store: str, year: int, run_id: int) -> DataFra
     return spark.read.parquet(f"{store}/rows/year={year}/run_id={run_id}")
 
 
+def list_runs(spark: SparkSession, store: str, limit: int = 20) -> DataFrame:
+    """Headers of the latest committed runs, the newest first; the limit is the report."""
+    return spark.read.parquet(f"{store}/headers").orderBy(F.desc("run_id"), F.desc("year")).limit(limit)
+
+
+def store_stats(invoices: DataFrame, headers: DataFrame, rows: DataFrame) -> DataFrame:
+    """``kind, n``: records by source, runs and stored rows."""
+    by_source = invoices.groupBy(F.col("source").alias("kind")).agg(F.count("*").alias("n"))
+    return by_source.union(headers.agg(F.lit("runs"), F.count("*"))).union(rows.agg(F.lit("rows"), F.count("*")))
+
+
+def stored_summary(rows: DataFrame) -> DataFrame:
+    """``status, n`` of a run's stored rows."""
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def upsert(stored: DataFrame, new: DataFrame, now) -> DataFrame:
-    """Store after an upsert by (source, content_hash): all fields replaced, ``created_at`` kept, ``updated_at`` set."""
+    """Store after an upsert by (source, content_hash): all fields replaced, ``created_at`` kept, ``updated_at`` set.
+
+    Of new rows with one key the last by content counts.
+    """
     key = ["source", "content_hash"]
-    new = new.select(*COLUMNS).dropDuplicates(key)
-    born = stored.select(*key, "created_at")
+    rest = F.struct(*[c for c in COLUMNS if c not in key])
+    new = new.groupBy(*key).agg(F.max_by(rest, F.to_json(rest)).alias("r")).select(*[F.col(c) if c in key else F.col(f"r.{c}") for c in COLUMNS])
+    born = stored.groupBy(*key).agg(F.min("created_at").alias("created_at"))
     fresh = new.join(born, key, "left").select(*COLUMNS, F.coalesce("created_at", F.lit(now).cast("timestamp")).alias("created_at"), F.lit(now).cast("timestamp").alias("updated_at"))
     return stored.join(new.select(*key), key, "left_anti").select(*COLUMNS, "created_at", "updated_at").unionByName(fresh)
 
 
-def write_version(df: DataFrame, store: str) -> str:
-    """Write a store's next version beside the last; readers take the newest version that is complete."""
-    path = f"{store}/v-{uuid.uuid4().hex}"
-    df.write.partitionBy("source").parquet(path)
-    return path
+def write_invoices(df: DataFrame, store: str) -> str:
+    """Write the store's next version beside the last, then say in ``current`` that it is whole; readers go by that.
+
+    A write that fails leaves the last version in place.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.partitionBy("source").parquet(f"{store}/{version}")
+    spark = df.sparkSession
+    at = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
+    at.coalesce(1).write.mode("append").parquet(f"{store}/current")
+    return version
+
+
+def read_invoices(spark: SparkSession, store: str, source: str | None = None) -> DataFrame:
+    """Records of the newest whole version, of one source or of all; only that source's files are read."""
+    latest = spark.read.parquet(f"{store}/current").orderBy(F.desc("written_at"), F.desc("version")).first()
+    rows = spark.read.parquet(f"{store}/{latest.version}")
+    return rows if source is None else rows.where(F.col("source") == source)
 
 
 def previous_runs(headers: DataFrame) -> DataFrame:
     """``run_id`` and the run before it of the same year."""
     return headers.withColumn("previous_run_id", F.lag("run_id").over(Window.partitionBy("year").orderBy("run_id")))
+
+
+def last_runs(headers: DataFrame) -> DataFrame:
+    """The last run of each year."""
+    return headers.groupBy("year").agg(F.max("run_id").alias("run_id"))

@@ -119,7 +119,6 @@ ORACLE = {
     "upsert": f"WITH {FEEDS} SELECT source, content_hash, CASE WHEN truth_key % 2 = 0 THEN gross_amount_minor + 1 ELSE gross_amount_minor END AS gross_amount_minor, truth_key % 2 = 0 AS updated FROM inv_mail WHERE truth_key % 3 <> 0 OR truth_key % 2 = 0",
     "store_stats": f"WITH {FEEDS} SELECT source, count(*) AS n, CAST(sum(gross_amount_minor) AS BIGINT) AS gross, min(issue_date) AS first_day, max(issue_date) AS last_day FROM feeds GROUP BY source",
     "latest_records": f"WITH {FEEDS} SELECT content_hash, issue_date FROM inv_ksef ORDER BY issue_date DESC, content_hash DESC LIMIT 100",
-    "extracted": f"WITH {BASE} SELECT k AS doc_key, num AS invoice_number, nip AS seller_tax_id, d AS issue_date, g AS gross_amount_minor, cur AS currency, ref AS ksef_reference FROM inv_base",
     "rate_audit": """WITH e AS (SELECT user_id AS grp, epoch_ms(ts) AS t FROM events), w AS (SELECT grp, t,
        count(*) OVER (PARTITION BY grp ORDER BY t RANGE BETWEEN 999 PRECEDING AND CURRENT ROW) AS u1, count(*) OVER (PARTITION BY grp ORDER BY t RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS u2, count(*) OVER (PARTITION BY grp ORDER BY t RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS u3,
        lag(t, 7) OVER (PARTITION BY grp ORDER BY t) AS a1, lag(t, 15) OVER (PARTITION BY grp ORDER BY t) AS a2, lag(t, 19) OVER (PARTITION BY grp ORDER BY t) AS a3 FROM e)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.functions import dates, money, numbers, records
+from triweave.jobs import documents, mail, review
 from triweave.operators import matching, rows, snapshots, survivorship, windows
-from triweave.operators.extraction import extract_text
 from triweave.plans import uploads
 from triweave.schema import COLUMNS, SOURCES, conform
 from triweave.sources import feeds as sources
@@ -172,15 +172,6 @@ def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.orderBy(F.desc_nulls_last("issue_date"), F.desc_nulls_last("content_hash")).limit(100).select("content_hash", "issue_date")
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice texts written from the orders, read by the text extraction job."""
-    b = sources.base(spark, sf_dir)
-    amount = F.translate(F.format_number(F.col("g").cast("decimal(38,2)") / 100, 2), ",.", " ,")
-    text = F.concat(F.lit("Faktura nr "), "num", F.lit("\nData wystawienia: "), F.date_format("d", "yyyy-MM-dd"), F.lit("\nSprzedawca\n"), "nm", F.lit("\nNIP: "), "nip", F.lit("\nDo zapłaty: "), amount, F.lit(" "), "cur", F.lit("\nNr KSeF: "), "ref")
-    docs = b.select(F.col("k").cast("string").alias("content_hash"), F.lit(None).cast("string").alias("source_path"), text.alias("text"))
-    return extract_text(docs).select(F.col("content_hash").cast("bigint").alias("doc_key"), "invoice_number", "seller_tax_id", "issue_date", "gross_amount_minor", "currency", "ksef_reference")
-
-
 def rate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = windows.rate_audit(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts")
     return w.groupBy("group").agg(F.count("*").alias("n"), F.max("used_1000").alias("used_1s"), F.max("used_60000").alias("used_60s"), F.max("used_3600000").alias("used_1h"), F.sum("wait_ms").alias("wait_ms"))
@@ -189,5 +180,5 @@ def rate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "feeds": feeds, "numbers": number_columns, "identities": identities, "money": money_columns, "dates": date_columns, "dedupe": dedupe, "duplicate_groups": duplicate_groups, "candidate_pairs": candidate_pairs,
     "tri_rows": tri_rows, "tri_summary": tri_summary, "display_records": display_records, "missing_rows": missing_rows, "year_filters": year_filters, "quarters": quarters, "repairs": repairs, "overrides": overrides,
-    "upload_plan": upload_plan, "upload_summary": upload_summary, "approve_plan": approve_plan, "snapshot_diff": snapshot_diff, "upsert": upsert, "store_stats": store_stats, "latest_records": latest_records, "extracted": extracted, "rate_audit": rate_audit,
-}
+    "upload_plan": upload_plan, "upload_summary": upload_summary, "approve_plan": approve_plan, "snapshot_diff": snapshot_diff, "upsert": upsert, "store_stats": store_stats, "latest_records": latest_records, "rate_audit": rate_audit,
+} | documents.QUERIES | mail.QUERIES | review.QUERIES

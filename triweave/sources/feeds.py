@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triweave.functions.money import json_money
+from triweave.functions.records import ENRICHED_MARKS, NO_NUMBER
 from triweave.schema import COLUMNS, INVOICE, OWN_TAX_ID, conform
 
 FEED_FILES = ("ksef_records.jsonl", "records.jsonl", "ksef_records.json", "records.json")
@@ -26,15 +29,51 @@ def read_feed(spark: SparkSession, path: str, source: str, missing_ok: bool = Fa
     return conform(reader.option("multiLine", path.endswith(".json")).json(path).withColumn("source", F.lit(source)))
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """JSON lines with nulls written out."""
-    df.select(*COLUMNS).write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
+def write_records(df: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines with nulls written out; with ``array`` each part file is one JSON array, for readers that want that form."""
+    rows = df.select(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}).alias("value"))
+    if not array:
+        rows.write.mode("errorifexists").text(path)
+        return
+
+    def brackets(parts):
+        first = True
+        for batch in parts:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + value])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    rows.mapInArrow(brackets, "value string").write.mode("errorifexists").text(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Text corpus: ``content_hash`` (SHA-256 of the bytes), ``source_path, text`` of xml, json, txt and eml files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,json,txt,eml,XML,JSON,TXT,EML}").load(path)
-    return files.select(F.sha2("content", 256).alias("content_hash"), F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("text"))
+    """Document corpus: ``content_hash`` (SHA-256 of the bytes), ``source_path, text`` of xml, json, txt, eml and pdf files.
+
+    A pdf is opaque, its text null. Order by ``source_path`` where order matters; a table has none.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,json,txt,eml,pdf,XML,JSON,TXT,EML,PDF}").load(path)
+    text = F.when(~F.lower("path").endswith(".pdf"), F.decode("content", "UTF-8"))
+    return files.select(F.sha2("content", 256).alias("content_hash"), F.col("path").alias("source_path"), text.alias("text"))
+
+
+def registry_of_year(records: DataFrame, year: int) -> DataFrame:
+    """Registry records of a year, each reference (or else hash) once, the first by content; undated ones stay."""
+    key = F.coalesce(F.nullif(F.upper(F.trim("ksef_reference")), F.lit("")), F.col("content_hash"))
+    once = Window.partitionBy("_key").orderBy("content_hash", F.to_json(F.struct(*COLUMNS)))
+    kept = records.where(F.coalesce(F.year("issue_date") == year, F.lit(True))).withColumn("_key", key)
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*records.columns)
+
+
+def fresh_caches(caches: DataFrame, year: int, environment: str, context: str, now: Column, ttl_minutes: int = 360) -> DataFrame:
+    """``feed, state`` of cached feeds (``feed, year, environment, context, written_at``): hit, stale, refused or missing.
+
+    A cache of another year, environment or context is refused, whatever its age; with no lifetime all are stale.
+    """
+    same = (F.col("year") == year) & (F.col("environment") == environment) & (F.lower("context") == context.lower())
+    age = F.unix_timestamp(now) - F.unix_timestamp("written_at")
+    state = F.when(F.col("written_at").isNull(), "missing").when(~F.coalesce(same, F.lit(False)), "refused").when((age <= 60 * ttl_minutes) & F.lit(ttl_minutes > 0), "hit").otherwise("stale")
+    return caches.select("feed", state.alias("state"))
 
 
 def flatten_registry(raw: DataFrame) -> DataFrame:
@@ -46,7 +85,7 @@ def flatten_registry(raw: DataFrame) -> DataFrame:
         F.col("invoiceNumber").alias("invoice_number"), F.col("seller.nip").alias("seller_tax_id"), buyer.alias("buyer_tax_id"),
         F.col("seller.name").alias("seller_name"), F.col("buyer.name").alias("buyer_name"), F.substring("issueDate", 1, 10).try_cast("date").alias("issue_date"),
         *[json_money(F.col(f"{n}Amount").cast("string")).alias(f"{n}_amount_minor") for n in ("gross", "net", "vat")],
-        F.col("currency"), number.alias("ksef_reference"), F.array(F.lit("metadata")).alias("warnings"),
+        F.col("currency"), number.alias("ksef_reference"), F.array(F.lit(ENRICHED_MARKS[0])).alias("warnings"),
     )
     return conform(out)
 
@@ -63,7 +102,7 @@ def flatten_ledger(raw: DataFrame) -> DataFrame:
         day("issueDate").alias("issue_date"), day("saleDate").alias("sale_date"), day("paymentDate").alias("due_date"),
         *[json_money(F.col(f"{n}Price").cast("string")).alias(f"{n}_amount_minor") for n in ("gross", "net", "vat")],
         F.coalesce(text("currency"), F.get_json_object(F.col("grossPrice").cast("string"), "$.currency")).alias("currency"), ref.alias("ksef_reference"),
-        F.when(number.isNull(), F.array(F.lit("no number yet"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.when(number.isNull(), F.array(F.lit(NO_NUMBER))).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
     return conform(out)
 
@@ -77,9 +116,10 @@ def quarter_windows(years: DataFrame, year: str = "year") -> DataFrame:
     return q.select("year", "quarter", start.alias("start"), stop.alias("stop"))
 
 
-def mail_window(received: Column, year: int) -> Column:
-    """From December before the year to the end of January after it."""
-    return (received >= F.lit(f"{year - 1}-12-01").cast("timestamp")) & (received < F.lit(f"{year + 1}-02-01").cast("timestamp"))
+def mail_window(received: Column, year: int, sender: Column | None = None, senders: str = r"@amazon\.(?:it|es)\b") -> Column:
+    """From December before the year to the end of January after it; with a ``sender`` column only mail from such senders."""
+    inside = F.lit(True) if sender is None else F.coalesce(F.lower(sender).rlike(senders), F.lit(False))
+    return inside & (received >= F.lit(f"{year - 1}-12-01").cast("timestamp")) & (received < F.lit(f"{year + 1}-02-01").cast("timestamp"))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triweave.functions.money import format_minor
 from triweave.operators.rows import display
 
 
@@ -24,8 +25,12 @@ def write_csv(report: DataFrame, path: str) -> None:
     report.write.option("header", "true").option("emptyValue", "").mode("errorifexists").csv(path)
 
 
+PLAN_COLUMNS = ("upload_status", "status", "related_sources", "content_hash", "source_path", "file_sha256", "invoice_number", "contractor", "issue_date", "gross_amount", "currency", "period", "can_upload", "own_id_check", "document_id", "response_status", "error")
+
+
 def plan_report(plan: DataFrame) -> DataFrame:
-    """Upload plan with its sources joined by ``+`` and its period as ``YYYY-MM``."""
-    period = F.when(F.col("period_year").isNotNull(), F.format_string("%d-%02d", "period_year", "period_month")).otherwise("")
-    rest = [c for c in plan.columns if c not in ("related_sources", "period_year", "period_month")]
-    return plan.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rest], F.array_join("related_sources", "+").alias("related_sources"), period.alias("period"))
+    """The seventeen columns of an upload plan, all text: sources joined by ``+``, period as ``YYYY-MM``; what a plan lacks is empty."""
+    period = F.when(F.col("period_year").isNotNull(), F.format_string("%d-%02d", "period_year", "period_month"))
+    made = {"related_sources": F.array_join("related_sources", "+"), "period": period, "gross_amount": format_minor(F.col("gross_amount_minor"))}
+    text = lambda c: made[c] if c in made else F.col(c).cast("string") if c in plan.columns else F.lit(None).cast("string")
+    return plan.select(*[F.coalesce(text(c), F.lit("")).alias(c) for c in PLAN_COLUMNS])

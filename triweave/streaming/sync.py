@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from triweave.operators.extraction import extract_text
+from triweave.functions.records import PARSER_PREFIX, needs_retry
+from triweave.operators.candidates import reread
+from triweave.operators.extraction import extract_documents
+from triweave.operators.mailbox import join_headers
 from triweave.schema import COLUMNS, INVOICE
+from triweave.sources.feeds import read_documents
+from triweave.storage import cut
 
-PARSER_VERSION = 1
+PARSER_VERSION = "v2"
+REFRESH = 1_000_000  # batches of refreshes have numbers above this, those of the stream below
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Current records: of each content hash the latest batch's, ``batch`` included; empty before the first sync."""
+    """Current records: of each key the latest batch's, ``batch`` included; empty before the first sync."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], INVOICE).withColumn("batch", F.lit(None).cast("long"))
@@ -24,20 +30,49 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*COLUMNS, F.col("batch").cast("long").alias("batch"))
 
 
-def sync_documents(spark: SparkSession, documents: str, store: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = extract_text) -> None:
+def stamped(records: DataFrame) -> DataFrame:
+    """Records with this parser's version, unless reading failed and is to be tried again."""
+    return records.withColumn("warnings", F.when(needs_retry(), F.col("warnings")).otherwise(F.concat("warnings", F.array(F.lit(PARSER_PREFIX + PARSER_VERSION)))))
+
+
+def sync_documents(spark: SparkSession, documents: str, store: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = extract_documents, headers: DataFrame | None = None) -> None:
     """Parse files that the stream has not seen, skip contents the store has, append the rest; then stop.
 
-    Exactly once: a batch writes its own folder, and a batch run again overwrites it.
+    ``headers`` fill the message fields. Exactly once: a batch writes its own folder, and a batch run again
+    overwrites it. Only the hashes of the store are read for a batch.
     """
     files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,json,txt,eml}").load(documents)
     docs = files.select(F.sha2("content", 256).alias("content_hash"), F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("text"))
 
     def merge(batch: DataFrame, number: int) -> None:
         known = read_store(spark, store).where(F.col("batch") != number).select("content_hash")
-        fresh = batch.dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
-        parse(fresh).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        once = batch.groupBy("content_hash").agg(F.min(F.struct("source_path", "text")).alias("d")).select("content_hash", "d.*")
+        fresh = stamped(parse(once.join(known, "content_hash", "left_anti")))
+        (fresh if headers is None else join_headers(fresh, headers)).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     query = docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+
+
+def refresh_documents(spark: SparkSession, documents: str, store: str, parse: Callable[[DataFrame], DataFrame] = extract_documents, version: str = PARSER_VERSION) -> int:
+    """Read again what an older parser read or what failed; what cannot be read stays as it is. Number of changed records.
+
+    The changed records are written as one more batch, and only if there are any. A record keeps its key, so a document
+    that changed on disk is one for ``sync_documents``.
+    """
+    stored = read_store(spark, store)
+    due = stored.where(~F.array_contains("warnings", PARSER_PREFIX + version) | needs_retry())
+    if due.isEmpty():
+        return 0
+    files = read_documents(spark, documents).join(due.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_semi")
+    parsed = parse(files.where("text is not null"))
+    new = reread(due.select(*COLUMNS), parsed, version)
+    old = due.select(F.struct(*COLUMNS).alias("_old"))
+    changed = cut(new.join(old, F.struct(*[new[c] for c in COLUMNS]).eqNullSafe(F.col("_old")), "left_anti"))
+    n = changed.count()
+    if n:
+        number = max(stored.agg(F.max("batch")).first()[0], REFRESH) + 1
+        changed.write.mode("overwrite").parquet(f"{store}/batch={number}")
+    return n
