@@ -10,10 +10,10 @@ missed with a chance of at most ``2 * MISS``.
 2. Equal sets become one node, however many copies there are.
 3. Table rows: every pair of a left and a right sub-key of a node that other nodes hold too, hashed to one table key; a
    pair that two nodes share is made of sub-keys that they share, so no meeting is lost. Each table entry of several
-   nodes links each of them to its pivot, if confirmed: linear in the rows. The pivot is the node that meets most
-   others, so that near copies mostly join through their original.
-4. Nodes of one table entry that are in different components after that are paired, unless their bitmaps prove that
-   too few shingles can be shared; the others are confirmed.
+   nodes has a pivot, the node that meets most others; a node is linked, if confirmed, to at most ``STARS`` of its
+   pivots, so near copies mostly join through their original, and the work is linear in the nodes.
+4. Nodes of one table entry that are in different components after that are paired, each pair of nodes once, unless
+   their bitmaps prove that too few shingles can be shared; the others are confirmed.
 5. Components of all confirmed links.
 
 Defined results: null and empty texts and texts of white space have no shingles, are linked with nothing and form
@@ -31,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triweave.llm.common import cut
 from triweave.llm.graph import components
 
 ROWS = 4
 MISS = 1e-5
+STARS = 32
 CHUNK_BYTES = 1_000_000
 WORDS = 16  # of 64 classes each in a bitmap
 SEED = 0x7E57
@@ -186,13 +188,13 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def table_rows(nodes: DataFrame, m: int) -> DataFrame:
-    """``key, node, c``: table keys, each a pair of a left and a right sub-key, that ``c`` > 1 nodes hold."""
-    held = nodes.select("node", F.posexplode("keys").alias("at", "sub"))
-    often = held.groupBy("sub").agg(F.count("*").alias("c")).where("c > 1").select("sub")
-    side = F.collect_list(F.when(F.col("at") < m, F.col("sub"))), F.collect_list(F.when(F.col("at") >= m, F.col("sub")))  # at most m each
-    sides = held.join(often, "sub").groupBy("node").agg(side[0].alias("left"), side[1].alias("right"))
+    """``key, node, c`` of table keys, pairs of a left and a right sub-key, that ``c`` > 1 nodes hold."""
+    held = nodes.select("node", F.posexplode("keys").alias("at", "key"))
+    often = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    subs = cut(held.join(often, "key").select("key", "node", "at"))
+    side = F.collect_list(F.when(F.col("at") < m, F.col("key"))), F.collect_list(F.when(F.col("at") >= m, F.col("key")))  # at most m each
+    sides = subs.groupBy("node").agg(side[0].alias("left"), side[1].alias("right"))
     rows = sides.select("node", "right", F.explode("left").alias("x")).select("node", "x", F.explode("right").alias("y")).select(F.xxhash64("x", "y").alias("key"), "node")
-    rows = cut(rows)
     return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"))
 
 
@@ -212,8 +214,10 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     shared = table_rows(nodes, m)
     # the pivot of a table entry is its node that meets most others: near copies meet their original most
     degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
-    pivot = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    star = shared.join(pivot, "key").where("pivot <> node").select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).distinct()
+    pivot = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p"))
+    spokes = shared.join(pivot, "key").where("p.node <> node").select("node", "p").distinct()
+    spokes = spokes.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("p")))).where(F.col("r") <= STARS)  # m * m rows of a node at most
+    star = spokes.select(F.least("p.node", "node").alias("x"), F.greatest("p.node", "node").alias("y")).distinct()
     star = cut(star.join(sketch["x"], "x").join(sketch["y"], "y").where(may_link).select(F.col("x").alias("a"), F.col("y").alias("b")))
     alive = shared.select("node").distinct()
     sets = cut(set_table(docs, nodes.join(alive, "node").select("node", "doc", "th"), doc, text, words).dropDuplicates(["node"]))
@@ -221,11 +225,15 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     roots = cut(components(links, "a", "b"))
     # nodes of one table entry in different components
     label = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    label = cut(label.join(mixed, "key").join(nodes.select("node", "bits", "n"), "node"))
-    x, y = (label.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "bits")]) for s in "xy")
-    pairs = x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & may_link)
-    pairs = pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    sizes = label.groupBy("key", "root").agg(F.count("*").alias("c"))
+    # of two nodes in different components one is outside the entry's largest component
+    major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("key", "major")
+    label = cut(label.join(major, "key"))
+    x, y = (label.select("key", "major", F.col("node").alias(s), F.col("root").alias(f"{s}_root")) for s in "xy")
+    once = (F.col("y_root") == F.col("major")) | (F.col("x") < F.col("y"))
+    pairs = x.where("x_root <> major").join(y.drop("major"), "key").where((F.col("x_root") != F.col("y_root")) & once)
+    pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    pairs = pairs.join(sketch["x"], "x").join(sketch["y"], "y").where(may_link).select(F.col("x").alias("a"), F.col("y").alias("b")).join(star, ["a", "b"], "left_anti")
     more = cut(confirm(pairs, sets).where(linked).select("a", "b"))
     if not more.isEmpty():
         roots = cut(components(links.union(more), "a", "b"))
