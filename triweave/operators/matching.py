@@ -101,29 +101,30 @@ def runs(tokens: Column) -> Column:
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left, right`` ids of all pairs that can qualify from a score of 41 up: four equi-joins, no pair twice.
+    """``left, right`` ids of all pairs that can qualify from a score of 41 up: equi-joins, no pair twice.
 
-    Reference; canonical number; one token list inside the other (short ones also need a shared id or a near
-    amount); a shared counterparty id with amounts at most two minor units apart, by exploding the five offsets.
+    Reference; canonical number; one token list inside the other; a shared counterparty id with amounts at most two
+    minor units apart. A short token list, such as a bare year, must also share an id or have a near amount: that
+    is part of its join key, so a common one meets only what it can pair with. Near amounts are met by exploding the
+    five offsets of one side.
     """
-    cols = ["id", "ref", "num", "tokens", "len", "ids", "gross", "cur"]
-    a, b = left.select(*cols).alias("a"), right.select(*cols).alias("b")
-    near = near_gross(F.col("a.gross"), F.col("b.gross"))
-    strong = (F.least("a.len", "b.len") >= 8) | shared_id("a", "b") | near
-    full = lambda d: d.select(*cols, F.array_join("tokens", "/").alias("block")).where("block <> ''")
-    part = lambda d: d.select(*cols, F.explode(runs(F.col("tokens"))).alias("block"))
     pick = lambda j: j.select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))
-    a_full, b_full, a_runs, b_runs = full(left).alias("a"), full(right).alias("b"), part(left).alias("a"), part(right).alias("b")
-    a_near = left.where("gross <> 0").select("*", F.explode("ids").alias("one")).select(*cols, "one", F.explode(F.sequence(F.col("gross") - 2, F.col("gross") + 2)).alias("g")).alias("a")
-    b_near = right.where("gross <> 0").select(*cols, F.explode("ids").alias("one")).alias("b")
-    same = F.col("a.block") == F.col("b.block")
-    found = [
-        pick(a.join(b, F.col("a.ref") == F.col("b.ref"))),
-        pick(a.join(b, F.col("a.num") == F.col("b.num"))),
-        pick(a_runs.join(b_full, same & strong)),
-        pick(a_full.join(b_runs, same & strong)),
-        pick(a_near.join(b_near, (F.col("a.one") == F.col("b.one")) & (F.col("a.g") == F.col("b.gross")))),
-    ]
+    a, b = left.select("id", "ref", "num").alias("a"), right.select("id", "ref", "num").alias("b")
+    found = [pick(a.join(b, F.col("a.ref") == F.col("b.ref"))), pick(a.join(b, F.col("a.num") == F.col("b.num")))]
+
+    def met(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
+        both = x.alias("a").join(y.alias("b"), reduce(lambda c, k: c & (F.col(f"a.{k}") == F.col(f"b.{k}")), keys, F.lit(True)))
+        return pick(both)
+
+    near = lambda d: d.where("gross <> 0").withColumn("g", F.explode(F.sequence(F.col("gross") - 2, F.col("gross") + 2)))
+    exact = lambda d: d.where("gross <> 0").withColumn("g", F.col("gross"))
+    by_id = lambda d: d.withColumn("one", F.explode("ids"))
+    full = lambda d: d.select("id", "len", "ids", "gross", F.array_join("tokens", "/").alias("block")).where("block <> ''")
+    part = lambda d: d.select("id", "ids", "gross", F.explode(runs(F.col("tokens"))).alias("block")).withColumn("len", alnum_length(F.col("block")))
+    for x, y in ((part(left), full(right)), (full(left), part(right))):
+        short_x, short_y = x.where("len < 8"), y.where("len < 8")
+        found += [met(x.where("len >= 8"), y.where("len >= 8"), "block"), met(by_id(short_x), by_id(short_y), "block", "one"), met(near(short_x), exact(short_y), "block", "g")]
+    found.append(met(near(by_id(left.select("id", "ids", "gross"))), exact(by_id(right.select("id", "ids", "gross"))), "one", "g"))
     return reduce(DataFrame.union, found).distinct()
 
 

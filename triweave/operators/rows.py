@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,37 +78,42 @@ def merge_key(own: str = OWN_TAX_ID) -> Column:
 def merge_duplicates(rows: DataFrame, own: str = OWN_TAX_ID) -> DataFrame:
     """Merges rows of one key that share a source and agree on a positive amount.
 
-    A key's rows are folded in content order (mail rows first, then by record content), so the result does not
-    depend on the order of the input; a row that cannot join the latest one becomes the latest.
+    A key's rows are taken in content order (mail rows first, then by record content), so the result does not depend on
+    the order of the input; a row that cannot join the latest one becomes the latest. A task streams through them and
+    holds the latest row only; the records of merged rows meet in an aggregation. Only keys with several rows take part.
     """
     bucket = F.when(F.col("mail").isNotNull(), 0).when(F.col("ksef").isNotNull() & F.col("saldeo").isNotNull(), 1).when(F.col("ksef").isNotNull(), 2).otherwise(3)
-    packed = rows.select(merge_key(own).alias("_key"), F.struct(bucket.alias("bucket"), F.to_json(primary(), {"ignoreNullFields": "false"}).alias("order"), *SOURCES).alias("r"))
-    single = packed.where("_key is null").select("r.*")
-    counted = packed.where("_key is not null").withColumn("_n", F.count("*").over(Window.partitionBy("_key")))
-    alone = counted.where("_n = 1").select("r.*")
-
-    def known(x: Column) -> Column:
-        return sum((x[c].isNotNull().cast("int") * w for c, w in WEIGHTS.items()), F.lit(0))
-
-    def better(a: Column, b: Column) -> Column:
-        json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
-        second = (known(b) > known(a)) | ((known(b) == known(a)) & (json(b) < json(a)))
-        return F.when(a.isNull(), b).when(b.isNull(), a).when(second, b).otherwise(a)
-
-    def fold(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        gross = lambda r: F.coalesce(*[r[s] for s in SOURCES])["gross_amount_minor"]
-        shared = F.lit(False)
-        for s in SOURCES:
-            shared |= last[s].isNotNull() & x[s].isNotNull()
-        agree = ~F.coalesce((gross(last) > 0) & (gross(x) > 0) & (F.abs(gross(last) - gross(x)) > 2), F.lit(False))
-        both = F.struct(last["bucket"].alias("bucket"), last["order"].alias("order"), *[better(last[s], x[s]).alias(s) for s in SOURCES])
-        return F.when((F.size(done) > 0) & shared & agree, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(x)))
-
-    many = counted.where("_n > 1").groupBy("_key").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    kind = many.schema["rs"].dataType.simpleString()
-    folded = many.select(F.explode(F.aggregate(F.slice("rs", 2, F.size("rs")), F.slice("rs", 1, 1).cast(kind), fold)).alias("r")).select("r.*")
-    return with_scores(single.unionByName(alone).unionByName(folded).select(*SOURCES), own)
+    keyed = cut(rows.select(*SOURCES, merge_key(own).alias("_key")).withColumn("_row", F.monotonically_increasing_id()))
+    often = keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1 and _key is not null").select("_key")
+    json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    known = lambda s: sum((F.col(f"{s}.{c}").isNotNull().cast("int") * w for c, w in WEIGHTS.items()), F.lit(0))
+    # a record's rank: the better one has the smaller
+    rank = lambda s: F.when(F.col(s).isNotNull(), F.concat(F.lpad((F.lit(999) - known(s)).cast("string"), 3, "0"), json(F.col(s))))
+    many = keyed.join(often, "_key").select("_key", bucket.alias("bucket"), json(primary()).alias("order"), "_row", *[rank(s).alias(s) for s in SOURCES], *[F.col(f"{s}.gross_amount_minor").alias(f"{s}_gross") for s in SOURCES])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict = {"_key": None}
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                gross = lambda r: next((r[f"{s}_gross"] for s in SOURCES if r[s] is not None), None)
+                shared = row["_key"] == last["_key"] and any(row[s] is not None and last[s] is not None for s in SOURCES)
+                a, b = (gross(last) or 0, gross(row) or 0) if shared else (0, 0)
+                if shared and not (a > 0 and b > 0 and abs(a - b) > 2):
+                    for s in SOURCES:
+                        if row[s] is not None and (last[s] is None or row[s] < last[s]):
+                            last[s], last[f"{s}_gross"] = row[s], row[f"{s}_gross"]
+                else:
+                    last = row | {"head": row["_row"]}
+                found.append((row["_row"], last["head"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["_row", "head"])
+
+    of = cut(many.repartition("_key").sortWithinPartitions("_key", "bucket", "order", "_row").mapInArrow(heads, "_row long, head long"))
+    groups = of.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    parts = of.join(groups, "head").join(keyed, "_row").select("head", *SOURCES)
+    best = parts.groupBy("head").agg(*[F.min_by(s, F.when(F.col(s).isNotNull(), rank(s))).alias(s) for s in SOURCES]).select(*SOURCES)
+    alone = keyed.join(of.join(groups, "head").select("_row"), "_row", "left_anti").select(*SOURCES)
+    return with_scores(alone.unionByName(best), own)
 
 
 def display(row_prefix: str = "") -> Column:
