@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triweave.llm.common import cut
+from triweave.llm.common import cut, tidy
 from triweave.llm.graph import components
 
 FIT_ROWS = 4_000
@@ -82,7 +82,7 @@ def unit_rows(vectors: DataFrame, vec: str, embedding: str, label: str) -> DataF
                     units[k] = u.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.binary())], names=["vec", "label", "unit"])
 
-    return source.mapInArrow(run, f"vec {kinds[0]}, label {kinds[1]}, unit binary")
+    return source.mapInArrow(tidy(run), f"vec {kinds[0]}, label {kinds[1]}, unit binary")
 
 
 def learned(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -125,7 +125,7 @@ def coded(nodes: DataFrame, mean: np.ndarray, rotation: np.ndarray) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in code], pa.binary()), lists], names=["node", "label", "code", "keys"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    return nodes.select("node", "label", "unit").mapInArrow(run, f"node long, label {kind}, code binary, keys array<long>")
+    return nodes.select("node", "label", "unit").mapInArrow(tidy(run), f"node long, label {kind}, code binary, keys array<long>")
 
 
 def dealt(codes: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
             if hit.any():
                 yield from table.select([*GROUP, "side", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    met = cut(in_tiles(dealt(codes)).mapInArrow(partners, f"label {kind}, key long, ta long, tb long, side long, node long"))
+    met = cut(in_tiles(dealt(codes)).mapInArrow(tidy(partners), f"label {kind}, key long, ta long, tb long, side long, node long"))
     full = met.join(codes.select("node", "code"), "node").join(nodes.select("node", "unit", "copies"), "node").select(*GROUP, "side", "node", "code", "unit", "copies")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
             some = others > 0
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(others[some]), pa.array(node[low][some])], names=["node", "others", "reach"])
 
-    links = cut(in_tiles(full).mapInArrow(linked, "node long, others long, reach long"))
+    links = cut(in_tiles(full).mapInArrow(tidy(linked), "node long, others long, reach long"))
     roots = cut(components(links, "node", "reach"))
     counts = links.groupBy("node").agg(F.sum("others").alias("others"))
     classes = nodes.join(counts, "node", "left").join(roots, "node", "left")

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triweave.llm.common import tidy
+
 CHUNK_CHARS = 6_000_000
 MAX_WORDS = 120_000
 
@@ -270,7 +272,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     arrays.append(pa.array([codec.decode(x) for x in ids], type=pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "token_ids", *["decoded"] * decoded])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -286,4 +288,4 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", keep: tuple[str
             texts = [codec.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, type=pa.string())], names=[*keep, "text"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triweave.llm.common import tidy
+
 TURNS = "array<struct<role string, text string>>"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
@@ -154,7 +156,7 @@ def turns_of_records(df: DataFrame, record: str = "record", keep: tuple[str, ...
             got = [record_turns(r, selection) for r in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], TURN_TYPE)], names=[*keep, "fingerprint", "layout", "turns"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def turns_of_rows(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -217,7 +219,7 @@ def format_turns(df: DataFrame, keep: tuple[str, ...] = ("conv_id",), loss_role:
             spans = [[{"start": x, "end": y} for x, y in s] for _, s in made]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array([f for f, _ in made], type=pa.string()), pa.array(spans, type=kind)], names=[*keep, "formatted", "loss_spans"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def read_back(formatted: DataFrame, keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
@@ -232,4 +234,4 @@ def read_back(formatted: DataFrame, keep: tuple[str, ...] = ("conv_id",)) -> Dat
             loss = ["".join(unescape(f[s["start"] : s["end"]]) for s in x) for f, x in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(turns, type=TURN_TYPE), pa.array(loss, type=pa.string()), pa.array([len(f) for f in texts], type=pa.int64())], names=[*keep, "turns", "loss_text", "formatted_chars"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from triweave.llm.common import cut
+from triweave.llm.common import cut, tidy
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>\"']*+)>")  # a tag without quotes
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
@@ -277,7 +277,7 @@ def page_lines(source: DataFrame) -> DataFrame:
             hashes = [[line_hash(t) for _, t in lines_of(h.as_py())] for h in b.column(5)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(hashes, pa.list_(pa.int64()))], names=["page", "uh", "hh", "host", "path", "lines"])
 
-    return source.select("page", "uh", "hh", "host", "path", "html").mapInArrow(run, f"page {kind}, uh long, hh long, host string, path string, lines array<long>")
+    return source.select("page", "uh", "hh", "host", "path", "html").mapInArrow(tidy(run), f"page {kind}, uh long, hh long, host string, path string, lines array<long>")
 
 
 def with_neighbours(first: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def repeated(met: DataFrame) -> DataFrame:
                 shared.append(shared_lines(lines, pick["lines"]) if pick else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.list_(pa.int32()))], names=["host", "lh", "shared"])
 
-    return met.select("host", F.xxhash64("lines").alias("lh"), "path", "lines", "before", "after").mapInArrow(run, "host string, lh long, shared array<int>")
+    return met.select("host", F.xxhash64("lines").alias("lh"), "path", "lines", "before", "after").mapInArrow(tidy(run), "host string, lh long, shared array<int>")
 
 
 def judged(lines: list[tuple[str, str]], shared: set[int]) -> tuple[str, int, int]:
@@ -358,7 +358,7 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(small, pa.binary())], names=["page", "url", "uh", "hh", "small"])
 
     # pages travel once, packed, to the few numbers that were found about them
-    moving = source.select("page", "url", "uh", "hh", "html").mapInArrow(packed, f"page {kind}, url string, uh long, hh long, small binary")
+    moving = source.select("page", "url", "uh", "hh", "html").mapInArrow(tidy(packed), f"page {kind}, url string, uh long, hh long, small binary")
     both = moving.join(shared, (F.col("hh") == F.col("_t")) & (F.col("uh") == F.col("_u")) & F.col("page").eqNullSafe(F.col("_p")), "left").select("page", "url", "small", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,5 +368,5 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
             counts = [pa.array([len(t) for t in texts], pa.int64()), *(pa.array([m[k] for m in made], pa.int64()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), *counts], names=["page", "url", "text", "n_chars", "n_repeated", "n_outside"])
 
-    out = both.mapInArrow(run, f"page {kind}, url string, text string, n_chars long, n_repeated long, n_outside long")
+    out = both.mapInArrow(tidy(run), f"page {kind}, url string, text string, n_chars long, n_repeated long, n_outside long")
     return out.withColumnsRenamed({"page": page, "url": url})

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triweave.llm.common import tidy
+
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 SMOOTH = 0.2
@@ -85,7 +87,7 @@ def learn(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
     if docs.where(F.col(lang).isNotNull()).select(lang).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     # a row for each language and bucket at most
-    rows = source.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = source.mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(names)))
     if names:
@@ -184,4 +186,4 @@ def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
                     pred[lettered], score[lettered] = np.array(names, dtype=object)[best], share
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"doc {kind}, lang_pred string, score double").withColumnRenamed("doc", doc)
+    return source.mapInArrow(tidy(run), f"doc {kind}, lang_pred string, score double").withColumnRenamed("doc", doc)

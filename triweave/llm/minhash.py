@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from triweave.llm.common import cut
+from triweave.llm.common import cut, tidy
 from triweave.llm.graph import components
 
 ROWS = 4
@@ -162,7 +162,7 @@ def signatures(docs: DataFrame, doc: str, text: str, words: int, m: int) -> Data
                     names=["doc", "th", "n_shingles", "fp", "keys", "bits"],
                 )
 
-    return source.mapInArrow(run, f"doc {kind}, th long, n_shingles long, fp binary, keys array<long>, bits array<long>")
+    return source.mapInArrow(tidy(run), f"doc {kind}, th long, n_shingles long, fp binary, keys array<long>, bits array<long>")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: int) -> DataFrame:
@@ -177,7 +177,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, doc: str, text: str, words: in
                 offsets = np.r_[0, np.cumsum(count)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["node", "shingles"])
 
-    return source.mapInArrow(run, "node long, shingles array<long>")
+    return source.mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:

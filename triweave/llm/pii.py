@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triweave.llm.common import tidy
+
 from triweave.llm.pii_labels import EXAMPLES
 
 KINDS = ("email", "ip", "card", "phone")
@@ -332,7 +334,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 found = find_all(texts[a:b], field)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array([_ordered(b, m) for b, m in found], type=SPAN_TYPE)], names=[*keep, "spans"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def masked(text: str, base: list, more: list) -> str:
@@ -360,4 +362,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 new = pa.array([t if t is None else masked(t, own, more) for t, (own, more) in zip(texts, found, strict=True)], type=pa.string())
                 yield pa.RecordBatch.from_arrays([new if k == at else part.column(k) for k in range(part.num_columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

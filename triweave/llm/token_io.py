@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from triweave.llm.common import tidy
+
 from triweave.llm import bpe
 
 SEGMENT = 262_144
@@ -211,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc:
         if ids:
             yield flush()
 
-    source.mapInArrow(run, f"part int, before long, n_ids long, docs array<{kind}>, payload binary").write.parquet(path)
+    source.mapInArrow(tidy(run), f"part int, before long, n_ids long, docs array<{kind}>, payload binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFrame:
@@ -231,4 +233,4 @@ def read_tokens(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFram
                 start = batch.column(0)[k].as_py() + np.cumsum(size) - size
                 yield pa.RecordBatch.from_arrays([batch.column(1)[k].values, pa.array(start), pa.array(size), pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary())], names=[doc, "start", "n_tokens", "ids"])
 
-    return segments.mapInArrow(run, f"`{doc}` {kind}, start long, n_tokens long, ids binary")
+    return segments.mapInArrow(tidy(run), f"`{doc}` {kind}, start long, n_tokens long, ids binary")

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triweave.llm.common import cut
+from triweave.llm.common import cut, tidy
 
 FIT_ROWS = 12_000
 FIT_SETS = 200_000
 MAX_CUES = 4_096
 MIN_G2, MIN_ODDS, SURE = 30.0, 2.0, 0.9
 BEGINNINGS = range(3, 9)
-KNOWN_CLEAN = 400_000
+KNOWN_CLEAN = 100_000
 DENSE = 0.02  # share of listed words from which a text is dense in them
 # Abusive words by language and kind.
 LEXICONS = {
@@ -110,7 +110,7 @@ def cue_counts(sample: DataFrame) -> DataFrame:
             for part in (names, rest):
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([half] * len(part), pa.int32()), *(pa.array([total[half, t][c] for c in part], pa.int64()) for t in (1, 0))], names=["cue", "half", "pos", "neg"])
 
-    return sample.select("text", "half", "toxic").mapInArrow(run, "cue string, half int, pos long, neg long").groupBy("cue").agg(*[F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("pos", "neg")])
+    return sample.select("text", "half", "toxic").mapInArrow(tidy(run), "cue string, half int, pos long, neg long").groupBy("cue").agg(*[F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("pos", "neg")])
 
 
 def g2(pos: Column, neg: Column, n_pos: int, n_neg: int) -> tuple[Column, Column]:
@@ -222,7 +222,7 @@ def find_cues(docs: DataFrame, cues: dict[str, int], doc: str, text: str) -> Dat
                     clean, hits = set(), {}
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(shown, pa.int32())], names=["doc", "cues", "patterns"])
 
-    return source.mapInArrow(run, f"doc {kind}, cues array<int>, patterns int")
+    return source.mapInArrow(tidy(run), f"doc {kind}, cues array<int>, patterns int")
 
 
 def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None) -> tuple[DataFrame, Model]:
@@ -297,4 +297,4 @@ def scored(found: DataFrame, model: Model) -> DataFrame:
             z = np.array([bias + weight[np.array(c, dtype=np.int64)].sum() for c in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc", "score"])
 
-    return found.select("doc", "cues").mapInArrow(run, f"doc {kind}, score double")
+    return found.select("doc", "cues").mapInArrow(tidy(run), f"doc {kind}, score double")
