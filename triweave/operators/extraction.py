@@ -76,7 +76,7 @@ def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
     parts = [f"\\b(?:{usual})\\b{lead}{number}{END}", f"^{H}(?:{usual})\\b{lead}\\r?\\n{H}{number}{END}"]
     if bare:
         net = "|".join(sorted(bare, key=len, reverse=True))
-        parts += [f"{TERMS}\\b(?:{net})\\b{lead}{money}{END}", f"^{H}(?:{net})\\b{lead}\\r?\\n{H}{money}{END}"]
+        parts += [f"{TERMS}\\b(?:{net})\\b{H}{UNIT}{H}[:=]?{H}{number}{END}", f"{TERMS}\\b(?:{net})\\b{lead}{money}{END}", f"^{H}(?:{net})\\b{lead}\\r?\\n{H}{money}{END}"]
     found = F.transform(F.regexp_extract_all(text, F.lit(f"(?imU)(?:{'|'.join(parts)})"), F.lit(0)), F.ltrim)
     whole = best_labelled(found, labels)
     return F.nullif(F.regexp_extract(whole, f"(?sU)({DECIMAL}|-?[0-9]+)[^0-9]*$", 1), F.lit(""))
