@@ -38,13 +38,14 @@ def normalised(payload: DataFrame, column: str = "payload") -> DataFrame:
     Changed are decimal commas, a PL prefix of tax ids, and foreign tax numbers, which become null. A payload has
     exactly the twelve fields, each a text or null.
     """
-    v = F.try_parse_json(column)
+    parsed = payload.withColumn("_v", F.try_parse_json(column))  # once for all fields
+    v = F.col("_v")
     keys = F.coalesce(F.json_object_keys(F.when(v.isNotNull(), F.col(column))), F.array().cast("array<string>"))
     kind = {f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) for f in FIELDS}
     text = {f: F.when(kind[f] == "STRING", F.try_variant_get(v, f"$.{f}", "string")) for f in FIELDS}
     shape = F.when(F.array_sort(keys) != F.array(*[F.lit(f) for f in sorted(FIELDS)]), "fields")
     typed = [F.when(~F.coalesce(kind[f], F.lit("VOID")).isin("STRING", "VOID"), f"{f}: no text") for f in FIELDS]
-    out = payload.select("*", *[text[f].alias(f"_{f}") for f in FIELDS], F.array_compact(F.array(shape, *typed)).alias("_shape"))
+    out = parsed.select(*payload.columns, *[text[f].alias(f"_{f}") for f in FIELDS], F.array_compact(F.array(shape, *typed)).alias("_shape"))
     comma = {f: F.coalesce(F.col(f"_{f}").rlike("^-?[0-9]+,[0-9]{2}$"), F.lit(False)) for f in MONEY}
     polish = {f: F.coalesce(F.col(f"_{f}").rlike("(?i)^PL[ 0-9-]+$"), F.lit(False)) for f in IDS}
     foreign = {f: F.coalesce(F.col(f"_{f}").rlike(f"^(?:{FOREIGN})[A-Z0-9]+$"), F.lit(False)) & ~polish[f] for f in IDS}
