@@ -22,13 +22,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triweave.llm.common import tidy
+from triweave.llm.common import give_back, tidy
 
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 1_000_000
 MAX_WORDS = 120_000
 
 # Unicode White_Space, as the vocabulary files' patterns mean by \s.
@@ -243,16 +244,11 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), type=kind))
 
 
-def chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Runs of rows with about so many characters of text each."""
-    start = held = 0
-    for k, t in enumerate(texts):
-        held += len(t or "")
-        if held >= chars:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    ends = np.cumsum(np.array(pc.fill_null(pc.utf8_length(column), 0), dtype=np.int64))
+    edges = np.flatnonzero(np.diff(ends // chars)) + 1
+    return itertools.pairwise(np.unique(np.r_[0, edges, len(column)]).tolist())
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
@@ -262,11 +258,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
+        give_back()  # what the vocabulary file took to read
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            texts = column.to_pylist()
-            for a, b in chunks(texts):
-                ids = codec.encode(texts[a:b])
+            for a, b in chunks(column):
+                ids = codec.encode(column.slice(a, b - a).to_pylist())
                 arrays = [batch.column(k).slice(a, b - a) for k in range(len(keep))] + [list_array(ids, pa.int32())]
                 if decoded:
                     arrays.append(pa.array([codec.decode(x) for x in ids], type=pa.string()))

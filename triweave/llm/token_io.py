@@ -198,8 +198,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc:
 
         for batch in batches:
             first = 0
-            texts = batch.column(1).to_pylist()
-            found = (x for a, b in bpe.chunks(texts, CHARS) for x in codec.encode(texts[a:b]))
+            texts = batch.column(1)
+            found = (x for a, b in bpe.chunks(texts, CHARS) for x in codec.encode(texts.slice(a, b - a).to_pylist()))
             for k, of in enumerate(found):
                 x = np.concatenate([of.astype(np.uint32), end])
                 ids.append(x)
