@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm import ann, bpe, chat, decontam, html, langid, minhash, pii, token_io, toxicity
+from triweave.llm import ann, bpe, chat, codes, decontam, divergence, html, langid, minhash, pii, reputation, token_io, toxicity
 from triweave.llm.common import hex_sha, shared_dir, table
 
 
@@ -97,6 +97,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -108,7 +120,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_codes": op11_codes,
+    "op12_url_filter": op12_url_filter,
+    "op13_divergence": op13_divergence,
 }
+
+
 def op6_sql() -> str:
     marks = ["\\"] + [a + b for a in "<[" for b in ("|", "INST]", "/INST]", "s>", "/s>", "<SYS>>", "</SYS>>", "SYS>>", "/SYS>>")]
     listed = ", ".join(f"'{m}'" for m in marks)
@@ -127,4 +144,80 @@ def op6_sql() -> str:
     FROM s GROUP BY conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": op6_sql()}
+def op11_sql() -> str:
+    """The first codebooks, four rounds and the last assignment, one after the other; a part and an entry meet by part."""
+    nearest = "list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - b.x[k]) * (p.x[k] - b.x[k])))"
+    floor = "CAST((s - (s % n + n) % n) // n AS BIGINT)"
+    steps = [f"""
+    kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM kept, range(4) AS r(part)),
+    firsts AS (SELECT id, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM kept QUALIFY entry < {codes.ENTRIES}),
+    book0 AS MATERIALIZED (SELECT part, entry, x FROM parts JOIN firsts USING (id))"""]
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"at{k} AS MATERIALIZED (SELECT p.id, p.part, min((CAST({nearest} AS HUGEINT)) * {codes.ENTRIES} + b.entry) AS best FROM parts p JOIN book{k} b USING (part) GROUP BY ALL)")
+        if k < codes.ROUNDS:
+            steps.append(f"""
+    sums{k} AS (SELECT part, entry, k, sum(c) AS s, count(*) AS n FROM (SELECT a.part, a.best % {codes.ENTRIES} AS entry, unnest(range(1, len(p.x) + 1)) AS k, unnest(p.x) AS c FROM at{k} a JOIN parts p USING (id, part)) GROUP BY ALL),
+    book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b
+      LEFT JOIN (SELECT part, entry, list({floor} ORDER BY k) AS x FROM sums{k} GROUP BY ALL) m ON m.part = b.part AND m.entry = b.entry)""")
+    last = codes.ROUNDS
+    return f"""WITH {', '.join(steps)},
+    coded AS (SELECT id, string_agg(lpad(lower(to_hex(CAST(best % {codes.ENTRIES} AS INTEGER))), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best // {codes.ENTRIES}) AS BIGINT) AS error FROM at{last} GROUP BY id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{last}) AS codebooks_sha256
+    FROM kept JOIN coded USING (id)"""
+
+
+def op12_sql() -> str:
+    second = ", ".join(f"'{x}'" for x in reputation.SECOND_LEVEL)
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'" for h, p, v in sorted(reputation.RULES, key=lambda r: -len(r[0] + r[1]))
+    )
+
+    def size(children: str) -> str:
+        rho = "sum((y - n * m) * (y - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0)"
+        return f"(SELECT 1 / coalesce(least(greatest({rho}, {reputation.RHO_LEAST}), {reputation.RHO_MOST}), {reputation.RHO_UNKNOWN}) - 1 FROM {children} WHERE n > 0)"
+
+    return f"""
+    WITH behind AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+    split AS (SELECT page_id, translate(regexp_extract(u, '^[^/?#]*'), '{reputation.UPPER}', '{reputation.LOWER}') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM behind),
+    named AS (SELECT *, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '[.]$', '') AS name, CASE {cases} END AS r FROM split),
+    bad AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+    seen AS (SELECT name, count(bad) AS n, coalesce(sum(bad), 0) AS y, string_split(name, '.') AS p FROM named LEFT JOIN bad ON page_id = doc_id WHERE name <> '' GROUP BY name),
+    kinds AS (SELECT *, regexp_full_match(name, '[0-9.]+') AS address, len(p) > 2 AND length(p[-1]) = 2 AND p[-2] IN ({second}) AS two FROM seen),
+    hosts AS (SELECT name, n, y, CASE WHEN address OR len(p) < 2 THEN name WHEN two THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+      CASE WHEN address THEN '' WHEN two THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM kinds),
+    s0 AS (SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (coalesce(sum(y), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS m FROM hosts GROUP BY suffix),
+    s AS (SELECT suffix, (y + k * m) / (n + k) AS m FROM s0, (SELECT {size('s0')} AS k)),
+    d0 AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y, any_value(m) AS m FROM hosts JOIN s USING (suffix) GROUP BY domain, suffix),
+    d AS (SELECT domain, suffix, (y + k * m) / (n + k) AS m FROM d0, (SELECT {size('d0')} AS k)),
+    h0 AS (SELECT name, n, y, m FROM hosts JOIN d USING (domain, suffix)),
+    h AS (SELECT name, y + k * m AS a, n - y + k * (1 - m) AS b FROM h0, (SELECT {size('h0')} AS k)),
+    blocked AS (SELECT name FROM h WHERE a / (a + b) - {reputation.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {reputation.BLOCK})
+    SELECT page_id, host, path, string_split(r, '|')[1] AS rule,
+      coalesce(string_split(r, '|')[2], CASE WHEN name IN (SELECT name FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM named"""
+
+
+def op13_sql() -> str:
+    upper, lower = reputation.UPPER, reputation.LOWER
+    share = lambda n, total: f"1 + (CAST(1000000000 AS HUGEINT) * ({n} + 1)) // ({total} + v)"
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    occ AS MATERIALIZED (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{upper}', '{lower}') AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.IN_DOCUMENTS}),
+    c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+    g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)),
+    p AS MATERIALIZED (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, {share('coalesce(n, 0)', 'total')} AS p FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+    l AS (SELECT lang, term, {share('sum(n)', 'any_value(t)').replace('+ v', '+ any_value(v)')} AS q FROM c JOIN (SELECT lang, sum(total) AS t, any_value(v) AS v FROM g GROUP BY lang) USING (lang) GROUP BY lang, term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+      WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= {divergence.TOP})
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_chat": op6_sql(), "op11_codes": op11_sql(), "op12_url_filter": op12_sql(), "op13_divergence": op13_sql()}
