@@ -112,7 +112,8 @@ def start(rows: DataFrame) -> Books:
         raise ValueError(f"vectors of more than {LENGTHS} lengths")
     books = {}
     for d in lengths:
-        x = np.array([r.x for r in firsts.where(F.col("d") == d).orderBy(F.col("vec").asc_nulls_last(), "x").limit(ENTRIES).collect()], dtype=np.int64).reshape(-1, d)
+        some = firsts.where(F.col("d") == d).orderBy(F.col("vec").asc_nulls_last(), "x").limit(ENTRIES).collect()
+        x = np.array([r.x for r in some], dtype=np.int64).reshape(len(some), d)
         books[d] = [x[:, a:z] for a, z in bounds(d)]
     return books
 
