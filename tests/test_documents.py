@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from triweave.functions import dates, records
@@ -51,6 +53,74 @@ def test_parties_by_section_and_column():
     assert parties.name_of("seller", "Epsilon AG\nul. Prosta 1\nNIP 5250001234") == "Epsilon AG"
 
 
+@pytest.mark.parametrize(
+    ("text", "seller", "buyer"),
+    [
+        ("BUYER DETAILS\tSELLER DETAILS\nBeta Ltd\tAlpha Ltd", "Alpha Ltd", "Beta Ltd"),  # columns by tab, the other way round
+        ("Seller: Alpha Ltd    Buyer: Beta Ltd", "Alpha Ltd", "Beta Ltd"),
+        ("SELLER\nAlpha Ltd\nBUYER\nBeta Ltd", "Alpha Ltd", "Beta Ltd"),
+        ("Seller:                    Buyer:\nAlpha Ltd\nNIP: 5250001234            NIP: 5242920020", "Alpha Ltd", None),  # an empty cell stays empty
+        ("Seller:                    Buyer:\n                          Beta Ltd", None, "Beta Ltd"),
+        ("Seller:\nBuyer:\nBeta Ltd", None, "Beta Ltd"),
+        ("SELLER                     BUYER\nName:                      Name:\nAlpha Ltd                  VAT: PL5242920020\nVAT: IE12                  Beta Ltd", "Alpha Ltd", "Beta Ltd"),
+        ("WYSTAWCA: Żółw Sp. z o.o.\nODBIORCA: Łoś i Ćma", "Żółw Sp. z o.o.", "Łoś i Ćma"),
+        ("İİ Nabywca: Żółw", None, "Żółw"),  # lower case of other length moves nothing
+        ("Resellers: Alpha\nCustomerology Ltd", None, None),
+        ("Bill\nAlpha, Inc                      Bill to\n1 Main Street                   Beta Ltd\nUnited States                   Poland", "Alpha, Inc", "Beta Ltd"),
+    ],
+)
+def test_names_in_their_columns(text, seller, buyer):
+    assert (parties.name_of("seller", text), parties.name_of("buyer", text)) == (seller, buyer)
+
+
+def test_ids_follow_the_page():
+    a, b = "5252344078", "5242920020"
+    for text in (f"Seller:\nVAT ID: PL{a}\nBuyer:\nNIP: {b}", f"Buyer: Beta NIP: {b} Seller: Alpha VAT ID: PL{a}", f"Buyer:            Seller:\nNIP: {b}   NIP: PL{a}", f"CUSTOMER\tSUPPLIER\nNIP: {b}\tVAT: PL{a}", f"Seller:\nCustomer number: 4\nPL {a}\nBuyer:\nNIP {b}"):
+        assert parties.party_ids(text) == (a, b)
+    assert parties.party_ids(f"Seller: Alpha\nNIP: {a}\nBuyer: Beta") == (a, None)
+    assert parties.party_ids(f"Ask customer support\nNIP: {b}") == (None, b)
+    assert parties.party_ids(f"Alpha, Inc                Bill to\n1 Street                  Beta\n                    PL VAT PL{b}") == (None, b)
+    assert parties.tax_ids(f"VAT ID: PL{a}\nNIP: 524-292 00-20, NIP {a}") == [a, b]
+
+
+def test_labels_are_asked_in_order_of_trust(spark):
+    got = read(spark, "Kwota brutto: 100,00\nNET VAT TOTAL\nTOTAL 50.00 10.00 60.00", "Total: 12345678901234567,00\nBrutto: 7,00", "Total: 1 234 567,89 zł", "Total (EUR): 5\nTotal: 6", "vat 3,00 x\nVAT\n $ 4.00", "NET 1.00 VAT 2.00 TOTAL\nTOTAL:\n1.00\n2.00 3.00")
+    assert [(r.net_amount_minor, r.vat_amount_minor, r.gross_amount_minor) for r in got] == [(5000, 1000, 10000), (None, None, 700), (None, None, 123456789), (None, None, 500), (None, 400, None), (100, 200, 300)]
+
+
+LONG = ("nr numer ", "do faktury nr numer ", "1 111 ", "total: ", "7 ", "seller ", "NIP 5242920020 ", "net 1 111 111,00 ", "seller\tbuyer\tNIP 5242920020\n", "1,1,", "FV ", "kwota EUR ", "faktura vat korygująca nr ", "total\n", " ", "<a b", "<P_2>", '{"a":', "[")
+
+
+def test_long_repetitive_documents_take_linear_time(spark):
+    """A million characters each; every reader walks forward, and nothing recurses."""
+    began = time.time()
+    for piece in LONG:
+        text = piece * (1_000_000 // len(piece))
+        for reader in (extraction.read_text, extraction.read_xml, extraction.read_json):
+            reader(text)
+    assert time.time() - began < 3 * 10 * len(LONG)
+    docs = [(str(k), f"{k}.{kind}", piece * (1_000_000 // len(piece))) for kind in ("txt", "xml", "json") for k, piece in enumerate(LONG)]
+    assert extraction.extract_documents(spark.createDataFrame(docs, "content_hash string, source_path string, text string")).count() == len(docs)
+
+
+def test_answers_of_a_million_characters(spark):
+    big = "{" * 3 + '"' * 7
+    answers = {
+        "see " + payload(seller_name="x" * 1_000_000) + " so": payload(seller_name="x" * 1_000_000),
+        '{"thought": {"a": {"b": "}"}}} then {"c": {"d": [1, {"e": "\\\""}]}} end': '{"c": {"d": [1, {"e": "\\\""}]}}',
+        "{" * 1_000_000: None,
+        "[" * 1_000_000: None,
+        "{}" * 500_000: "{}",
+        '{"a":1} {"b": NaN}': '{"a":1}',
+        "<|channel>" * 100_000 + "final {}": "{}",
+        "<|channel>final {1}<|channel>analysis {}": None,
+        big * 100_000: None,
+    }
+    df = spark.createDataFrame(list(enumerate(answers)), "k int, a string")
+    got = {r.k: r.p for r in df.select("k", payloads.payload_of(F.col("a")).alias("p")).collect()}
+    assert got == dict(enumerate(answers.values()))
+
+
 def test_own_id_alone_in_the_text(spark):
     texts = ["NIP: PL 524-292-00-20", "524 292 00 20", "x5242920020", "12-5242920020", "5242920020-20260101-ABCDEF123456-AA", "524–292–00–20", " \n", "1 5242920020 2"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -80,7 +150,7 @@ def payload(**fields):
 def test_payload_text_and_validation(spark):
     answers = ['x {"a":1} y {"b":{} ', '<|channel>thought {"t":1}<|channel>final {"f":2}', '<|channel>analysis {"t":1}<|channel>other {"o":3}', "none", None, '{"s":"}"} tail']
     df = spark.createDataFrame([(a,) for a in answers], "a string")
-    assert [r.p for r in df.select(payloads.payload_of(F.col("a")).alias("p")).collect()][:4] == ["{}", '{"f":2}', '{"o":3}', None]
+    assert [r.p for r in df.select(payloads.payload_of(F.col("a")).alias("p")).collect()] == ['{"a":1}', '{"f":2}', '{"o":3}', None, None, '{"s":"}"}']
     good = [payload(gross_amount="22,83", seller_tax_id="PL 526-104-08-28", buyer_tax_id="IE123"), payload(gross_amount="1.5"), payload(issue_date="2026-02-30"), payload(currency="pln"), payload(seller_name="Buyer:"), payload(seller_tax_id="1234567890"), '{"gross_amount": 1}', payload(due_date=" ")]
     out = payloads.normalised(spark.createDataFrame([(k, p) for k, p in enumerate(good)], "k int, payload string")).orderBy("k").collect()
     assert [len(r.problems) > 0 for r in out] == [False, True, True, True, True, True, True, True]

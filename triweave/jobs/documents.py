@@ -15,7 +15,12 @@ from triweave.sources import feeds as sources
 
 
 def _texts(b: DataFrame) -> DataFrame:
-    """A document of each order in one of four layouts: Polish text, English text in columns, XML, JSON."""
+    """A document of each order in one of four layouts: Polish text, English text in columns, XML, JSON.
+
+    Texts take far more work than the rows that they are made of, so these are dealt to all cores first.
+    """
+    spark = b.sparkSession
+    b = b.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
     own, k, firm = OWN_TAX_ID, F.col("k"), F.concat(F.lit("Firm "), "nip")
     day = F.date_format("d", "yyyy-MM-dd")
     price = F.col("g").cast("decimal(38,2)") / 100

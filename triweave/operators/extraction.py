@@ -1,13 +1,15 @@
-"""Invoice fields read from texts, XML and JSON documents, as columns of distributed jobs.
+"""Invoice records read from texts, XML and JSON documents.
 
-Labels of a field are searched together, in one pass; what was found is ranked by label, then by place. Strings are
-cut out in one projection and parsed in the next, so that no pattern runs twice. Only the layout of parties (which
-side of a page a tax id or name stands on) needs a look at neighbouring lines and goes through Arrow batches.
+One Arrow stage reads each document once, whatever its kind, and cuts out the fields as text: texts by ``reading`` and
+``parties``, XML by its tags, JSON by its keys. Columns then parse what was cut out. All readers take time in proportion
+to the document and none recurses into it.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,114 +17,174 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triweave.functions.dates import document_date_order, parse_date, parse_text_date
-from triweave.functions.money import CURRENCIES, amounts_inconsistent, decimal_to_minor, local_money_to_minor, norm_currency
-from triweave.functions.numbers import clean_number, is_valid_number, norm_tax_id, number_from_filename, reference_from_text
+from triweave.functions.money import amounts_inconsistent, decimal_to_minor, local_money_to_minor, norm_currency
+from triweave.functions.numbers import clean_number, number_from_filename, reference_from_text
 from triweave.functions.records import FILENAME_NUMBER, OWN_ID_MARKS, clean_name, missing_core_fields, quality
-from triweave.operators.parties import party_columns
+from triweave.operators import reading
+from triweave.operators.parties import Page
 from triweave.schema import COLUMNS, OWN_TAX_ID, conform
 
 AMBIGUOUS_DATE = "ambiguous date"
-# Labels of a field, the most trusted first.
-GROSS_LABELS = ("łączna kwota brutto", "laczna kwota brutto", "wartość brutto", "wartosc brutto", "kwota brutto", "razem brutto", "total gross", "total", "brutto", "razem do zapłaty", "do zapłaty", "amount due")
-NET_LABELS = ("total net", "wartość netto", "wartosc netto", "kwota netto", "netto", "net")
-VAT_LABELS = ("total vat", "wartość vat", "wartosc vat", "kwota vat", "podatek vat", "vat amount", "tax amount", "podatek", "vat")
-ISSUE_LABELS = ("data wystawienia", "wystawiono", "issue date", "invoice date")
-SALE_LABELS = ("data sprzedaży", "data sprzedazy", "data wykonania usługi", "data wykonania uslugi", "sale date", "service date")
-DUE_LABELS = ("data płatności", "data platnosci", "termin płatności", "termin platnosci", "due date", "date due", "payment due")
-CURRENCY_LABELS = ("waluta", "currency", "currency code", "kod waluty", "kwota", "razem", "total", "amount", "do zapłaty", "do zaplaty")
-# Where a number stands, in order of trust, and phrases after which it is another document's.
-NUMBER_PATTERNS = (
-    r"(?is)numer\s+faktury[\s:#\-]*([0-9A-Z][A-Z0-9/_.\-]{2,})",
-    r"(?im)^\s*invoice[ \t]*(?:no\.?|number)[ \t:#\-]*([A-Z0-9][A-Z0-9/_.\-]{2,})\s*$",
-    r"(?i)(?:obraz\s+)?faktur(?:a|y)?\s*(?:vat)?\s*(?:korygując[aey]|korygujac[aey])?\s*(?:nr|numer)?[\s:#\-\n]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
-    r"(?i)(?:nr\s*faktury|invoice\s*(?:no\.?|number)?)[\s:#\-\n]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
-    r"(?i)\b(?:credit\s+note|nota\s+korygując[aey]|nota\s+korygujac[aey]|korekta)[ \t]*(?:no\.?|number|nr|numer)?[\s:#\-]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
-    r"(?i)\bFV[\s:#\-]*([A-Z0-9][A-Z0-9/_.\-]{2,})",
-)
-REFERS = r"(?:\bdo\s+faktury|\bdotyczy(?:\s+faktury)?|\bdot\.\s*faktury|\bkorekta\s+do|\bfaktur[ay]\s+korygowan(?:a|ej)|\bkorygowan(?:a|ej)\s+faktur[ay]|\bfaktur[ay]\s+(?:pierwotn|oryginaln)(?:a|ej)|\b(?:pierwotn|oryginaln)(?:a|ej)\s+faktur[ay]|\bcorrection\s+(?:of|to)\s+invoice|\bcredit\s+note\s+(?:for|to)\s+invoice|\b(?:original|corrected|related)\s+invoice|\b(?:refers|relates)\s+to\s+invoice)"
-BETWEEN = r"(?:[\s:#.\-]+|\b(?:nr|numer|no|number|vat|faktury|faktura|invoice|korygującej|korygujacej)\b)*"
-OTHER_DOCUMENT = ""  # stands before a number that a phrase gives to another document
-
-H = "[\\t   ]*"
-UNIT = f"(?:\\((?:{'|'.join(CURRENCIES)}|zł|€|\\$|£)\\)|(?:{'|'.join(CURRENCIES)}|zł|€|\\$|£))"
-DECIMAL = "-?(?:[0-9]{1,3}(?:[   ][0-9]{3})+[.,][0-9]{2}|[0-9]{1,3}(?:\\.[0-9]{3})+,[0-9]{2}|[0-9]{1,3}(?:,[0-9]{3})+\\.[0-9]{2}|[0-9]+[.,][0-9]{2})"
-END = f"{H}(?=\\r?$|[ \\t]+(?:NET|VAT|TOTAL)\\b)"
-TERMS = r"(?<!(?:\bterms|płatności|platnosci)[ \t]{0,9}[:\-]?[ \t]{0,9})"
-DATE = r"(\d{4}-\d{2}-\d{2}|\d{2}[./-]\d{2}[./-]\d{4}|[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4})"
-
-
-def alternatives(labels: tuple[str, ...]) -> str:
-    """Longer labels first, as a shorter one may begin them."""
-    return "|".join(sorted(labels, key=lambda x: (-len(x), x)))
-
-
-def best_labelled(found: Column, labels: tuple[str, ...], value: Column | None = None) -> Column:
-    """Value of the most trusted label; ``found``: pieces of text that begin with a label, in order of place."""
-    names = F.array(*[F.lit(x) for x in labels])
-    ranked = F.transform(found, lambda m, i: F.struct(F.array_position(names, F.lower(F.regexp_extract(m, f"(?iU)^(?:{alternatives(labels)})", 0))).alias("rank"), i.alias("at"), m.alias("m")))
-    return F.get(F.transform(F.array_sort(F.filter(ranked, lambda x: x["rank"] > 0)), lambda x: x["m"]), 0)
-
-
-def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
-    """Amount text right behind a label on its line, or alone on the next line; ``Net 30`` is a term of payment.
-
-    A plain number behind a bare ``net`` needs a currency to count.
-    """
-    bare = [x for x in labels if x in ("net", "netto")]
-    usual = alternatives(tuple(x for x in labels if x not in bare))
-    lead = f"{H}(?:{UNIT}{H})?[:=]?{H}"
-    number = f"(?:{UNIT}{H})?(?:{DECIMAL}|-?[0-9]{{1,16}})(?:{H}{UNIT})?"
-    money = f"(?:(?:{UNIT}{H})?{DECIMAL}(?:{H}{UNIT})?|{UNIT}{H}-?[0-9]{{1,16}}|-?[0-9]{{1,16}}{H}{UNIT})"
-    parts = [f"\\b(?:{usual})\\b{lead}{number}{END}", f"^{H}(?:{usual})\\b{lead}\\r?\\n{H}{number}{END}"]
-    if bare:
-        net = "|".join(sorted(bare, key=len, reverse=True))
-        parts += [f"{TERMS}\\b(?:{net})\\b{H}{UNIT}{H}[:=]?{H}{number}{END}", f"{TERMS}\\b(?:{net})\\b{lead}{money}{END}", f"^{H}(?:{net})\\b{lead}\\r?\\n{H}{money}{END}"]
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?imU)(?:{'|'.join(parts)})"), F.lit(0)), F.ltrim)
-    whole = best_labelled(found, labels)
-    return F.nullif(F.regexp_extract(whole, f"(?sU)({DECIMAL}|-?[0-9]+)[^0-9]*$", 1), F.lit(""))
+READ_AS_TEXT = "JSON read as text"
+# How an amount is written.
+LOCAL, MACHINE, NUMBER = 0, 1, 2
+# Tags of an XML invoice, and keys of a JSON invoice as lower-case letters and digits of their whole path.
+XML_PARTIES = {"seller": ("Podmiot1", "Seller", "Sprzedawca"), "buyer": ("Podmiot2", "Buyer", "Nabywca")}
+XML_PARTY = {"id": ("NIP", "TaxId", "VATID", "VatId"), "name": ("Nazwa", "Name", "FullName")}
+XML_TAGS = {
+    "number": ("P_2", "NumerFaktury", "InvoiceNumber", "NrFaktury", "number"), "issue": ("P_1", "DataWystawienia", "IssueDate"), "sale": ("P_6", "DataSprzedazy", "SaleDate"),
+    "due": ("TerminPlatnosci", "DueDate", "PaymentDueDate"), "currency": ("KodWaluty", "Currency"), "reference": ("NrKSeF", "KsefNumber", "ReferenceNumber"),
+}
+XML_AMOUNTS = {"gross": ("P_15", "KwotaNaleznosciOgolna", "GrossAmount", "totalGross"), "net": ("NetAmount", "totalNet"), "vat": ("VatAmount", "totalVat")}
+RATES = {"net": "P_13", "vat": "P_14"}
+JSON_KEYS = {
+    "number": ("invoicenumber", "number", "numerfaktury", "p2"), "issue": ("issuedate", "datawystawienia", "p1"), "sale": ("saledate", "datasprzedazy", "p6"), "due": ("duedate", "paymentduedate", "terminplatnosci"),
+    "seller_id": ("sellertaxid", "sellernip", "podmiot1nip", "sprzedawcanip"), "buyer_id": ("buyertaxid", "buyernip", "podmiot2nip", "nabywcanip"), "seller_name": ("sellername", "podmiot1nazwa", "sprzedawcanazwa"), "buyer_name": ("buyername", "podmiot2nazwa", "nabywcanazwa"),
+    "currency": ("currency", "kodwaluty"), "reference": ("ksefreference", "nrksef", "ksefnumber", "referencenumber"), "message_id": ("emailmessageid", "messageid", "id"), "subject": ("emailsubject", "subject"), "sender": ("emailfrom", "from"),
+}
+JSON_AMOUNTS = {"gross": ("grossamount", "totalgross", "kwotabrutto", "p15"), "net": ("netamount", "totalnet"), "vat": ("vatamount", "totalvat")}
+NO_KEY = re.compile("[^A-Za-z0-9]")
+RATE_NAME = re.compile("P_1[34]_[0-9]+(?:_[0-9]+)*", re.I)
+TAG = re.compile(r"<(/?)(?:[A-Za-z0-9_\-]+:)?([A-Za-z0-9_\-]+)(?:\s[^<>]*)?>")
+INNER = re.compile(r"<!\[CDATA\[|\]\]>|<[^<>]+>")
+
+TEXTS = ("number", "seller_id", "buyer_id", "seller_name", "buyer_name", "issue", "sale", "due", "currency", "reference", "message_id", "subject", "sender")
+#: Amount fields; the rates stand in for a sum that is not written, in XML the other way round.
+AMOUNTS = ("gross", "net", "vat", "net_other", "vat_other")
+FIELDS = pa.struct([("kind", pa.string()), *((c, pa.string()) for c in TEXTS), ("amounts", pa.list_(pa.struct([("field", pa.string()), ("text", pa.string()), ("form", pa.int32())])))])
+FIELDS_DDL = f"struct<kind:string,{','.join(f'{c}:string' for c in TEXTS)},amounts:array<struct<field:string,text:string,form:int>>>"
+
+
+def amounts(field: str, texts: list[str | None], form: int) -> list[dict]:
+    return [{"field": field, "text": x, "form": form} for x in texts if x is not None]
+
+
+def read_text(text: str, kind: str = "text") -> dict:
+    t, page = reading.Text(text), Page(text)
+    table = reading.table_columns(t)
+    out = {"kind": kind, "number": reading.invoice_number(t), "currency": reading.currency(t)}
+    out["issue"] = reading.labelled_date(t, reading.ISSUE_LABELS) or reading.first_date(t)
+    out |= {"sale": reading.labelled_date(t, reading.SALE_LABELS), "due": reading.labelled_date(t, reading.DUE_LABELS)}
+    labels = {"gross": reading.GROSS_LABELS, "net": reading.NET_LABELS, "vat": reading.VAT_LABELS}
+    out["amounts"] = [x for name, some in labels.items() for x in amounts(name, [reading.labelled_amount(t, some, table)], LOCAL)]
+    out["seller_id"], out["buyer_id"] = page.parties()
+    out |= {"seller_name": page.name("seller"), "buyer_name": page.name("buyer")}
+    return out | {"message_id": reading.header(t, "Message-ID"), "subject": reading.header(t, "Subject"), "sender": reading.header(t, "From")}
+
+
+class Tags:
+    """Places of the tags of an XML text by lower-case name, namespaces left out."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.opens: dict[str, list[int]] = {}
+        self.closes: dict[str, list[int]] = {}
+        for m in TAG.finditer(text):
+            name = m[2].lower()
+            if m[1]:
+                self.closes.setdefault(name, []).append(m.start())
+            else:
+                self.opens.setdefault(name, []).append(m.end())
+
+    def content(self, name: str) -> str | None:
+        """What the first element of a name holds, up to the first end of that name."""
+        start = self.opens.get(name.lower(), [None])[0]
+        ends = self.closes.get(name.lower(), [])
+        at = bisect_left(ends, start) if start is not None else len(ends)
+        return self.text[start : ends[at]] if at < len(ends) else None
+
+    def plain(self, *names: str) -> str | None:
+        """Text of the first name that occurs, marks and inner tags left out."""
+        found = next((x for n in names if (x := self.content(n)) is not None), None)
+        return None if found is None else INNER.sub("", found).strip()
+
+    def rates(self, prefix: str) -> list[str]:
+        """Texts of the rate fields ``prefix_1, prefix_2, prefix_6_1 ...``, each name once, in order of place."""
+        first = sorted((at[0], name) for name, at in self.opens.items() if RATE_NAME.fullmatch(name) and name.startswith(prefix.lower()))
+        return [x for at, _ in first if (end := self.text.find("<", at)) >= 0 and (x := self.text[at:end])]
+
+
+def tax_id(x: str | None) -> str | None:
+    digits = "".join(c for c in x or "" if c in "0123456789")
+    return digits if len(digits) == 10 else None
+
+
+def read_xml(text: str) -> dict:
+    tags, ids = Tags(text), [d for d, *_ in Page(text).ids]
+    out = {"kind": "xml"} | {c: tags.plain(*names) for c, names in XML_TAGS.items()}
+    for k, (side, names) in enumerate(XML_PARTIES.items()):
+        party = Tags(next((x for n in names if (x := tags.content(n))), ""))
+        out[f"{side}_id"] = tax_id(party.plain(*XML_PARTY["id"])) or (ids[k] if k < len(ids) else None)
+        out[f"{side}_name"] = party.plain(*XML_PARTY["name"])
+    out["amounts"] = [x for name, names in XML_AMOUNTS.items() for x in amounts(f"{name}_other" if name in RATES else name, [tags.plain(*names)], MACHINE)]
+    out["amounts"] += [x for name, prefix in RATES.items() for x in amounts(name, tags.rates(prefix), MACHINE)]
+    return out
 
 
-def table_amount(text: Column, column: int) -> Column:
-    """Net (1), VAT (2) or total (3) of a TOTAL row below a NET / VAT / TOTAL heading."""
-    skip = f"{H}(?:{UNIT}{H})?(?:{DECIMAL}{H})?"
-    gap = "[ \\t\\r\\n]+"
-    row = f"^[ \\t]*TOTAL\\b[ \\t]*:?{gap}({DECIMAL}){gap}({DECIMAL}){gap}({DECIMAL})[ \\t]*\\r?$"
-    return F.when(text.rlike("(?i)\\bNET\\b"), F.nullif(F.regexp_extract(text, f"(?im)\\bNET\\b{skip}VAT\\b{skip}TOTAL\\b[\\s\\S]*?{row}", column), F.lit("")))
+class Number(str):
+    """A JSON number as written."""
 
 
-def labelled_dates(text: Column, labels: tuple[str, ...]) -> Column:
-    """Date text of the most trusted label."""
-    found = F.regexp_extract_all(text, F.lit(f"(?iU)(?:{alternatives(labels)})[^0-9A-Za-z]{{0,30}}{DATE}"), F.lit(0))
-    return F.nullif(F.regexp_extract(best_labelled(found, labels), f"{DATE}$", 1), F.lit(""))
+def leaves(value: object) -> Iterator[tuple[str, str, str, bool]]:
+    """``path, name, value, number`` of every leaf, however deep; ``number``: it is no text."""
+    open_ = [("", "", value)]
+    while open_:
+        path, name, value = open_.pop()
+        if isinstance(value, dict | list):
+            items = value.items() if isinstance(value, dict) else enumerate(value)
+            open_ += reversed([(f"{path}.{k}" if path else str(k), str(k), v) for k, v in items])
+        elif value is not None:
+            yield path, name, value if isinstance(value, str) else str(value).lower(), not isinstance(value, str) or isinstance(value, Number)
+
+
+def read_json(text: str) -> dict:
+    """Fields by the path of their keys; of several places the first by path. What is no JSON is read as text."""
+    try:
+        found = list(leaves(json.loads(text, parse_float=Number, parse_int=Number)))
+    except (ValueError, RecursionError):
+        return read_text(text, "json_text")
+    by_key: dict[str, list[tuple[str, str, bool]]] = {}
+    rates: dict[str, tuple[str, str, bool]] = {}
+    for path, name, value, number in found:
+        by_key.setdefault(NO_KEY.sub("", path).lower(), []).append((path, value, number))
+        if RATE_NAME.fullmatch(name):
+            rates[name.upper()] = min(rates.get(name.upper(), (path, value, number)), (path, value, number))
+    amount = lambda field, x: amounts(field, [x[1]], NUMBER if x[2] else LOCAL)
+    out = {"kind": "json"}
+    for field, keys in JSON_KEYS.items():
+        out[field] = next((min(some)[1] for k in keys if (some := [x for x in by_key.get(k, ()) if x[1].strip()])), None)
+    out["amounts"] = [x for field, keys in JSON_AMOUNTS.items() for x in next((amount(field, min(by_key[k])) for k in keys if k in by_key), [])]
+    out["amounts"] += [x for name, prefix in RATES.items() for n, rate in sorted(rates.items()) if n.startswith(prefix) for x in amount(f"{name}_other", rate)]
+    ids = [d for d, *_ in Page(text).ids]
+    for k, side in enumerate(("seller", "buyer")):
+        out[f"{side}_id"] = tax_id(out[f"{side}_id"]) or (ids[k] if k < len(ids) else None)
+    return out
 
 
-def first_date(text: Column) -> Column:
-    """First date anywhere: ISO dates first, then numeric ones, then those with a month name."""
-    shapes = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}[./-]\d{2}[./-]\d{4}\b", r"\b[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4}\b")
-    return F.coalesce(*[F.get(F.filter(F.regexp_extract_all(text, F.lit(s), F.lit(0)), lambda x: parse_date(x).isNotNull()), 0) for s in shapes])
+READERS = {"xml": read_xml, "json": read_json}
 
 
-def invoice_number(text: Column) -> Column:
-    """The document's own number; one that a phrase gives to another document only if there is no other."""
-    own = F.regexp_replace(text, f"(?iU)({REFERS}{BETWEEN})(?=[A-Za-z0-9])", f"$1{OTHER_DOCUMENT}")
+def fields_of(kind: Column, text: Column) -> Column:
+    """The fields of a document as text; ``kind``: xml, json, or anything else for text."""
 
-    def first(of: Column) -> Column:
-        valid = [F.get(F.filter(F.transform(F.regexp_extract_all(of, F.lit(p), F.lit(1)), clean_number), is_valid_number), 0) for p in NUMBER_PATTERNS]
-        return F.coalesce(*valid)
+    @F.arrow_udf(FIELDS_DDL)
+    def read(kind: pa.Array, text: pa.Array) -> pa.Array:
+        rows = [READERS.get(k, read_text)(t or "") for k, t in zip(kind.to_pylist(), text.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in FIELDS], fields=list(FIELDS))
 
-    return F.coalesce(first(own), first(text))
+    return read(kind, text)
 
 
-def currency_of(text: Column) -> Column:
-    """Currency on the line of a label, else anywhere."""
-    spans = F.regexp_extract_all(text, F.lit(f"(?iU)(?:{alternatives(CURRENCY_LABELS)})[^\\n]{{0,80}}"), F.lit(0))
-    names = F.array(*[F.lit(x) for x in CURRENCY_LABELS])
-    known = F.transform(spans, lambda m, i: F.struct(F.array_position(names, F.lower(F.regexp_extract(m, f"(?iU)^(?:{alternatives(CURRENCY_LABELS)})", 0))).alias("rank"), i.alias("at"), norm_currency(m).alias("c")))
-    return F.coalesce(F.get(F.array_sort(F.filter(known, lambda x: x["c"].isNotNull())), 0)["c"], norm_currency(text))
+def parsed_amounts(parts: Column) -> Column:
+    """``field, minor`` of every amount that can be read."""
+    number = lambda x: F.coalesce(F.when(x["form"] != LOCAL, decimal_to_minor(x["text"])), F.when(x["form"] != NUMBER, local_money_to_minor(x["text"])))
+    return F.filter(F.transform(parts, lambda x: F.struct(x["field"].alias("field"), number(x).alias("minor"))), lambda x: x["minor"].isNotNull())
 
 
-def header(text: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, f"(?im)^{name}:\\s*(.+)$", 1)), F.lit(""))
+def amount_of(parsed: Column, field: str) -> Column:
+    """Sum of a field's amounts; null if there is none."""
+    own = F.filter(parsed, lambda x: x["field"] == field)
+    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0).cast("bigint"), lambda s, x: F.try_add(s, x["minor"])))
 
 
 def own_id_check(text: Column, own: str = OWN_TAX_ID) -> Column:
@@ -143,160 +205,55 @@ def with_own_check(warnings: Column, check: Column) -> Column:
     return F.concat(F.filter(warnings, lambda w: ~w.isin(*OWN_ID_MARKS.values())), F.array(marks[check]))
 
 
-def extract_text(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
+def read(docs: DataFrame, kind: Column, source: str, own: str) -> DataFrame:
     """Invoice records of ``content_hash, source_path, text`` rows; a number from the file name is marked as such."""
-    t = F.col("text")
-    raw = docs.select("content_hash", "source_path", F.coalesce(t, F.lit("")).alias("text"))
-    raw = raw.select("*", *[(labelled_amount(t, labels)).alias(f"_{n}") for n, labels in (("net", NET_LABELS), ("vat", VAT_LABELS), ("gross", GROSS_LABELS))], *[table_amount(t, k).alias(f"_{n}_table") for k, n in ((1, "net"), (2, "vat"), (3, "gross"))],
-        *[labelled_dates(t, labels).alias(f"_{n}") for n, labels in (("issue", ISSUE_LABELS), ("sale", SALE_LABELS), ("due", DUE_LABELS))], document_date_order(t).alias("_order"), invoice_number(t).alias("_number"), own_id_check(t, own).alias("_own"))
-    d = party_columns(raw, "text").withColumn("_issue", F.coalesce(F.when(parse_date(F.col("_issue")).isNotNull(), F.col("_issue")), first_date(t)))
-    days = {n: parse_text_date(F.col(f"_{n}"), F.col("_order")) for n in ("issue", "sale", "due")}
-    from_name = number_from_filename(F.col("source_path"))
-    marks = [F.when(days[n]["alternative"].isNotNull(), F.concat(F.lit(f"{AMBIGUOUS_DATE}: {n} date "), F.col(f"_{n}"), F.lit(" read as "), days[n]["date"].cast("string"), F.lit(" (day first), may be "), days[n]["alternative"].cast("string"))) for n in days]
-    named = F.when(F.col("_number").isNull() & from_name.isNotNull(), F.lit(FILENAME_NUMBER))
+    raw = docs.select("content_hash", "source_path", F.coalesce("text", F.lit("")).alias("text"), kind.alias("_kind"))
+    raw = raw.withColumn("f", fields_of(F.col("_kind"), F.col("text")))
+    f, t = (lambda c: F.col(f"f.{c}")), F.col("text")
+    is_text = f("kind").isin("text", "json_text")
+    d = raw.select("content_hash", "source_path", "f", own_id_check(t, own).alias("_own"), is_text.alias("_text"), F.when(is_text, document_date_order(t)).alias("_order"),
+        F.when(is_text, reference_from_text(t)).otherwise(F.trim(f("reference"))).alias("_ref"), F.nullif(clean_number(f("number")), F.lit("")).alias("_number"), number_from_filename(F.col("source_path")).alias("_named"))
+    # Alike fields are parsed by one expression, as elements of a list.
+    days = ("issue", "sale", "due")
+    d = d.select("*", F.transform(F.array(*map(f, days)), lambda x: parse_text_date(x, F.col("_order"))).alias("_days"), F.transform(F.array(f("seller_name"), f("buyer_name")), clean_name).alias("_names"), parsed_amounts(f("amounts")).alias("_amounts"))
+    day = lambda k, part: F.col("_days")[k][part]
+    marks = [F.when(F.col("_text") & day(k, "alternative").isNotNull(), F.concat(F.lit(f"{AMBIGUOUS_DATE}: {n} date "), f(n), F.lit(" read as "), day(k, "date").cast("string"), F.lit(" (day first), may be "), day(k, "alternative").cast("string"))) for k, n in enumerate(days)]
+    named = F.when(F.col("_number").isNull() & F.col("_named").isNotNull(), F.lit(FILENAME_NUMBER))
+    as_text = F.when(f("kind") == "json_text", F.array(F.lit(READ_AS_TEXT))).otherwise(F.array().cast("array<string>"))
+    amount = lambda *names: F.coalesce(*[amount_of(F.col("_amounts"), n) for n in names])
     return conform(
         d.select(
-            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce("_number", from_name).alias("invoice_number"), "seller_tax_id", "buyer_tax_id", "seller_name", "buyer_name",
-            *[days[n]["date"].alias(f"{n}_date") for n in days], *[local_money_to_minor(F.coalesce(f"_{n}_table", f"_{n}")).alias(f"{n}_amount_minor") for n in ("gross", "net", "vat")],
-            currency_of(t).alias("currency"), reference_from_text(t).alias("ksef_reference"), header(t, "Message-ID").alias("email_message_id"), header(t, "Subject").alias("email_subject"), header(t, "From").alias("email_from"),
-            with_own_check(F.array_compact(F.array(*marks, named)), F.col("_own")).alias("warnings"),
+            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce("_number", "_named").alias("invoice_number"), f("seller_id").alias("seller_tax_id"), f("buyer_id").alias("buyer_tax_id"),
+            *[F.col("_names")[k].alias(f"{n}_name") for k, n in enumerate(("seller", "buyer"))], *[day(k, "date").alias(f"{n}_date") for k, n in enumerate(days)],
+            amount("gross").alias("gross_amount_minor"), amount("net", "net_other").alias("net_amount_minor"), amount("vat", "vat_other").alias("vat_amount_minor"),
+            norm_currency(f("currency")).alias("currency"), F.col("_ref").alias("ksef_reference"), f("message_id").alias("email_message_id"), f("subject").alias("email_subject"), f("sender").alias("email_from"),
+            F.concat(with_own_check(F.array_compact(F.array(*marks, named)), F.col("_own")), as_text).alias("warnings"),
         )
     )
 
 
-def xml_text(text: Column, *tags: str) -> Column:
-    """Text of the first element of the first tag that occurs; namespaces, inner tags and CDATA marks left out."""
-    inner = lambda tag: F.regexp_extract(text, f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{tag}(?:\\s[^>]*)?>(.*?)</(?:[A-Za-z0-9_\\-]+:)?{tag}>", 1)
-    has = lambda tag: text.rlike(f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{tag}(?:\\s[^>]*)?>.*?</(?:[A-Za-z0-9_\\-]+:)?{tag}>")
-    out = F.lit(None).cast("string")
-    for tag in reversed(tags):
-        out = F.when(has(tag), inner(tag)).otherwise(out)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"<!\[CDATA\[|\]\]>", ""), "(?s)<[^>]+>", ""))
-
-
-def xml_block(text: Column, *tags: str) -> Column:
-    out = F.lit(None).cast("string")
-    for tag in reversed(tags):
-        block = F.regexp_extract(text, f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{tag}(?:\\s[^>]*)?>(.*?)</(?:[A-Za-z0-9_\\-]+:)?{tag}>", 1)
-        out = F.when(block != "", block).otherwise(out)
-    return out
-
-
-def machine_money(x: Column) -> Column:
-    return F.coalesce(decimal_to_minor(x), local_money_to_minor(x))
-
-
-def xml_rate_sum(text: Column, prefix: str) -> Column:
-    """Sum over the rate fields ``prefix_1, prefix_2, prefix_6_1 ...``, each name once; ``W`` variants are the same tax in another currency."""
-    pairs = F.regexp_extract_all(text, F.lit(f"(?is)<(?:[A-Za-z0-9_\\-]+:)?{prefix}_[0-9]+(?:_[0-9]+)*(?:\\s[^>]*)?>[^<]*<"), F.lit(0))
-    named = F.transform(pairs, lambda x: F.struct(F.upper(F.regexp_extract(x, f"(?i)({prefix}_[0-9_]+)", 1)).alias("n"), machine_money(F.regexp_extract(x, ">([^<]*)<", 1)).alias("v")))
-    first = F.filter(named, lambda x, i: ~F.exists(F.slice(named, 1, i), lambda y: y["n"] == x["n"]) & x["v"].isNotNull())
-    return F.when(F.size(first) > 0, F.aggregate(first, F.lit(0).cast("bigint"), lambda s, x: F.try_add(s, x["v"])))
+def extract_text(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
+    """Invoice records of texts."""
+    return read(docs, F.lit("text"), source, own)
 
 
 def extract_xml(docs: DataFrame, source: str = "ksef", own: str = OWN_TAX_ID) -> DataFrame:
-    """Invoice records of ``content_hash, source_path, text`` rows with XML documents; tag names are fixed values."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("content_hash", "source_path", t.alias("text"), xml_block(t, "Podmiot1", "Seller", "Sprzedawca").alias("_seller"), xml_block(t, "Podmiot2", "Buyer", "Nabywca").alias("_buyer"), own_id_check(t, own).alias("_own"))
-    d = party_columns(d, "text", ids="_ids", roles=False)
-    t = F.col("text")
-    tax = lambda b: norm_tax_id(xml_text(F.col(b), "NIP", "TaxId", "VATID", "VatId"))
-    name = lambda b: clean_name(xml_text(F.col(b), "Nazwa", "Name", "FullName"))
-    number = clean_number(xml_text(t, "P_2", "NumerFaktury", "InvoiceNumber", "NrFaktury", "number"))
-    from_name = number_from_filename(F.col("source_path"))
-    return conform(
-        d.select(
-            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce(number, from_name).alias("invoice_number"),
-            F.coalesce(tax("_seller"), F.get("_ids", 0)).alias("seller_tax_id"), F.coalesce(tax("_buyer"), F.get("_ids", 1)).alias("buyer_tax_id"), name("_seller").alias("seller_name"), name("_buyer").alias("buyer_name"),
-            parse_date(xml_text(t, "P_1", "DataWystawienia", "IssueDate")).alias("issue_date"), parse_date(xml_text(t, "P_6", "DataSprzedazy", "SaleDate")).alias("sale_date"), parse_date(xml_text(t, "TerminPlatnosci", "DueDate", "PaymentDueDate")).alias("due_date"),
-            machine_money(xml_text(t, "P_15", "KwotaNaleznosciOgolna", "GrossAmount", "totalGross")).alias("gross_amount_minor"),
-            F.coalesce(xml_rate_sum(t, "P_13"), machine_money(xml_text(t, "NetAmount", "totalNet"))).alias("net_amount_minor"), F.coalesce(xml_rate_sum(t, "P_14"), machine_money(xml_text(t, "VatAmount", "totalVat"))).alias("vat_amount_minor"),
-            norm_currency(xml_text(t, "KodWaluty", "Currency")).alias("currency"), F.trim(xml_text(t, "NrKSeF", "KsefNumber", "ReferenceNumber")).alias("ksef_reference"),
-            with_own_check(F.array_compact(F.array(F.when(number.isNull() & from_name.isNotNull(), F.lit(FILENAME_NUMBER)))), F.col("_own")).alias("warnings"),
-        )
-    )
-
-
-# Keys of a JSON invoice, spelt as lower-case letters and digits of their whole path.
-JSON_KEYS = {
-    "invoice_number": ("invoicenumber", "number", "numerfaktury", "p2"), "issue_date": ("issuedate", "datawystawienia", "p1"), "sale_date": ("saledate", "datasprzedazy", "p6"), "due_date": ("duedate", "paymentduedate", "terminplatnosci"),
-    "seller_tax_id": ("sellertaxid", "sellernip", "podmiot1nip", "sprzedawcanip"), "buyer_tax_id": ("buyertaxid", "buyernip", "podmiot2nip", "nabywcanip"), "seller_name": ("sellername", "podmiot1nazwa", "sprzedawcanazwa"), "buyer_name": ("buyername", "podmiot2nazwa", "nabywcanazwa"),
-    "gross": ("grossamount", "totalgross", "kwotabrutto", "p15"), "net": ("netamount", "totalnet"), "vat": ("vatamount", "totalvat"), "currency": ("currency", "kodwaluty"), "ksef_reference": ("ksefreference", "nrksef", "ksefnumber", "referencenumber"),
-    "email_message_id": ("emailmessageid", "messageid", "id"), "email_subject": ("emailsubject", "subject"), "email_from": ("emailfrom", "from"),
-}
-
-
-class _Number(str):
-    """A JSON number as written."""
-
-
-def _leaves(value: object, path: str = "", name: str = "") -> Iterator[tuple[str, str, str, bool]]:
-    if isinstance(value, dict | list):
-        for k, v in value.items() if isinstance(value, dict) else enumerate(value):
-            yield from _leaves(v, f"{path}.{k}" if path else str(k), str(k))
-    elif value is not None:
-        yield path, name, value if isinstance(value, str) else str(value).lower(), not isinstance(value, str) or isinstance(value, _Number)
-
-
-def json_leaves(docs: DataFrame, key: str = "content_hash", text: str = "text") -> DataFrame:
-    """``key, path, name, value, number`` of every leaf of JSON documents, however deep; ``number``: it is no text."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: list[tuple] = []
-            at: list[int] = []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                try:
-                    new = list(_leaves(json.loads(t or "null", parse_float=_Number, parse_int=_Number)))
-                except (ValueError, RecursionError):
-                    continue
-                found += new
-                at += [k] * len(new)
-            columns = [pa.array([f[n] for f in found], pa.bool_() if n == 3 else pa.string()) for n in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "path", "name", "value", "number"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, path string, name string, value string, number boolean")
+    """Invoice records of XML documents."""
+    return read(docs, F.lit("xml"), source, own)
 
 
 def extract_json(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
-    """Invoice records of ``content_hash, source_path, text`` rows with JSON documents; what is no JSON is read as text.
+    """Invoice records of JSON documents; what is no JSON is read as text.
 
     Keys are found at any depth by their path; numbers have a decimal point, texts may be in the local form. Rate
     fields are summed, each name once.
     """
-    plain = docs.where(F.try_parse_json("text").isNotNull())
-    leaf = json_leaves(plain).withColumn("flat", F.lower(F.regexp_replace("path", "[^A-Za-z0-9]", "")))
-    leaf = leaf.withColumn("minor", F.when(F.col("number"), decimal_to_minor(F.col("value"))).otherwise(local_money_to_minor(F.col("value"))))
-    fields = []
-    for field, names in JSON_KEYS.items():
-        keys = F.array(*[F.lit(n) for n in names])
-        rank = F.array_position(keys, F.col("flat"))
-        usable = rank > 0 if field in ("gross", "net", "vat") else (rank > 0) & (F.trim("value") != "")
-        fields.append(F.min_by(F.col("minor") if field in ("gross", "net", "vat") else F.col("value"), F.when(usable, F.struct(rank, "path"))).alias(f"_{field}"))
-    found = leaf.groupBy("content_hash").agg(*fields)
-    rates = leaf.where(F.upper("name").rlike("^P_1[34]_[0-9]+(_[0-9]+)*$")).groupBy("content_hash", F.upper("name").alias("n")).agg(F.min_by("minor", "path").alias("minor"))
-    sums = rates.groupBy("content_hash").agg(*[F.sum(F.when(F.col("n").startswith(p), F.col("minor"))).alias(c) for p, c in (("P_13", "_net_rates"), ("P_14", "_vat_rates"))])
-    d = party_columns(plain.select("content_hash", "source_path", "text", own_id_check(F.col("text"), own).alias("_own")), "text", ids="_ids", roles=False)
-    d = d.join(found, "content_hash", "left").join(sums, "content_hash", "left")
-    number, from_name = clean_number(F.col("_invoice_number")), number_from_filename(F.col("source_path"))
-    out = conform(
-        d.select(
-            F.lit(source).alias("source"), "source_path", "content_hash", F.coalesce(number, from_name).alias("invoice_number"), F.coalesce(norm_tax_id(F.col("_seller_tax_id")), F.get("_ids", 0)).alias("seller_tax_id"), F.coalesce(norm_tax_id(F.col("_buyer_tax_id")), F.get("_ids", 1)).alias("buyer_tax_id"),
-            clean_name(F.col("_seller_name")).alias("seller_name"), clean_name(F.col("_buyer_name")).alias("buyer_name"), *[parse_date(F.col(f"_{n}_date")).alias(f"{n}_date") for n in ("issue", "sale", "due")],
-            F.col("_gross").alias("gross_amount_minor"), F.coalesce("_net", "_net_rates").alias("net_amount_minor"), F.coalesce("_vat", "_vat_rates").alias("vat_amount_minor"), norm_currency(F.col("_currency")).alias("currency"),
-            F.col("_ksef_reference").alias("ksef_reference"), *[F.col(f"_{n}").alias(n) for n in ("email_message_id", "email_subject", "email_from")],
-            with_own_check(F.array_compact(F.array(F.when(number.isNull() & from_name.isNotNull(), F.lit(FILENAME_NUMBER)))), F.col("_own")).alias("warnings"),
-        )
-    )
-    other = extract_text(docs.where(F.try_parse_json("text").isNull()), source, own)
-    return out.unionByName(other.withColumn("warnings", F.concat("warnings", F.array(F.lit("JSON read as text")))))
+    return read(docs, F.lit("json"), source, own)
 
 
 def extract_documents(docs: DataFrame, source: str = "mail", own: str = OWN_TAX_ID) -> DataFrame:
     """Records of a mixed corpus, each document read by its extension."""
-    kind = F.lower(F.regexp_extract(F.coalesce("source_path", F.lit("")), "[.]([^./]*)$", 1))
-    return extract_xml(docs.where(kind == "xml"), source, own).unionByName(extract_json(docs.where(kind == "json"), source, own)).unionByName(extract_text(docs.where(~kind.isin("xml", "json")), source, own))
+    return read(docs, F.lower(F.regexp_extract(F.coalesce("source_path", F.lit("")), "[.]([^./]*)$", 1)), source, own)
 
 
 def better_reading(first: DataFrame, second: DataFrame) -> DataFrame:

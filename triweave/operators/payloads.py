@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,14 +24,73 @@ FOREIGN = "IE|GB|EU|DE|FR|IT|ES|NL|BE|AT|CZ|SK|SE|DK|FI|PT|HU|RO|BG|HR|SI|LT|LV|
 OUTCOMES = ("applied", "unchanged", "rejected", "transient")
 
 
+CHANNEL = "<|channel>"
+# Channels in which a model thinks.
+THOUGHTS = frozenset(("thought", "analysis", "reasoning"))
+CHANNEL_NAME = re.compile("[A-Za-z0-9_-]*")
+MARKS = re.compile(r'[{}"\\]')
+
+
+def said(answer: str) -> str:
+    """The final channel of an answer, or all of it but channels of thought; names of channels left out."""
+    if f"{CHANNEL}final" in answer:
+        return answer.split(f"{CHANNEL}final", 1)[1].split(CHANNEL, 1)[0].strip()
+    first, *rest = answer.split(CHANNEL)
+    named = [(CHANNEL_NAME.match(x)[0], x) for x in rest]
+    return "".join([first, *(x[len(name) :] for name, x in named if name not in THOUGHTS)]).strip()
+
+
+def objects(text: str) -> list[str]:
+    """Outermost JSON objects of a text in order; braces inside strings of an object do not count.
+
+    One walk from mark to mark, with the depth and whether a string is open as its only state.
+    """
+    out, depth, start, quoted, passed = [], 0, 0, False, -1
+    for m in MARKS.finditer(text):
+        at, c = m.start(), m[0]
+        if at == passed:  # it stands behind a backslash
+            continue
+        if quoted:
+            if c == "\\":
+                passed = at + 1
+            quoted = c != '"'
+        elif c == "{":
+            start = start if depth else at
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if not depth:
+                out.append(text[start : at + 1])
+        elif c == '"':
+            quoted = depth > 0
+    return out
+
+
+def no_constant(name: str) -> None:
+    raise ValueError(name)  # NaN and Infinity are not JSON
+
+
+def is_json(text: str) -> bool:
+    try:
+        json.loads(text, parse_int=str, parse_float=str, parse_constant=no_constant)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def read_answer(answer: str) -> str | None:
+    text = said(answer)
+    return text if text and is_json(text) else next((x for x in reversed(objects(text)) if is_json(x)), None)
+
+
 def payload_of(answer: Column) -> Column:
-    """JSON text in an answer: its final channel, or all but channels of thought; the whole if it parses, else the last object that does."""
-    final = F.regexp_extract(answer, r"(?s)<\|channel>final(.*?)(?:<\|channel>|\z)", 1)
-    rest = F.regexp_replace(answer, r"(?s)<\|channel>(?:thought|analysis|reasoning)(?![A-Za-z0-9_-]).*?(?=<\|channel>|\z)", "")
-    text = F.trim(F.regexp_replace(F.when(answer.contains("<|channel>final"), final).otherwise(rest), r"<\|channel>[A-Za-z0-9_-]*", ""))
-    parses = lambda x: F.try_parse_json(x).isNotNull()
-    objects = F.filter(F.regexp_extract_all(text, F.lit(r'(?s)\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'), F.lit(0)), parses)
-    return F.when(parses(text) & (text != ""), text).otherwise(F.get(objects, F.size(objects) - 1))
+    """JSON text in an answer: the whole of what it says if that is JSON, else its last outermost object that is."""
+
+    @F.arrow_udf("string")
+    def read(answer: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else read_answer(x) for x in answer.to_pylist()], pa.string())
+
+    return read(answer)
 
 
 def normalised(payload: DataFrame, column: str = "payload") -> DataFrame:
