@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from triweave.operators import candidates, mailbox, matching, rows, snapshots, survivorship, windows
@@ -92,15 +93,71 @@ def test_rounds_equal_sequential_greedy(spark):
     assert got == greedy(members, links.values())
 
 
-def test_blocks_lose_no_pair(spark, sf):
+def small_rounds(monkeypatch, component=500_000):
+    from triweave.operators import assignment
+
+    monkeypatch.setattr(assignment, "COMPONENT", component)
+
+
+def test_a_tied_block_ends_in_few_rounds(spark, monkeypatch):
+    """Two hundred equal records a side: 40,000 tied links, the same rows as one by one."""
+    from triweave.operators import assignment
+
+    n = 200
+    members = [(s, f"{s}{i:03}", None) for s in (0, 1) for i in range(n)]
+    links = [(2, 70, 0, f"0{i:03}", 1, f"1{j:03}") for i in range(n) for j in range(n)]
+    m = spark.createDataFrame([(s + 1, i, r) for s, i, r in members], "slot int, id string, ref string")
+    e = spark.createDataFrame([(p, sc, ls, l, l, rs, r, r) for p, sc, ls, l, rs, r in links], "pass int, score int, lslot int, lid string, lrank string, rslot int, rid string, rrank string")
+    looked = []
+    real = assignment.feasible
+    monkeypatch.setattr(assignment, "feasible", lambda *a: looked.append(1) or real(*a))
+    assert sorted((tuple(r) for r in assign(m, e).collect()), key=str) == greedy(members, links)
+    assert len(looked) <= 10
+
+
+def test_large_components_go_on_in_rounds(spark, monkeypatch):
+    small_rounds(monkeypatch, 20)
+    test_rounds_equal_sequential_greedy(spark)
+
+
+def test_components(spark):
+    from triweave.operators.components import components
+    from triweave.storage import Cuts
+
+    path = [(f"n{k:03}", f"n{k + 1:03}") for k in range(60)] + [("x", "y"), ("y", "x"), ("z", "z"), ("hub", "a"), ("hub", "b"), ("b", "c")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(path, "a string, b string"), Cuts(spark)).collect()}
+    assert got == {f"n{k:03}": "n000" for k in range(61)} | {"x": "x", "y": "x"} | dict.fromkeys(("hub", "a", "b", "c"), "a")
+
+
+@pytest.mark.parametrize("threshold", [50, 55, 70])
+def test_blocks_lose_no_pair(spark, sf, threshold):
+    """Blocked pairs are those of all pairs; half of the records share numbers, amounts, days and ids with others."""
     from triweave.sources.feeds import derived_feeds
 
-    f = {s: matching.prepare(x.where("truth_key % 97 < 9")) for s, x in derived_feeds(spark, sf).items()}
+    rng = random.Random(threshold)
+    made = {s: [inv(rng.choice(["7", "2026", "FV/1/2026", "FV/1/2026/A", "11112222", "11112222/A", None]), rng.choice([100, 101, 103, 500, 0]), rng.choice(["1111111111", "2222222222", None]), issue_date=DAY + dt.timedelta(rng.randint(0, 20)), currency=rng.choice(["PLN", "EUR", None])) for _ in range(60)] for s in ("mail", "ksef")}
+    f = {s: matching.prepare(x.where("truth_key % 97 < 2").select(*COLUMNS).unionByName(feed(spark, s, *made.get(s, [])))) for s, x in derived_feeds(spark, sf).items()}
     a, b = f["mail"].alias("a"), f["ksef"].alias("b")
-    every = a.crossJoin(b).where(F.coalesce(F.col("a.ref") == F.col("b.ref"), F.lit(True)) & ((matching.score("a", "b")[0] >= 50) | matching.identity("a", "b")))
+    every = a.crossJoin(b).where(F.coalesce(F.col("a.ref") == F.col("b.ref"), F.lit(True)) & ((matching.score("a", "b")[0] >= threshold) | matching.identity("a", "b")))
     want = {tuple(r) for r in every.select("a.id", "b.id").collect()}
-    got = {(r.lid, r.rid) for r in matching.candidates(f, 50).where("lslot = 0 and rslot = 1").collect()}
-    assert want and got == want
+    got = [(r.lid, r.rid) for r in matching.candidates(f, threshold).where("lslot = 0 and rslot = 1").collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+def test_an_amount_over_and_over_is_dealt_to_tiles(spark, monkeypatch):
+    """One supplier, 2,000 equal amounts a side: pairs as by brute force, over many tasks."""
+    monkeypatch.setattr(matching, "TILE", 100)
+    of = lambda side: spark.range(2000).select(F.concat(F.lit(side), "id").alias("id"), F.array(F.lit("1111111111")).alias("ids"), F.lit(500).cast("long").alias("gross"), F.date_add(F.lit(DAY), (F.col("id") % 40).cast("int")).alias("day"), F.lit("1111111111").alias("seller"), F.lit("PLN").alias("cur_text"))
+    x, y = (of(s).withColumn("one", F.explode("ids")) for s in "ab")
+    near = lambda d: d.withColumn("g", F.explode(F.sequence(F.col("gross") - 2, F.col("gross") + 2)))
+    exact = lambda d: d.withColumn("g", F.col("gross"))
+    for threshold, share in ((60, 40), (52, None), (50, 1)):
+        pairs = [j.select("a.id", "b.id", F.spark_partition_id().alias("p")) for j in matching.unnumbered(x, near(x), exact(y), y, threshold)]
+        days = [k % 40 for k in range(2000)]
+        want = sum(days.count(d) for a in days for d in set(days) if abs(a - d) < 8) if share is None else 2000 * 2000 // share
+        assert pairs[-1].count() == want and pairs[-1].distinct().count() == want
+    many = {r.p for r in pairs[-1].select("p").distinct().collect()}
+    assert len(many) > 1
 
 
 def test_overrides_apply_only_at_their_baseline(spark):

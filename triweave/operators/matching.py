@@ -12,6 +12,7 @@ from triweave.functions.money import currency_conflict, near_gross, plain_curren
 from triweave.functions.numbers import alnum_length, canonical_number, counterparty_ids, norm_reference, norm_tax_id, raw_tokens, token_contains
 from triweave.functions.records import completeness
 from triweave.schema import OWN_TAX_ID, SOURCES, canonical_key
+from triweave.storage import cut
 
 MIN_THRESHOLD, MAX_THRESHOLD = 50, 100  # blocks are complete from 41 up
 SLOT_PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -100,17 +101,24 @@ def runs(tokens: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(tokens, i, k), "/")))))
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left, right`` ids of all pairs that can qualify from a score of 41 up: equi-joins, no pair twice.
+#: Without a shared id or a near amount no pair scores more, nor with both of them but no number that agrees.
+UNNUMBERED_SCORE, UNDATED_SCORE, NEAR_DATE_SCORE = 60, 50, 54
+WEEK = 8  # days; dates up to seven days apart lie in neighbouring stretches
+TILE = 2048  # records on a side of a tile, about
 
-    Reference; canonical number; one token list inside the other; a shared counterparty id with amounts at most two
-    minor units apart. A short token list, such as a bare year, must also share an id or have a near amount: that
-    is part of its join key, so a common one meets only what it can pair with. Near amounts are met by exploding the
-    five offsets of one side.
+
+def blocked_pairs(left: DataFrame, right: DataFrame, threshold: int = MIN_THRESHOLD) -> DataFrame:
+    """``left, right`` ids of all pairs that can qualify: equi-joins, no pair twice.
+
+    What can qualify follows from the points. Equal references always do. Numbers that agree (equal, or one token list
+    inside the other) need a shared counterparty id or a near amount to get beyond 60, and so do short token lists, such
+    as a bare year, to get to 41: that is part of their join key, so a common number meets only what it can pair with.
+    Without a number a pair needs a shared id and a near amount and gets 60 at most, over 50 only with near dates, over
+    54 only with equal ones, so dates are in the key. Near amounts are met by exploding the five offsets of one side.
     """
     pick = lambda j: j.select(F.col("a.id").alias("left"), F.col("b.id").alias("right"))
-    a, b = left.select("id", "ref", "num").alias("a"), right.select("id", "ref", "num").alias("b")
-    found = [pick(a.join(b, F.col("a.ref") == F.col("b.ref"))), pick(a.join(b, F.col("a.num") == F.col("b.num")))]
+    a, b = left.select("id", "ref").alias("a"), right.select("id", "ref").alias("b")
+    found = [pick(a.join(b, F.col("a.ref") == F.col("b.ref")))]
 
     def met(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
         both = x.alias("a").join(y.alias("b"), reduce(lambda c, k: c & (F.col(f"a.{k}") == F.col(f"b.{k}")), keys, F.lit(True)))
@@ -119,15 +127,61 @@ def blocked_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     near = lambda d: d.where("gross <> 0").withColumn("g", F.explode(F.sequence(F.col("gross") - 2, F.col("gross") + 2)))
     exact = lambda d: d.where("gross <> 0").withColumn("g", F.col("gross"))
     by_id = lambda d: d.withColumn("one", F.explode("ids"))
+    number = lambda d: d.select("id", "len", "ids", "gross", F.col("num").alias("block")).where("block <> ''")
     full = lambda d: d.select("id", "len", "ids", "gross", F.array_join("tokens", "/").alias("block")).where("block <> ''")
     part = lambda d: d.select("id", "ids", "gross", F.explode(runs(F.col("tokens"))).alias("block")).withColumn("len", alnum_length(F.col("block")))
-    for x, y in ((part(left), full(right)), (full(left), part(right))):
-        short_x, short_y = x.where("len < 8"), y.where("len < 8")
-        found += [met(x.where("len >= 8"), y.where("len >= 8"), "block"), met(by_id(short_x), by_id(short_y), "block", "one"), met(near(short_x), exact(short_y), "block", "g")]
-    found.append(met(near(by_id(left.select("id", "ids", "gross"))), exact(by_id(right.select("id", "ids", "gross"))), "one", "g"))
+    alone = threshold <= UNNUMBERED_SCORE  # a number of eight characters suffices
+    if alone:
+        found.append(met(number(left), number(right), "block"))
+    else:
+        found += [met(by_id(number(left)), by_id(number(right)), "block", "one"), met(near(number(left)), exact(number(right)), "block", "g")]
+    for x, y, by_x, by_y in ((part(left), full(right), exact, near), (full(left), part(right), near, exact)):
+        if alone:
+            found.append(met(x.where("len >= 8"), y.where("len >= 8"), "block"))
+            x, y = x.where("len < 8"), y.where("len < 8")
+        found += [met(by_id(x), by_id(y), "block", "one"), met(by_x(x), by_y(y), "block", "g")]  # whole numbers take the offsets, their runs are many
+    if alone:
+        x, y = (by_id(d.select("id", "ids", "gross", "day", "seller", "cur_text")) for d in (left, right))
+        found += [pick(j) for j in unnumbered(x, near(x), exact(y), y, threshold)]
     return reduce(DataFrame.union, found).distinct()
 
 
+def unnumbered(x: DataFrame, near_x: DataFrame, exact_y: DataFrame, y: DataFrame, threshold: int) -> list[DataFrame]:
+    """Joins ``a, b`` of records that share an id and a near amount, as close in time as the threshold asks for.
+
+    An id with one amount over and over, a monthly fee, is dealt to tiles: its pairs are the result, and spread.
+    """
+    if threshold > NEAR_DATE_SCORE:
+        return [in_tiles(near_x, exact_y, "one", "g", "day")]
+    week = lambda d: d.where("day is not null").withColumn("w", F.floor(F.unix_date("day") / WEEK))
+    weeks = week(near_x).withColumn("w", F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)))
+    out = [in_tiles(weeks, week(exact_y), "one", "g", "w").where(F.abs(F.datediff("a.day", "b.day")) < WEEK)]
+    if threshold <= UNDATED_SCORE:
+        same = lambda d: d.where("gross <> 0 and seller = one").withColumn("cur", F.upper("cur_text"))
+        out.append(in_tiles(same(x), same(y), "one", "gross", "cur"))  # fifty points only with all of these
+    return out
+
+
+def in_tiles(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
+    """Inner join ``a, b`` on keys, where a key with many records on both sides is dealt to tiles of about ``TILE`` a side.
+
+    Counts are aggregated inside the tasks first. Hot keys are a written table, joined to both sides; of their records
+    each stands in one strip of its side and meets every strip of the other.
+    """
+    counts = [d.groupBy(*keys).agg(F.count("*").alias(f"n{k}")) for k, d in enumerate((x, y))]
+    hot = counts[0].join(counts[1], list(keys)).where((F.col("n0") > TILE) & (F.col("n1") > TILE))
+    hot = cut(hot.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.ceil(F.col(f"n{k}") / TILE).alias(f"_s{k}") for k in (0, 1)]))
+    on = lambda d: reduce(lambda c, k: c & (d[k] == hot[f"_{k}"]), keys, F.lit(True))
+    same = lambda *more: reduce(lambda c, k: c & (F.col(f"a.{k}") == F.col(f"b.{k}")), (*keys, *more), F.lit(True))
+    cold = [d.join(hot, on(d), "left_anti").alias(n) for d, n in ((x, "a"), (y, "b"))]
+    strips = [d.join(hot, on(d)).withColumn(f"_t{k}", F.pmod(F.xxhash64("id"), f"_s{k}")).withColumn(f"_t{1 - k}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_s{1 - k}") - 1))) for k, d in enumerate((x, y))]
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as few bytes go in and many pairs come out
+    dealt = [d.select(*own.columns, "_t0", "_t1").repartition(tasks, *keys, "_t0", "_t1").alias(n) for d, own, n in zip(strips, (x, y), "ab", strict=True)]
+    # Both sides name their columns alike here, so that the two joins can stand below each other.
+    joined = [c[0].join(c[1], same(*more)).select(*[F.struct(*[F.col(f"{n}.{f}").alias(f) for f in d.columns]).alias(n) for n, d in (("a", x), ("b", y))]) for c, more in ((cold, ()), (dealt, ("_t0", "_t1")))]
+    return joined[0].union(joined[1])
+
+
 def candidates(feeds: dict[str, DataFrame], threshold: int = 70, own: str = OWN_TAX_ID) -> DataFrame:
     """Qualifying pairs of the three feeds: ``lslot, lid, lrank, rslot, rid, rrank, pass, score``; pass 0 reference, 1 identity, 2 score."""
     if not MIN_THRESHOLD <= threshold <= MAX_THRESHOLD:
@@ -135,7 +189,7 @@ def candidates(feeds: dict[str, DataFrame], threshold: int = 70, own: str = OWN_
     out = []
     for i, j in SLOT_PAIRS:
         left, right = feeds[SOURCES[i]], feeds[SOURCES[j]]
-        pairs = blocked_pairs(left, right)
+        pairs = blocked_pairs(left, right, threshold)
         full = pairs.join(left.alias("a"), F.col("left") == F.col("a.id")).join(right.alias("b"), F.col("right") == F.col("b.id"))
         full = full.where(F.coalesce(F.col("a.ref") == F.col("b.ref"), F.lit(True)))
         points, _ = score("a", "b", own)

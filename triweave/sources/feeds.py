@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from triweave.functions.money import json_money
 from triweave.functions.records import ENRICHED_MARKS, NO_NUMBER
 from triweave.schema import COLUMNS, INVOICE, OWN_TAX_ID, conform
+from triweave.storage import spread
 
 FEED_FILES = ("ksef_records.jsonl", "records.jsonl", "ksef_records.json", "records.json")
 
@@ -125,6 +126,7 @@ def mail_window(received: Column, year: int, sender: Column | None = None, sende
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice for each order: the table that the three derived feeds are views of."""
     o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    o = spread(o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "o_orderkey")
     nip = (F.lit(5000000000) + F.col("o_custkey")).cast("string")
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
     zone = F.col("c_nationkey") % 3

@@ -28,3 +28,42 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan of fewer splits than cores is dealt to all cores by key, before costly columns are computed; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that system names it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+class Cuts:
+    """Cuts of an iteration, deleted once a later step has been written and nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._made: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._made.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self._made[-1][0]
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            for made, path in self._made:
+                if made is df:
+                    fs, place = files(self.spark, path)
+                    fs.delete(place, True)
+            self._made = [(made, path) for made, path in self._made if made is not df]
+
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Delete all but these."""
+        self.drop(*[made for made, _ in self._made if not any(made is f for f in frames)])
