@@ -236,3 +236,12 @@ def test_stage_cases(spark, tmp_path, name, stage):
     if name == "pii":
         assert {r.text for r in out.where("doc_id = 5").collect()} == {"write to <EMAIL> or <IP>"}
     assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["7 ", "1,1,", "Bob ", "1", "A", "1 km ", "Bob 7 "])
+def test_decontamination_reads_long_repetitive_texts(spark, piece):
+    """Half a million characters of one kind: nothing recurses, and windows start at words only."""
+    item = "What is the sum of 3 apples and 4 pears that Bob has"
+    long = docs(spark, piece * (500_000 // len(piece)), piece * 1000 + ". " + item)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.matches(long, bench).collect()] == [(1, 1)]

@@ -19,7 +19,7 @@ window is looked up by its words as written. Window hashes of the benchmark are
 texts of documents with an anchor are read again.
 
 Defined results: null and empty texts, and items with fewer words than a window, match nothing. A repeated document id
-gives its best match with an item; rows with a null id are told apart by their text and keep the null. An empty
+gives its best match with an item; texts of millions of numbers, names or digits are read like others; rows with a null id are told apart by their text and keep the null. An empty
 benchmark leaves all documents clean. Only the named columns are read.
 """
 
@@ -51,7 +51,8 @@ SEPARATORS_WRITTEN = rf"[^{INSIDE}-\x01\x03]+"
 SENTENCE = r"(?<=(?:^|[.!?\n])\s{0,20}.)"
 UPPER = rf"\p{{Lu}}(?<![{INSIDE}].)"
 NAMES = rf"{UPPER}(?<!(?:^|[.!?\n])\s{{0,20}}.)\p{{Ll}}++(?![{INSIDE}])"
-NUMBERS = rf"\p{{N}}(?<![{INSIDE}].)\p{{N}}*+(?:[.,]\p{{N}}++)*(?![{INSIDE}])"
+# Groups repeat possessively: the matcher loops over those, and recurses into others, which long texts do not survive.
+NUMBERS = rf"\p{{N}}(?<![{INSIDE}].)\p{{N}}*+(?:[.,]\p{{N}}++(?![{INSIDE}]))*+(?![{INSIDE}])"
 
 
 def slotted(text: Column, written: bool) -> Column:
@@ -64,9 +65,9 @@ def slotted(text: Column, written: bool) -> Column:
     m = F.regexp_replace(m, NUMBERS, f"{NUM}$0{NUM_END}" if written else NUM)
     if written:
         m = F.regexp_replace(m, f"({UPPER}){SENTENCE}", f"{FIRST}$1")
-        m = F.regexp_replace(m, rf"(?<=\p{{N}})[.,](?=\p{{N}}[\p{{N}}.,]*{NUM_END})", BLANK)
+        m = F.regexp_replace(m, rf"({NUM}\p{{N}}++|\G\p{{N}}++)[.,](?=\p{{N}})", f"$1{BLANK}")  # from mark to mark of one number
     for slot, end in ((NAME, NAME_END), (NUM, NUM_END)):  # neighbours are one slot
-        m = F.regexp_replace(m, f"{end} +{slot}", BLANK) if written else F.regexp_replace(m, f"{slot}(?: +{slot})+", slot)
+        m = F.regexp_replace(m, f"{end} +{slot}", BLANK) if written else F.regexp_replace(m, f"{slot}(?: ++{slot})++", slot)
     m = F.regexp_replace(F.lower(m), rf"({NUM_END if written else NUM} *)({'|'.join(UNITS)})(?![{INSIDE}])", f"$1{UNIT}" + "$2" * written)
     return F.trim(F.regexp_replace(m, SEPARATORS_WRITTEN if written else SEPARATORS, " "))
 
@@ -93,7 +94,7 @@ def value_of(token: Column) -> Column:
 def window_hashes(df: DataFrame, words: str) -> DataFrame:
     """``df`` without the column ``words``, with ``at, h``: place and hash of each window of words with a blank between."""
     rest = [c for c in df.columns if c != words]
-    window = f"(?=({' '.join(['[^ ]++'] * WINDOW)}))[^ ]++ ?+"
+    window = f"(?<![^ ])(?=({' '.join(['[^ ]++'] * WINDOW)}))[^ ]++ ?+"  # at word starts only: a long word is passed once
     return df.select(*rest, F.posexplode(F.regexp_extract_all(words, F.lit(window), 1)).alias("at", "w")).select(*rest, "at", F.xxhash64("w").alias("h"))
 
 
