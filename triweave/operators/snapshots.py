@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from triweave.schema import COLUMNS
+from triweave.storage import names, write_new
 
 
 def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -25,11 +26,43 @@ def report_hash(key: Column, row_hash: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.count("*").cast("string"), part(1), part(17)), 256)
 
 
-def store_run(rows: DataFrame, store: str, year: int, run_id: int) -> None:
-    """Rows first, header last: a run counts once its header is there, so a failed run leaves nothing behind."""
-    rows.write.mode("overwrite").parquet(f"{store}/rows/year={year}/run_id={run_id}")
-    head = rows.sparkSession.read.parquet(f"{store}/rows/year={year}/run_id={run_id}").agg(F.count("*").alias("n_rows"), report_hash(F.col("row_key"), F.col("row_hash")).alias("report_hash"))
-    head.write.mode("overwrite").parquet(f"{store}/headers/year={year}/run_id={run_id}")
+def store_run(rows: DataFrame, store: str, year: int, run_id: int, previous: int | None = None) -> None:
+    """Rows first, header last: a run counts once its header is there, so a failed run leaves nothing behind.
+
+    With ``previous``, a committed run of the year, the header also counts what was added, removed and changed since.
+    """
+    spark, place = rows.sparkSession, f"{store}/rows/year={year}/run_id={run_id}"
+    rows.write.mode("overwrite").parquet(place)
+    written = spark.read.schema(rows.schema).parquet(place)
+    head = written.agg(F.count("*").alias("n_rows"), report_hash(F.col("row_key"), F.col("row_hash")).alias("report_hash"))
+    since = [F.lit(previous).cast("long").alias("previous_run_id"), *[F.lit(None).cast("long").alias(c) for c in ("added", "removed", "changed")]]
+    if previous is not None:
+        # both sides are one row
+        head = head.join(F.broadcast(diff(read_run(spark, store, year, previous), written)))
+        since = [since[0], "added", "removed", "changed"]
+    head.select("n_rows", "report_hash", *since).write.mode("overwrite").parquet(f"{store}/headers/year={year}/run_id={run_id}")
+
+
+def claim_run(spark: SparkSession, store: str, year: int) -> int:
+    """A run number that was never given out before, in any year: its claim is created exclusively, and stays.
+
+    A run that fails leaves its number unused.
+    """
+    taken = [int(x) for x in names(spark, f"{store}/claims") if x.isdigit()]
+    number = max(taken, default=0) + 1
+    while not write_new(spark, f"{store}/claims/{number:012}", str(year)):
+        number += 1
+    return number
+
+
+def append_run(rows: DataFrame, store: str, year: int) -> int:
+    """Store a run under the next number, with its difference to the last committed run of the year; the number."""
+    spark = rows.sparkSession
+    done = [int(x.split("=")[1]) for x in names(spark, f"{store}/headers/year={year}") if x.startswith("run_id=")]
+    whole = [n for n in sorted(done, reverse=True) if "_SUCCESS" in names(spark, f"{store}/headers/year={year}/run_id={n}")]
+    number = claim_run(spark, store, year)
+    store_run(rows, store, year, number, previous=next(iter(whole), None))
+    return number
 
 
 def read_run(spark: SparkSession, store: str, year: int, run_id: int) -> DataFrame:

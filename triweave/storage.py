@@ -43,6 +43,34 @@ def files(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file that is not there yet; false if it is."""
+    fs, place = files(spark, path)
+    try:
+        out = fs.create(place, False)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, place = files(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    fs, place = files(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
+
+
 class Cuts:
     """Cuts of an iteration, deleted once a later step has been written and nothing reads them any more."""
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from triweave.functions.records import PARSER_PREFIX, needs_retry
 from triweave.operators.candidates import reread
@@ -14,20 +13,20 @@ from triweave.operators.extraction import extract_documents
 from triweave.operators.mailbox import join_headers
 from triweave.schema import COLUMNS, INVOICE
 from triweave.sources.feeds import read_documents
+from triweave.sources.stores import KeyedStore
 from triweave.storage import cut
 
 PARSER_VERSION = "v2"
-REFRESH = 1_000_000  # batches of refreshes have numbers above this, those of the stream below
+READ = ("xml", "json", "txt", "eml", "pdf")  # extensions, in any case; a pdf is opaque
+
+
+def document_store(spark: SparkSession, store: str) -> KeyedStore:
+    return KeyedStore(spark, store, ("content_hash",))
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Current records: of each key the latest batch's, ``batch`` included; empty before the first sync."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], INVOICE).withColumn("batch", F.lit(None).cast("long"))
-    rows = spark.read.option("mergeSchema", "true").parquet(store)
-    latest = Window.partitionBy("content_hash").orderBy(F.desc("batch"))
-    return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*COLUMNS, F.col("batch").cast("long").alias("batch"))
+    """Current records; empty before the first sync."""
+    return document_store(spark, store).read(schema=INVOICE).select(*COLUMNS)
 
 
 def stamped(records: DataFrame) -> DataFrame:
@@ -36,19 +35,23 @@ def stamped(records: DataFrame) -> DataFrame:
 
 
 def sync_documents(spark: SparkSession, documents: str, store: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = extract_documents, headers: DataFrame | None = None) -> None:
-    """Parse files that the stream has not seen, skip contents the store has, append the rest; then stop.
+    """Parse files that the stream has not seen, skip contents the store has, add the rest; then stop.
 
-    ``headers`` fill the message fields. Exactly once: a batch writes its own folder, and a batch run again
-    overwrites it. Only the hashes of the store are read for a batch.
+    ``headers`` fill the message fields. Exactly once: the store keeps the number of the last batch with its version.
+    Only the buckets that a batch's hashes lie in are read and rewritten.
     """
-    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xml,json,txt,eml}").load(documents)
-    docs = files.select(F.sha2("content", 256).alias("content_hash"), F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("text"))
+    pattern = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in READ) + "}"
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(documents)
+    text = F.when(~F.lower("path").endswith(".pdf"), F.decode("content", "UTF-8"))
+    docs = files.select(F.sha2("content", 256).alias("content_hash"), F.col("path").alias("source_path"), text.alias("text"))
+    kept = document_store(spark, store)
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = read_store(spark, store).where(F.col("batch") != number).select("content_hash")
         once = batch.groupBy("content_hash").agg(F.min(F.struct("source_path", "text")).alias("d")).select("content_hash", "d.*")
+        known = kept.read(buckets=kept.met(once), schema=INVOICE).select("content_hash")
         fresh = stamped(parse(once.join(known, "content_hash", "left_anti")))
-        (fresh if headers is None else join_headers(fresh, headers)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        fresh = cut(fresh if headers is None else join_headers(fresh, headers)).select(*COLUMNS)
+        kept.merge(fresh, lambda stored, new: stored.select(*COLUMNS).unionByName(new), batch=(checkpoint, number))
 
     query = docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -59,8 +62,8 @@ def sync_documents(spark: SparkSession, documents: str, store: str, checkpoint:
 def refresh_documents(spark: SparkSession, documents: str, store: str, parse: Callable[[DataFrame], DataFrame] = extract_documents, version: str = PARSER_VERSION) -> int:
     """Read again what an older parser read or what failed; what cannot be read stays as it is. Number of changed records.
 
-    The changed records are written as one more batch, and only if there are any. A record keeps its key, so a document
-    that changed on disk is one for ``sync_documents``.
+    The changed records replace the stored ones in one new version, and only if there are any. A record keeps its key,
+    so a document that changed on disk is one for ``sync_documents``.
     """
     stored = read_store(spark, store)
     due = stored.where(~F.array_contains("warnings", PARSER_PREFIX + version) | needs_retry())
@@ -68,11 +71,10 @@ def refresh_documents(spark: SparkSession, documents: str, store: str, parse: Ca
         return 0
     files = read_documents(spark, documents).join(due.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_semi")
     parsed = parse(files.where("text is not null"))
-    new = reread(due.select(*COLUMNS), parsed, version)
+    new = reread(due, parsed, version)
     old = due.select(F.struct(*COLUMNS).alias("_old"))
-    changed = cut(new.join(old, F.struct(*[new[c] for c in COLUMNS]).eqNullSafe(F.col("_old")), "left_anti"))
+    changed = cut(new.join(old, F.struct(*[new[c] for c in COLUMNS]).eqNullSafe(F.col("_old")), "left_anti").select(*COLUMNS))
     n = changed.count()
     if n:
-        number = max(stored.agg(F.max("batch")).first()[0], REFRESH) + 1
-        changed.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        document_store(spark, store).merge(changed, lambda stored, new: stored.join(new.select("content_hash"), "content_hash", "left_anti").select(*COLUMNS).unionByName(new))
     return n
