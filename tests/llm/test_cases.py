@@ -13,7 +13,7 @@ from triweave.llm import ann, bpe, chat, decontam, html, langid, minhash, pii, t
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("doc", "th", "t", "node", "key", "_text", "_doc", "_th", "cues", "patterns", "_dirty", "_gone", "keys", "spans", "page", "url_", "item")
+CLASH = ("doc", "th", "t", "node", "key", "_text", "_doc", "_th", "cues", "patterns", "_dirty", "_gone", "keys", "spans", "page", "url_", "item", *sorted({p for m in chat.MAPPINGS for p in m.required + m.optional if "[" not in p and p not in ("conv_id", "turn", "role", "text")}))
 
 
 def docs(spark, *texts, ids=None):
@@ -156,6 +156,24 @@ def test_chat_passengers_optional_fields_and_ties(spark):
         chat.turns_of_rows(rows.drop("role"))
 
 
+def test_chat_passengers_that_other_mappings_name_and_parts(spark):
+    records = {
+        '{"prompt":"a","response":"b","context":"c"}': ("prompt_response", [("user", "a"), ("assistant", "b")]),
+        '{"messages":[{"role":"user","content":"q"}],"input":"i","prompt":"p"}': ("messages", [("user", "q")]),
+        '{"instruction":"i","output":"o","context":"c"}': ("instruction_output", [("user", "i"), ("assistant", "o")]),
+        '{"question":"q","answer":"a","context":"c","system":"s","role":"r"}': ("question_answer", [("user", "c\n\nq"), ("assistant", "a")]),
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"x"},"y",{"type":"image","url":"u"}]}]}': ("messages", [("user", 'xy{"type": "image", "url": "u"}')]),
+        '{"messages":[{"role":"user","content":[1,2]}]}': ("messages", [("user", "[1, 2]")]),
+        '{"messages":[{"role":"user"},"z"]}': (None, None),
+        '{"messages":{"role":"user"},"prompt":"p"}': (None, None),
+        '{"role":"user","text":"t","conv_id":1,"turn":0}': (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    got = chat.turns_of_records(df, keep=("id",)).orderBy("id").collect()
+    assert [(r.layout, r.turns and [tuple(t) for t in r.turns]) for r in got] == list(records.values())
+    assert all(r.fingerprint for r in got)
+
+
 def test_token_ids_equal_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -1,15 +1,17 @@
 """Chat formatting: a hash of nested field paths selects a declarative mapping to canonical turns.
 
 One table of mappings serves JSON records of mixed layouts (``turns_of_records``) and tables with a row for each
-turn (``turns_of_rows``): the paths that some mapping names are hashed, others are passengers, and the fingerprint
-is looked up. ``format_turns`` writes the turns with one template and marks the loss spans; ``parse`` reads the
-output back.
+turn (``turns_of_rows``): for each mapping the paths that it names itself are hashed, all others are passengers, and
+the fingerprint is looked up. If several mappings fit, the one that names most of the paths is taken, then the first of
+the table. ``format_turns`` writes the turns with one template and marks the loss spans; ``parse`` reads the output back.
 
 Defined results: a record that is null, no JSON, or of an unknown layout keeps its row, with null turns and, if it
-parses, its fingerprint. Optional fields may be absent, and an empty array of messages gives no turns. Null texts and
-roles count as empty. Rows of one conversation are ordered by their order column, role and text (nulls first), so
+parses, the fingerprint of all its paths. Optional fields may be absent, and an empty array of messages gives no turns;
+one that holds anything but objects is of an unknown layout. A text given as a list of parts is the parts' texts one
+after another; a part without a text (an image) stays as its JSON. Null texts and roles count as empty. Rows of one conversation are ordered by their order column, role and text (nulls first), so
 ties and repeated rows give one result; all are kept. Rows without a conversation id form one conversation with a
-null id. Empty tables give empty results. Further columns are not read. A conversation is formatted as one value, so
+null id. Empty tables give empty results. Further columns are not read, whatever
+their names. A conversation is formatted as one value, so
 memory is bounded by the longest single conversation.
 """
 
@@ -81,18 +83,22 @@ def fingerprint(paths: Iterable[str]) -> str:
 
 
 class Selection:
-    """Fingerprints of all layouts of a mapping table. Paths that no mapping names are passengers and not hashed."""
+    """Fingerprints of the layouts of each mapping. Paths that a mapping does not name are its passengers and not hashed."""
 
     def __init__(self, mappings: tuple[Mapping, ...]):
-        self.known = {p for m in mappings for paths in m.layouts() for p in paths}
-        self.of: dict[str, Mapping] = {}
+        self.of: list[tuple[Mapping, set[str], set[str]]] = []  # mapping, its paths, its fingerprints
         for m in mappings:
-            for paths in m.layouts():
-                self.of.setdefault(fingerprint(paths), m)
+            layouts = list(m.layouts())
+            self.of.append((m, {p for paths in layouts for p in paths}, {fingerprint(paths) for paths in layouts}))
 
-    def choose(self, paths: Iterable[str]) -> tuple[str, Mapping | None]:
-        found = fingerprint(p for p in paths if p in self.known)
-        return found, self.of.get(found)
+    def choose(self, paths: Iterable[str], rows: bool) -> tuple[str, Mapping | None]:
+        """Fingerprint and mapping of a record, or of a table with a row for each turn; of all paths and None if none fits."""
+        paths, most, best = set(paths), 0, None
+        for m, own, layouts in self.of:
+            mine = paths & own
+            if bool(m.rows) == rows and len(mine) > most and (found := fingerprint(mine)) in layouts:
+                most, best = len(mine), (found, m)
+        return best or (fingerprint(paths), None)
 
 
 def paths_of_schema(schema: T.DataType, at: str = "") -> set[str]:
@@ -112,7 +118,9 @@ def paths_of_value(value: object, at: str = "") -> set[str]:
 
 
 def written(value: object) -> str:
-    """A leaf as text: null is empty, numbers and nested values are JSON."""
+    """A leaf as text: null is empty, a list of parts is their texts, numbers and other nested values are JSON."""
+    if isinstance(value, list) and value and all(isinstance(x, str) or isinstance(x, dict) and "type" in x for x in value):
+        return "".join(x if isinstance(x, str) else x["text"] if isinstance(x.get("text"), str) else json.dumps(x, ensure_ascii=False) for x in value)
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
@@ -134,10 +142,10 @@ def record_turns(record: str | None, selection: Selection) -> tuple[str | None,
     """Fingerprint, mapping name and turns of one JSON record."""
     try:
         value = json.loads(record or "")
-        found, m = selection.choose(paths_of_value(value))
+        found, m = selection.choose(paths_of_value(value), rows=False)
     except (ValueError, RecursionError):
         return None, None, None
-    if m is None or m.rows or not isinstance(value, dict) or (m.each and not isinstance(value.get(m.each[0]), list)):
+    if m is None or not isinstance(value, dict) or (m.each and not (isinstance(value.get(m.each[0]), list) and all(isinstance(x, dict) for x in value[m.each[0]]))):
         return found, None, None
     return found, m.name, mapped(m, value)
 
@@ -164,7 +172,7 @@ def turns_of_rows(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
 
     A table of no known layout is an error, as it has no rows to keep apart.
     """
-    found, m = Selection(mappings).choose(paths_of_schema(rows.schema))
+    found, m = Selection(mappings).choose(paths_of_schema(rows.schema), rows=True)
     if m is None or not m.rows:
         raise ValueError(f"unknown layout {found}: {sorted(paths_of_schema(rows.schema))}")
     conversation, order, role, text = m.rows
