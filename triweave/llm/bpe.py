@@ -34,8 +34,8 @@ MAX_WORDS = 120_000
 
 # Unicode White_Space, as the vocabulary files' patterns mean by \s.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-# Fixed value: the word pattern of byte-level vocabularies.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the word pattern of byte-level vocabularies; its words of letters, which nothing else fits, are tried first.
+BYTE_LEVEL = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def decimal_latin(text: str) -> bool:
@@ -103,6 +103,14 @@ class Vocabulary:
         return text.replace("Σ", "σ").lower() if self.lower else text
 
 
+class Places(dict):
+    """Place of each word; a word that is asked for first gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Codec:
     """Encodes and decodes texts with a vocabulary; one per task."""
 
@@ -127,7 +135,7 @@ class Codec:
         best = np.argsort(-self.uses, kind="stable")[:keep] if keep else np.zeros(0, np.int64)
         self.flat, self.size = (self.joined(best), self.size[best]) if keep else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.uses = self.uses[best] // 2 if keep else np.zeros(0, np.int64)
-        self.ids: dict[str, int] = {names[k]: n for n, k in enumerate(best.tolist())}
+        self.ids = Places({names[k]: n for n, k in enumerate(best.tolist())})
         self.start = np.cumsum(self.size) - self.size
 
     def split(self, text: str) -> list[str]:
@@ -146,20 +154,19 @@ class Codec:
         """Ids of each text; the new words of all of them are merged together."""
         if len(self.ids) > self.max_words:
             self.forget(self.max_words // 2)
-        listed = [self.split(text) for text in texts]
-        coded = pa.array(list(itertools.chain.from_iterable(listed)), pa.string()).dictionary_encode()
         known, before = self.ids, len(self.ids)
-        here = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        listed = []
+        for text in texts:
+            words = self.split(text)
+            listed.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         if len(known) > before:
             flat, size = self.merged(list(itertools.islice(known, before, None)))
             self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
             self.start = np.cumsum(self.size) - self.size
             self.uses = np.concatenate([self.uses, np.zeros(len(known) - before, np.int64)])
-        at = coded.indices.to_numpy()
-        self.uses[here] += np.bincount(at, minlength=len(here))
-        every = here[at] if len(here) else here
-        ends = np.cumsum([len(words) for words in listed], dtype=np.int64)
-        return [self.joined(every[end - len(words) : end]) for end, words in zip(ends.tolist(), listed, strict=True)]
+        if listed:
+            self.uses += np.bincount(np.concatenate(listed), minlength=len(known))
+        return [self.joined(words) for words in listed]
 
     def joined(self, words: np.ndarray) -> np.ndarray:
         if not len(words):

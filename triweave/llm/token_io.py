@@ -39,7 +39,7 @@ from triweave.llm import bpe
 SEGMENT = 262_144
 BLOCK = 128
 PERCENTILE = 0.9
-MAX_WORDS = 200_000  # distinct words that a worker remembers
+MAX_WORDS = 400_000  # distinct words that a worker remembers
 STEP = 4_096  # words asked for at once
 CHARS = 1_000_000  # of text encoded at once
 MAGIC = b"PFR1"
@@ -149,6 +149,17 @@ class LibraryCodec(bpe.Codec):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.token_sizes = np.array([len(b) for b in self.v.token_bytes], dtype=np.int64) if self.v.bytewise else None  # in bytes, if ids spell all bytes
+
+    def side_by_side(self, words: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that each begin with the only blank in them, end to end, and how many each has."""
+        if self.token_sizes is None:
+            out = self.library.encode(words, add_special_tokens=False)
+            return np.array(out.ids, dtype=np.int32), np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=words.count(" "))
+        ids = np.array(self.library.encode_batch_fast([words], add_special_tokens=False)[0].ids, dtype=np.int32)
+        starts = np.flatnonzero(np.frombuffer(words.encode(), np.uint8) == ord(" "))
+        ends = np.cumsum(self.token_sizes[ids])
+        return ids, np.diff(np.searchsorted(ends, starts, side="right"), append=len(ids))
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [w[1:] if w[0] == "\0" and w[1:] in self.v.added else w for w in words]
@@ -157,12 +168,11 @@ class LibraryCodec(bpe.Codec):
         for a in range(0, len(plain), STEP):  # the library's own results are large
             at = np.flatnonzero(joins[a : a + STEP]) + a
             # words of a blank and letters stay words side by side, so one call does for many
-            out = self.library.encode("".join(map(plain.__getitem__, at.tolist())), add_special_tokens=False)
-            size[at] = np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(at))
+            ids_of, size[at] = self.side_by_side("".join(map(plain.__getitem__, at.tolist())))
             rest = np.flatnonzero(~joins[a : a + STEP]) + a
             ids = [e.ids for e in self.library.encode_batch_fast([plain[k] for k in rest.tolist()], add_special_tokens=False)]
             size[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
-            found.append((at, np.array(out.ids, dtype=np.int32)))
+            found.append((at, ids_of))
             found.append((rest, np.fromiter(itertools.chain.from_iterable(ids), np.int32)))
         start = np.cumsum(size) - size
         flat = np.empty(int(size.sum()), np.int32)
