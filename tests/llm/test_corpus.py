@@ -217,6 +217,7 @@ def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.97
+    assert np.mean([r.predicted for r in got if r.toxic]) >= 0.9 and np.mean([r.predicted for r in got if not r.toxic]) < 0.01
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out, _ = toxicity.score(docs(spark, None, "", "you stupid idiot", "kind words"), none)
     assert [r.score >= 0.5 for r in out.orderBy("doc_id").collect()] == [False, False, True, False]
@@ -224,9 +225,13 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_toxicity_learns_from_unlabelled_documents_and_doubts_annotators(spark):
     assert toxicity.shouts("a " * 2500 + "LOUD " * 5000, 7500) and not toxicity.shouts("LOUD " * 800 + "quiet words " * 2000, 4800)
-    votes = np.array([[0] * 8 + [-1], [1] * 7 + [0, 1], [1] * 7 + [0, -1], [1] * 7 + [0, 0]])
-    post, accuracy = toxicity.label_posteriors(votes, np.array([900.0, 80, 1, 100]), voters=(*"abcdefgh", "annotator"))
-    assert post[2] > 0.5 and post[3] > 0.9 and 0.9 < accuracy["annotator"] < 1  # one annotator against all other voters
+    fires, count = np.array([[0.0] * 8, [1.0] * 7 + [0.0]]), np.array([[900.0, 0, 0], [1, 100, 80]])
+    fit = lambda parts: toxicity.fitted(lambda m, old: sum(toxicity.moments(fires[x], count[x], m, old) for x in parts), (*"abcdefgh", "annotator"))
+    model, accuracy = fit([slice(0, 2)])
+    post = toxicity.beliefs(fires, count, model)[1]
+    assert post[0] > 0.5 and post[1] > 0.9 and 0.9 < accuracy["annotator"] < 1  # one annotator against all other voters
+    assert np.allclose(toxicity.beliefs(fires, count, fit([slice(0, 1), slice(1, 2)])[0])[1], post)  # sums of two tasks
+    assert toxicity.cues_in({"abcd", "abce"}) >= {"abc*", "abc**"} and "abcd**" not in toxicity.cues_in({"abcdx", "abce"}) and set(toxicity.cues_with("abcd**")) == {"abcd", "abc*", "abcd*", "abc**", "abcd**"}
     texts = ["zugmob river", "calm river", "quiet lake"] * 60 + ["moron zugmob"] * 80 + ["a moron here", "a quiet here"]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(180)], "doc_id long, toxic int")
     out, model = toxicity.score(docs(spark, *texts), labels)
