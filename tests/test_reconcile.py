@@ -217,6 +217,20 @@ def test_attachments_children_first(spark):
     assert [(r.ordinal, r.filename, r.attachment_id) for r in got] == [(0, "leaf.pdf", "a1")]
 
 
+def test_attachments_of_deep_trees_in_one_job(spark):
+    deep = '{"filename":"leaf.pdf","body":{"attachmentId":"a1"}}'
+    for k in range(200):
+        deep = '{"filename":"n%d.txt","body":{"data":"d"},"parts":[%s,7,null]}' % (k, deep)
+    odd = [("x", "no json"), ("y", "[1]"), ("z", ""), ("n", '{"filename":3.5,"mimeType":"text/plain","body":[],"parts":{}}'), ("w", '{"filename":"  ","mimeType":"text/plain","body":{"data":{"a":[1,"é"]}}}'), (None, '{"filename":"a.pdf","body":{"data":"d"}}')]
+    df = spark.createDataFrame([("m", deep), *odd], "id string, payload string")
+    out = mailbox.explode_attachments(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in out.collect()]
+    assert [g[1:3] for g in got if g[0] == "m"] == [(0, "leaf.pdf"), *((k + 1, f"n{k}.txt") for k in range(200))]
+    assert [g for g in got if g[0] != "m"] == [("w", 0, "w_body_0.txt", '{"a":[1,"é"]}', None), (None, 0, "a.pdf", "d", None)]
+    assert mailbox.explode_attachments(df.where("false")).count() == 0
+
+
 def test_cached_record_must_agree_in_every_field(spark):
     full = inv("FV/1", due_date=dt.date(2026, 1, 9), net_amount_minor=8000, seller_name="Abc Ltd", warnings=["parser:v2"])
     others = ({"seller_tax_id": "2222222222"}, {"due_date": dt.date(2026, 1, 8)}, {"net_amount_minor": 7000}, {"seller_name": "Xyz Ltd"}, {"seller_name": None}, {}, {"warnings": []}, {"warnings": ["parser:v2", "OCR failed"]})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,8 @@ from triweave.schema import OWN_TAX_ID
 ALLOWED = ("xml", "json", "txt", "eml", "pdf")
 # File names that are no invoices.
 NO_INVOICE = ("receipt", "statement", "regulamin", "warunki", "informacje", "upowa", "oferta", "umowa", "order", "label", "bilet", "dr_skan", "wypowiedzenie", "grafklient", "cennik", "polityka", "pasek", "wishlist", "terms", "portfolio", "kosztorys", "formularz", "prawo_jazdy", "zalacznik")
+ATTACHMENT = {"message_id": "string", "ordinal": "int", "filename": "string", "data": "string", "attachment_id": "string"}
+ATTACHMENT_TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
 ATTEMPT = "content_hash string, model string, version string, outcome string, attempted_at timestamp, detail string"
 
 
@@ -23,25 +29,54 @@ def headers_map(headers) -> F.Column:
     return F.map_from_entries(last)
 
 
+def _text(value) -> str | None:
+    """A JSON value as text: strings as they are, others as JSON."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _parts(payload: str | None) -> Iterator[tuple[str | None, str | None, str | None, str | None]]:
+    """``filename, mime, data, attachment_id`` of each part of a tree, children before their parent."""
+    try:
+        stack = [(json.loads(payload or "null"), False)]
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than a parser takes
+        return
+    while stack:
+        part, walked = stack.pop()
+        if not isinstance(part, dict):
+            continue
+        children = part.get("parts")
+        if isinstance(children, list) and children and not walked:
+            stack.append((part, True))
+            stack.extend((child, False) for child in reversed(children))
+            continue
+        body = part.get("body") if isinstance(part.get("body"), dict) else {}
+        yield (_text(part.get("filename")) or "").strip(" ") or None, _text(part.get("mimeType")), _text(body.get("data")), _text(body.get("attachmentId"))
+
+
 def explode_attachments(messages: DataFrame, message_id: str = "id", payload: str = "payload") -> DataFrame:
     """``message_id, ordinal, filename, data, attachment_id`` of the allowed parts of message trees (JSON text), children first.
 
-    Trees are read to any depth, one level a step. Unnamed plain-text parts get a name; numbering counts every allowed
-    part, and parts with neither data nor an attachment id go after it.
+    Each tree is walked once, to any depth that the JSON parser takes, in the task that reads its message: no shuffle.
+    Unnamed plain-text parts get a name; numbering counts every allowed part, and parts with neither data nor an
+    attachment id go after it. A null payload, one that is no JSON and a part that is no object have no attachments.
     """
-    level = messages.select(F.col(message_id).alias("message_id"), F.array().cast("array<int>").alias("path"), F.try_parse_json(payload).alias("v"))
-    get = lambda p: F.try_variant_get("v", p, "string")
-    parts = None
-    while parts is None or not level.isEmpty():
-        here = level.select("message_id", F.concat("path", F.array(F.lit(2**30))).alias("key"), F.nullif(F.trim(get("$.filename")), F.lit("")).alias("named"), get("$.mimeType").alias("mime"), get("$.body.data").alias("data"), get("$.body.attachmentId").alias("attachment_id"))
-        parts = here if parts is None else parts.unionByName(here)
-        children = F.try_variant_get("v", "$.parts", "array<variant>")
-        level = level.select("message_id", "path", F.posexplode(children).alias("i", "v")).select("message_id", F.concat("path", F.array("i")).alias("path"), "v")
-    body = F.col("named").isNull() & (F.col("mime") == "text/plain")
-    kept = parts.where(body | F.lower(F.regexp_extract("named", "[.]([^.]+)$", 1)).isin(*ALLOWED))
-    kept = kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("message_id").orderBy("key")) - 1)
-    name = F.coalesce("named", F.concat("message_id", F.lit("_body_"), F.col("ordinal").cast("string"), F.lit(".txt")))
-    return kept.where(F.col("data").isNotNull() | F.col("attachment_id").isNotNull()).select("message_id", "ordinal", name.alias("filename"), "data", "attachment_id")
+    source = messages.select(F.col(message_id).cast("string").alias("message_id"), F.col(payload).alias("payload"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, n = [], 0
+                for named, mime, data, attachment in _parts(tree.as_py()):
+                    body = named is None and mime == "text/plain"
+                    if not body and (named is None or "." not in named or named.rsplit(".", 1)[1].lower() not in ALLOWED):
+                        continue
+                    if data is not None or attachment is not None:
+                        rows.append((of, n, named or (f"{of}_body_{n}.txt" if of is not None else None), data, attachment))
+                    n += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ATTACHMENT_TYPES, strict=True)], names=list(ATTACHMENT))
+
+    return source.mapInArrow(walk, ", ".join(f"{c} {t}" for c, t in ATTACHMENT.items()))
 
 
 def join_headers(records: DataFrame, headers: DataFrame) -> DataFrame:
