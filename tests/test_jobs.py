@@ -94,6 +94,28 @@ def test_year_table(spark):
     assert touched.where("touched").count() == 1 and year_table.visible(t, True).count() == 3
 
 
+def test_refresh_of_touched_rows_equals_a_full_rebuild(spark):
+    mail = [inv(f"FV/{k}", tax=f"{k}" * 10, source_path=f"p{k // 2}") for k in range(1, 7)]
+    now = feed(spark, "mail", *mail)
+    r = rows.reconcile({"mail": now, "ksef": feed(spark, "ksef", inv("FV/2", ksef_reference="R", tax="2222222222")), "saldeo": feed(spark, "saldeo", inv("FV/3", tax="3333333333"))})
+    status = spark.createDataFrame([(5, None)], "document_id long, accounting boolean")
+    files = spark.createDataFrame([("p1", "s1", "found"), ("p2", "s2", "found"), ("p9", "s9", "found")], "source_path string, file_sha256 string, own_id_check string")
+    sent = spark.createDataFrame([("s2", "uploaded", 2026, 1)], "file_sha256 string, state string, period_year int, period_month int")
+    table, plan = year_table.year_table(r, 2026, today(), status, status, files), uploads.upload_plan(r, files, sent, 2026, today())
+    new = {1: {"seller_name": "Renamed Ltd"}, 2: {"source_path": "p9"}, 4: {"issue_date": dt.date(2020, 1, 1), "sale_date": None}, 5: {}}
+    changed = feed(spark, "mail", *[inv(f"FV/{k + 1}", tax=f"{k + 1}" * 10, source_path=f"p{(k + 1) // 2}", content_hash=f"mail{k}") | d for k, d in new.items()])
+    after, got = year_table.refresh_rows(table, r, changed, 2026, today(), status, status, files)
+    full = year_table.year_table(year_table.apply_mail_update(r, changed).drop("touched"), 2026, today(), status, status, files)
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert rows_of(got) == rows_of(full) != rows_of(table) and after.count() == r.count() and got.count() < table.count()
+    marked = table.withColumn("built", F.lit("before"))
+    _, partly = year_table.refresh_rows(marked, r, changed, 2026, today(), status, status, files)
+    assert partly.where("built is null").count() == 2  # two of three touched rows are still in the year; an equal record touches nothing
+    again = uploads.refresh_plan(plan, r, changed, files, sent, 2026, today())
+    assert rows_of(again) == rows_of(uploads.upload_plan(after, files, sent, 2026, today())) != rows_of(plan)
+    assert rows_of(uploads.refresh_plan(plan, r, changed.where("false"), files, sent, 2026, today())) == rows_of(plan)
+
+
 def test_overrides_and_stores(spark, tmp_path):
     before, after = feed(spark, "saldeo", inv("1"), inv("2")), feed(spark, "saldeo", inv("1", currency="EUR"), inv("2"))
     new = survivorship.override_from_edit(before, after)

@@ -114,6 +114,19 @@ def apply_mail_update(rows: DataFrame, changed: DataFrame) -> DataFrame:
     return out.select(*[F.when(touched, F.col("_new")).otherwise(F.col("mail")).alias("mail") if c == "mail" else F.col(c) for c in rows.columns], touched.alias("touched"))
 
 
+def refresh_rows(table: DataFrame, rows: DataFrame, changed: DataFrame, year: int, today: Column, shown: DataFrame, fresh: DataFrame, files: DataFrame, own: str = OWN_TAX_ID) -> tuple[DataFrame, DataFrame]:
+    """The report's rows and its year table after mail records have changed; only rows that hold one are built again.
+
+    ``table`` is what ``year_table`` gave for ``rows``, with further columns if need be, which are null in new rows. A
+    row that a changed date moves into the year or out of it comes or goes. Statuses and files are looked up for the
+    touched rows alone, so other rows keep what was read before.
+    """
+    after = apply_mail_update(rows, changed)
+    again = year_table(after.where("touched").drop("touched"), year, today, shown, fresh, files, own)
+    kept = apply_mail_update(table, changed).where("not touched").select(*table.columns)
+    return after.drop("touched"), kept.unionByName(again, allowMissingColumns=True)
+
+
 def action_split(chosen: DataFrame) -> dict[str, DataFrame]:
     """Rows with an ``action`` (upload, approve, reject) that they accept, as one table each: mail files to upload, documents to mark."""
     pick = lambda a: chosen.where(F.col("action") == a)
