@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,49 @@ def test_sync_is_incremental(spark, tmp_path):
     sync_documents(*args)
     got = read_store(spark, f"file://{tmp_path}/store").collect()
     assert sorted((r.invoice_number, r.gross_amount_minor) for r in got) == [("FV/1/2026", 1250), ("INV-7", 300)]
+
+
+def shuffle_files(spark):
+    return {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+
+def test_cuts_free_their_shuffle_files(spark):
+    """A job of many cuts held the shuffle files of all of them until it ended."""
+    from triweave.storage import SHUFFLE_CLEANUP, cut
+
+    before, setting = shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
+    made = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    after = shuffle_files(spark)
+    assert made.count() == 7 and not after - before
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_reconcile_deletes_what_only_its_steps_read(spark):
+    """Deduplicated and prepared feeds stood on the disk after the rows."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("cut-*"))
+    got, _ = run(spark, mail=[inv("1/2026"), inv("2/2026")], ksef=[inv("1/2026")], saldeo=[inv("2/2026")])
+    left = [spark.read.parquet(f"file://{p}").columns for p in set(shared.glob("cut-*")) - before]
+    assert len(got) == 2 and not [c for c in left if "tokens" in c or "content_hash" in c]
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    """A file of many splits with one row group was read, and all that follows done, by one task."""
+    from triweave.storage import spread
+
+    spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+    try:
+        df = spark.read.parquet(f"file://{tmp_path}/one")
+        assert df.rdd.getNumPartitions() >= 4 and len(df.groupBy(F.spark_partition_id()).count().collect()) == 1
+        assert len(spread(df, "id").groupBy(F.spark_partition_id()).count().collect()) >= 4
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_ties_of_duplicates_go_by_content(spark):
+    """Contents are compared among the most complete records of a key only."""
+    recs = [inv("5/2026", seller_name="b", content_hash="x2"), inv("5/2026", seller_name="a", content_hash="x3"), inv("5/2026", content_hash="x1"), inv("6/2026", content_hash="y")]
+    feed_ = feed(spark, "mail", *recs)
+    assert sorted(r.content_hash for r in matching.dedupe(feed_).collect()) == ["x2", "y"]
+    assert "to_json" not in matching.dedupe(feed_)._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
