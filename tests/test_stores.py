@@ -10,7 +10,7 @@ from triweave.operators import snapshots
 from triweave.schema import COLUMNS, INVOICE
 from triweave.sources import stores
 from triweave.sources.stores import Conflict, KeyedStore
-from triweave.storage import names
+from triweave.storage import names, read_text, write_new
 
 
 def invoices(spark, *rows):
@@ -117,6 +117,19 @@ def test_run_numbers_are_never_reused(spark, tmp_path):
     assert sorted(claimed) == list(range(6, 14)) and len(names(spark, f"{store}/claims")) == 13
 
 
+def test_a_file_is_created_by_one_of_many_writers(spark, tmp_path):
+    """Hadoop's local file system looks first and then creates, so two of them could both be told that they did."""
+    won = []
+
+    def race(k):
+        won.append([write_new(spark, f"file://{tmp_path}/new/{n:03}", str(k)) for n in range(60)])
+
+    many = [threading.Thread(target=race, args=(k,)) for k in range(8)]
+    [t.start() for t in many], [t.join() for t in many]
+    assert [sum(w) for w in zip(*won, strict=True)] == [1] * 60
+    assert not write_new(spark, f"file://{tmp_path}/new/000", "late") and read_text(spark, f"file://{tmp_path}/new/000") != "late"
+
+
 def test_days_of_a_chain_keep_their_runs(spark, tmp_path, monkeypatch):
     from triweave.plans import chain
 
