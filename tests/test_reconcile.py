@@ -286,6 +286,43 @@ def test_reconcile_deletes_what_only_its_steps_read(spark):
     assert len(got) == 2 and not [c for c in left if "tokens" in c or "content_hash" in c]
 
 
+def test_records_are_shuffled_in_passes(spark, monkeypatch):
+    """Whole records, and keys that pairs are found by, stood on the disks in the shuffle files of one job; rows are the same."""
+    from triweave.storage import Cuts
+
+    largest = {}
+    real = Cuts.cut_all
+
+    def cut_all(self, parts):
+        sizes = []
+
+        def counted():
+            for df in parts:
+                sizes.append(df.count())
+                yield df
+
+        out = real(self, counted())
+        largest.setdefault(frozenset(out.columns), []).append(sizes)
+        return out
+
+    monkeypatch.setattr(Cuts, "cut_all", cut_all)
+    numbers = [f"FV/{k}/2026" for k in range(80)]
+    got, _ = run(spark, mail=[inv(n) for n in numbers], ksef=[inv(n) for n in numbers], saldeo=[inv(n) for n in numbers])
+    assert len(got) == 80
+    rows_ = largest[frozenset(("_row", "mail", "ksef", "saldeo", "_key"))]
+    assert sum(rows_[0]) == 80 and len(rows_[0]) >= 4 and max(rows_[0]) < 40
+    assert all(len(sizes) >= 3 for sizes in largest[frozenset(("left", "right"))])
+
+
+def test_duplicates_of_many_keys_merge_in_passes(spark):
+    """Rows of a key merge whatever pass it falls in, and no other row goes."""
+    numbers = [f"FV/{k}/2026" for k in range(30)]
+    mail = [inv(n, gross_amount_minor=5000 + k) for k, n in enumerate(numbers)]
+    again = [inv(n, gross_amount_minor=5000 + k, content_hash=f"again{k}", currency="EUR") for k, n in enumerate(numbers) if k % 3 == 0]
+    _, out = run(spark, mail=mail + again)
+    assert out.count() == 30 and out.select("mail.invoice_number").distinct().count() == 30
+
+
 def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
     """A file of many splits with one row group was read, and all that follows done, by one task."""
     from triweave.storage import spread
