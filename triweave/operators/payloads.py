@@ -15,6 +15,7 @@ from triweave.functions.money import amounts_inconsistent, decimal_to_minor, for
 from triweave.functions.numbers import clean_number, tax_id_checksum
 from triweave.functions.records import FILENAME_NUMBER, MODEL_PREFIX, MODEL_SUFFIX, clean_name, is_placeholder, missing_core_fields
 from triweave.schema import COLUMNS
+from triweave.storage import cut
 
 # The fields of a payload.
 FIELDS = ("invoice_number", "issue_date", "sale_date", "due_date", "gross_amount", "net_amount", "vat_amount", "currency", "seller_tax_id", "buyer_tax_id", "seller_name", "buyer_name")
@@ -131,32 +132,39 @@ def apply_payloads(records: DataFrame, answers: DataFrame, model: str) -> tuple[
     Gaps are filled. Inconsistent amounts give way to a consistent triple, a number guessed from the file name to one
     that was read. An answer is applied as a whole: not if it is invalid, core fields are missing after it, or net and
     tax do not make the gross. Of several answers of a document the first by content counts.
+
+    What was read out of the answers is written before records meet it, and the records after them before they are told
+    apart: both results read the same ones, and no later column works an earlier one out again.
     """
     a = answers.groupBy("content_hash").agg(F.min("answer").alias("answer")).withColumn("payload", payload_of(F.col("answer")))
-    a = normalised(a).withColumnRenamed("content_hash", "_h")
+    a, p = normalised(a).withColumnRenamed("content_hash", "_h"), lambda f: F.col(f"p_{f}")
+    value = {"invoice_number": F.nullif(clean_number(p("invoice_number")), F.lit("")), "currency": norm_currency(p("currency"))}
+    value |= {f: decimal_to_minor(p(f)) for f in MONEY} | {d: parse_date(p(d)) for d in DATES} | {i: p(i) for i in IDS} | {n: clean_name(p(n)) for n in NAMES}
+    a = cut(a.select("_h", "answer", "payload", "notes", "problems", *[value[f].alias(f"v_{f}") for f in FIELDS]))
     rows = records.select(F.struct(*COLUMNS).alias("r"), "content_hash").join(a, F.col("content_hash") == F.col("_h"), "left")
-    r, p = F.col("r"), lambda f: F.col(f"p_{f}")
-    number = F.nullif(clean_number(p("invoice_number")), F.lit(""))
+    r, v = F.col("r"), lambda f: F.col(f"v_{f}")
+    number = v("invoice_number")
     guessed = F.array_contains(r["warnings"], FILENAME_NUMBER)
-    triple = {m: decimal_to_minor(p(f"{m}_amount")) for m in ("net", "vat", "gross")}
+    triple = {m: v(f"{m}_amount") for m in ("net", "vat", "gross")}
     swap = amounts_inconsistent(*[r[f"{m}_amount_minor"] for m in triple]) & F.coalesce(triple["net"] + triple["vat"] == triple["gross"], F.lit(False))
     better = guessed & number.isNotNull()
     other = better & ~number.eqNullSafe(r["invoice_number"])
-    fields = {"invoice_number": F.when(better, number).otherwise(F.coalesce(r["invoice_number"], number)), "currency": F.coalesce(r["currency"], norm_currency(p("currency")))}
+    fields = {"invoice_number": F.when(better, number).otherwise(F.coalesce(r["invoice_number"], number)), "currency": F.coalesce(r["currency"], v("currency"))}
     fields |= {f"{m}_amount_minor": F.when(swap, triple[m]).otherwise(F.coalesce(r[f"{m}_amount_minor"], triple[m])) for m in triple}
-    fields |= {d: F.coalesce(r[d], parse_date(p(d))) for d in DATES} | {i: F.coalesce(r[i], p(i)) for i in IDS}
-    named = {n: F.when(~is_placeholder(clean_name(p(n))), clean_name(p(n))) for n in NAMES}
+    fields |= {f: F.coalesce(r[f], v(f)) for f in DATES + IDS}
+    named = {n: F.when(~is_placeholder(v(n)), v(n)) for n in NAMES}
     fields |= {n: F.when(r[n].isNull() | is_placeholder(r[n]), F.coalesce(named[n], r[n])).otherwise(r[n]) for n in NAMES}
     shown = lambda m: F.coalesce(format_minor(r[f"{m}_amount_minor"]), F.lit("-"))
     marks = F.array_compact(F.array(F.when(other, F.concat(F.lit("model: number from the file name replaced ("), F.coalesce(r["invoice_number"], F.lit("-")), F.lit(")"))), F.when(swap, F.concat(F.lit("model: inconsistent amounts replaced (net "), shown("net"), F.lit(", tax "), shown("vat"), F.lit(", gross "), shown("gross"), F.lit(")")))))
     kept = F.filter(r["warnings"], lambda w: ~(better & (w == FILENAME_NUMBER)))
     fields["warnings"] = F.concat(kept, F.array_except(F.concat(marks, F.col("notes")), kept))
-    rows = rows.withColumn("n", F.struct(*[(fields[c] if c in fields else r[c]).alias(c) for c in COLUMNS]))
+    after = F.struct(*[(fields[c] if c in fields else r[c]).alias(c) for c in COLUMNS])
+    rows = cut(rows.select("content_hash", "_h", "r", "problems", after.alias("n"), F.col("answer").isNotNull().alias("_answered"), F.col("payload").isNotNull().alias("_paid")))
     n = F.col("n")
     wrong = F.coalesce(n["net_amount_minor"] + n["vat_amount_minor"] != n["gross_amount_minor"], F.lit(False))
-    problem = F.when(F.col("payload").isNull(), "no payload").when(F.size("problems") > 0, F.array_join("problems", "; ")).when(missing_core_fields("n."), "core fields are missing").when(wrong, "amounts do not add up")
+    problem = F.when(~F.col("_paid"), "no payload").when(F.size("problems") > 0, F.array_join("problems", "; ")).when(missing_core_fields("n."), "core fields are missing").when(wrong, "amounts do not add up")
     changed = ~n.eqNullSafe(r)
-    outcome = F.when(F.col("answer").isNull(), "transient").when(problem.isNotNull(), "rejected").when(changed, "applied").otherwise("unchanged")
+    outcome = F.when(~F.col("_answered"), "transient").when(problem.isNotNull(), "rejected").when(changed, "applied").otherwise("unchanged")
     rows = rows.withColumn("problem", problem).withColumn("outcome", F.when(F.col("_h").isNotNull(), outcome))
     mark = F.lit(f"{MODEL_PREFIX}{model}{MODEL_SUFFIX}")
     done = F.struct(*[(F.concat(F.array_remove(n["warnings"], mark), F.array(mark)) if c == "warnings" else n[c]).alias(c) for c in COLUMNS])
