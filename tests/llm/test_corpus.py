@@ -67,6 +67,24 @@ def test_bitmap_bound_never_loses(spark):
     assert len(np.intersect1d(a, b)) <= row.select(minhash.most_shared("x", "y")).first()[0] < min(len(a), len(b))
 
 
+def test_rare_pairs_lose_no_link_and_skip_copies_too_far_apart(spark):
+    """Sets with a fifth of their own each share most of the rest, as 200 poor copies of one text do: none of their 19,900 pairs is made."""
+    rng, sets = random.Random(5), []
+    for size, kept in ((40, 40), (40, 39), (41, 38), (90, 85)):
+        for _ in range(6):
+            base = rng.sample(range(1000), size)
+            sets += [set(base), *({*rng.sample(base, kept), *rng.sample(range(1000), size - kept)} for _ in range(4))]
+    far = len(sets)
+    sets += [{*range(5000, 5080), *range(10_000 + 20 * k, 10_020 + 20 * k)} for k in range(200)]
+    rows = [(k, k if k % 7 else 0, [x * 2**40 - 2**49 for x in sorted(s)]) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, root long, shingles array<long>")
+    for percent in (80, 85, 100):
+        links = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if rows[a][1] != rows[b][1] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = [(r.x, r.y) for r in minhash.rare_pairs(nodes, percent).collect()]
+        assert links <= set(got) and len(got) == len(set(got)) and (links or percent == 100)
+        assert not [p for p in got if p[0] >= far and p[1] >= far]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

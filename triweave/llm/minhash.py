@@ -12,8 +12,8 @@ missed with a chance of at most ``2 * MISS``.
    pair that two nodes share is made of sub-keys that they share, so no meeting is lost. Each table entry of several
    nodes has a pivot, the node that meets most others; a node is linked, if confirmed, to at most ``STARS`` of its
    pivots, so near copies mostly join through their original, and the work is linear in the nodes.
-4. Nodes of one table entry that are in different components after that are paired, each pair of nodes once, unless
-   their bitmaps prove that too few shingles can be shared; the others are confirmed.
+4. Nodes of one table entry that are in different components after that are paired by their rarest shingles (``rare_pairs``),
+   each pair of nodes once, unless their bitmaps prove that too few shingles can be shared; the others are confirmed.
 5. Components of all confirmed links.
 
 Defined results: null and empty texts and texts of white space have no shingles, are linked with nothing and form
@@ -198,6 +198,29 @@ def table_rows(nodes: DataFrame, m: int) -> DataFrame:
     return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"))
 
 
+def rare_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """``x, y`` of the pairs of ``node, root, shingles`` with different roots that can link, each once; no such pair is missed.
+
+    Shingles that no other root holds come first in an order of all shingles, then the others by how many nodes hold them.
+    Sets that link share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of both, and enough can be left
+    behind their first shared one. So a node that holds more of its own than a link allows meets nothing, however large its group.
+    """
+    each = nodes.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "c")
+    held = each.join(often, "s")
+    order = Window.partitionBy("node").orderBy(F.desc("c"), F.desc("s"))  # from the end: shingles from this one on, itself included
+    first = cut(held.withColumn("rest", F.row_number().over(order)).where(100 * F.col("rest") >= percent * F.col("n")).select("s", "node", "root", "n", "rest"))
+    # of two nodes with different roots one is outside the shingle's largest component
+    sizes = first.groupBy("s", "root").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("s", "major")
+    met = cut(first.join(major, "s"))
+    x, y = (met.select("s", "major", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "rest")]) for side in "xy")
+    once = (F.col("y_root") == F.col("major")) | (F.col("x_node") < F.col("y_node"))
+    enough = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_n") + F.col("y_n"))
+    pairs = x.where("x_root <> major").join(y.drop("major"), "s").where((F.col("x_root") != F.col("y_root")) & once & enough)
+    return cut(pairs.select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct())
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``doc, n_shingles, component_id, kept`` of every row, linking sets with Jaccard similarity of at least ``percent``/100.
 
@@ -226,13 +249,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     # nodes of one table entry in different components
     label = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = label.groupBy("key", "root").agg(F.count("*").alias("c"))
-    # of two nodes in different components one is outside the entry's largest component
-    major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("key", "major")
-    label = cut(label.join(major, "key"))
-    x, y = (label.select("key", "major", F.col("node").alias(s), F.col("root").alias(f"{s}_root")) for s in "xy")
-    once = (F.col("y_root") == F.col("major")) | (F.col("x") < F.col("y"))
-    pairs = x.where("x_root <> major").join(y.drop("major"), "key").where((F.col("x_root") != F.col("y_root")) & once)
-    pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    several = sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
+    apart = cut(label.join(several, "key").select("node", "root").distinct())
+    pairs = rare_pairs(apart.join(sets, "node"), percent)
     pairs = pairs.join(sketch["x"], "x").join(sketch["y"], "y").where(may_link).select(F.col("x").alias("a"), F.col("y").alias("b")).join(star, ["a", "b"], "left_anti")
     more = cut(confirm(pairs, sets).where(linked).select("a", "b"))
     if not more.isEmpty():
