@@ -315,6 +315,41 @@ def test_records_are_shuffled_in_passes(spark, monkeypatch):
     assert all(len(sizes) >= 3 for sizes in largest[frozenset(("left", "right"))])
 
 
+def test_groups_links_and_upload_items_are_shuffled_in_passes(spark, monkeypatch):
+    """Groups and links were renamed in one job with the shuffle files of all joins, and upload items shuffled as whole records with their files."""
+    from triweave.plans import uploads
+    from triweave.storage import Cuts
+
+    made = {}
+    real = Cuts.cut_all
+
+    def cut_all(self, parts):
+        sizes = []
+
+        def counted():
+            for df in parts:
+                sizes.append(df.count())
+                yield df
+
+        out = real(self, counted())
+        made.setdefault(frozenset(out.columns), []).append(sizes)
+        return out
+
+    monkeypatch.setattr(Cuts, "cut_all", cut_all)
+    numbers = [f"FV/{k}/2026" for k in range(80)]
+    feeds = {"mail": feed(spark, "mail", *[inv(n, source_path=f"p{n}") for n in numbers]), "ksef": feed(spark, "ksef", *[inv(n) for n in numbers]), "saldeo": feed(spark, "saldeo")}
+    files = spark.createDataFrame([(f"p{n}", f"sha{n}", "found") for n in numbers[:60]], "source_path string, file_sha256 string, own_id_check string")
+    sent = spark.createDataFrame([(f"sha{n}", "uploaded", 2026, 1) for n in numbers[:20]], "file_sha256 string, state string, period_year int, period_month int")
+    plan = uploads.upload_plan(rows.reconcile(feeds), files, sent, 2026, F.lit("2026-03-15").cast("date"))
+    got = {r.upload_status: r.n for r in plan.groupBy("upload_status").agg(F.count("*").alias("n")).collect()}
+    assert got["missing_local_file"] == 20 and got["already_uploaded"] == 20 and sum(got.values()) == 80
+    groups, links = made[frozenset(("gid", "mail", "ksef", "saldeo", "ref"))], made[frozenset(("lg", "rg", "rank"))]
+    for renamed in (groups[1], links[2], made[frozenset(("g", "b"))][0]):
+        assert len(renamed) >= 4 and max(renamed) < 80
+    items = [sizes for columns, some in made.items() if "contractor" in columns for sizes in some]
+    assert len(items) == 2 and all(len(sizes) >= 4 and sum(sizes) == 80 and max(sizes) < 40 for sizes in items)
+
+
 def test_duplicates_of_many_keys_merge_in_passes(spark):
     """Rows of a key merge whatever pass it falls in, and no other row goes."""
     numbers = [f"FV/{k}/2026" for k in range(30)]
